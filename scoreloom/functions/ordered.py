@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scoreloom.functions.joins import attach_row
+
 CHUNK = 65536
 # Linear buckets per octave of the value range: bounds the rows ranked in one task.
 SUB_BUCKETS = 65536
@@ -217,8 +219,7 @@ def _bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     if keys:
         joined = counts.join(span, list(keys))
     else:
-        # A global aggregate is a single row by construction.
-        joined = counts.join(F.broadcast(span))
+        joined = attach_row(counts, span)
     width = F.col("__hi") - F.col("__lo")
     unit = F.when(width > 0, (F.col("__x") - F.col("__lo")) / width).otherwise(F.lit(0.0))
     octave = F.when(unit > 0, F.greatest(F.floor(F.log2(unit)), F.lit(-64))).otherwise(F.lit(-65))
@@ -278,8 +279,7 @@ def exact_quantiles(
             low = F.floor(pos)
             pairs = [("lo", low), ("hi", F.least(F.ceil(pos), n1))]
         elif kind == "nearest_rank":
-            # Guard against q·n landing a rounding error above an integer.
-            at = F.ceil(F.round(F.col("__total") * F.lit(float(q)), 9)) - 1
+            at = F.ceil(F.col("__total") * F.lit(float(q))) - 1
             pairs = [("lo", F.greatest(F.least(at, n1), F.lit(0)))]
         elif kind == "rounded":
             pairs = [("lo", F.bround(n1.cast("double") * F.lit(float(q)), 0).cast("bigint"))]

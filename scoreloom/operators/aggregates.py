@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
+from scoreloom.functions.joins import attach_row
 
 # Action kinds of the decision log, in availability order.
 ACTION_KINDS = ("land", "spell", "pass", "attack", "block", "target")
@@ -348,7 +349,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ())
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
-    joined = df.join(span, list(by)) if by else df.join(F.broadcast(span))
+    joined = df.join(span, list(by)) if by else attach_row(df, span)
     width = (F.col("hi") - F.col("lo")) / bins
     bucket = F.least(F.floor((E.dbl(value) - F.col("lo")) / width), F.lit(bins - 1))
     counts = joined.groupBy(*by, bucket.cast("int").alias("bin")).agg(

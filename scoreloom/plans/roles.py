@@ -101,6 +101,21 @@ ROLES: dict[str, str] = {
           CAST(CASE l_returnflag WHEN 'N' THEN NULL WHEN 'R' THEN l_linenumber % 2
                ELSE 1 - l_linenumber % 2 END AS INT) AS winner
         FROM lineitem""",
+    # one row per line item = one worker of a repeat of a measurement cell
+    "v_workers": """
+        SELECT l_returnflag || l_linestatus AS cell_id, l_orderkey AS repeat, l_linenumber AS worker,
+          (l_orderkey % 17 + 1) / 8.0E0 AS barrier_wall_seconds, l_quantity / 4 AS elapsed_seconds,
+          l_partkey AS simulations, l_suppkey AS transitions,
+          CAST(CASE WHEN l_tax = 0 THEN 1 ELSE 0 END AS BIGINT) AS cap_hits, l_partkey * 10 AS rss_peak_bytes,
+          CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN NULL ELSE l_partkey END AS allocation_count,
+          CASE WHEN l_returnflag = 'A' AND l_quantity = 1 THEN NULL ELSE l_suppkey END AS journal_bytes
+        FROM lineitem""",
+    # visits of one action in one world under one condition
+    "v_cells": """
+        SELECT event_type AS condition, user_id AS world, k % 8 AS action, COUNT(*) AS visits,
+          SUM(CASE WHEN value > 500 THEN 1.0E0 ELSE value / 500 END) AS value_sum,
+          SUM(CASE WHEN value > 500 THEN 1.0E0 ELSE value / 500 END) / COUNT(*) AS q
+        FROM v_events GROUP BY event_type, user_id, k % 8""",
     # span timings from url paths: every prefix of a path is a span
     "v_spans": """
         SELECT page_id AS run, p AS path, (1 + page_id % 7) / 4.0E0 AS seconds FROM (
