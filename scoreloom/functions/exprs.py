@@ -6,7 +6,7 @@ denominator, ...) the meaning is a parameter and never a silent default elsewher
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 Z95 = 1.96
 Z95_EXACT = 1.959963984540054
 # Fixed value: Student t quantile (four degrees of freedom, two-sided 95 %).
-T95_DF4 = 2.776
+T95_DF4 = 2.7764451051977987
 
 
 def col(c: Column | str) -> Column:
@@ -88,38 +88,57 @@ def finite(c: Column | str) -> Column:
 # ---------------------------------------------------------------- arrays
 
 
+def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """Bind a value for use inside lambdas.
+
+    An outer expression captured by a lambda is evaluated again for every element; a
+    lambda variable is evaluated once. Arrays of length n stay O(n) this way.
+    """
+    return F.element_at(F.transform(F.array(col(value)), body), 1)
+
+
+def doubles(a: Column | str) -> Column:
+    return F.transform(col(a), lambda x: x.cast("double"))
+
+
 def array_sum(a: Column | str) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
 def first_argmax(a: Column | str) -> Column:
     """Zero-based index of the first maximum."""
-    return (F.array_position(col(a), F.array_max(col(a))) - 1).cast("int")
+    return let(a, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def normalised(a: Column | str) -> Column:
     """Array divided by its sum; NULL when the sum is zero."""
-    total = array_sum(a)
-    return F.when(total > 0, F.transform(col(a), lambda x: x.cast("double") / total))
+    return let(
+        F.struct(doubles(a).alias("v"), array_sum(a).alias("s")),
+        lambda t: F.when(t["s"] > 0, F.transform(t["v"], lambda x: x / t["s"])),
+    )
+
+
+def _with_top(a: Column | str, body: Callable[[Column, Column], Column], tau: float = 1.0) -> Column:
+    """Bind the array as doubles (over ``tau``) together with its maximum."""
+    v = F.transform(col(a), lambda x: x.cast("double") / F.lit(tau)) if tau != 1.0 else doubles(a)
+    return let(v, lambda w: let(F.struct(w.alias("v"), F.array_max(w).alias("m")), lambda t: body(t["v"], t["m"])))
 
 
 def log_sum_exp_array(a: Column | str) -> Column:
-    arr = F.transform(col(a), lambda x: x.cast("double"))
-    top = F.array_max(arr)
-    return top + F.log(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return _with_top(
+        a, lambda v, m: m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    )
 
 
 def softmax(a: Column | str, tau: float = 1.0) -> Column:
-    scaled = F.transform(col(a), lambda x: x.cast("double") / F.lit(tau))
-    top = F.array_max(scaled)
-    raised = F.transform(scaled, lambda x: F.exp(x - top))
-    total = array_sum(raised)
-    return F.transform(raised, lambda x: x / total)
+    return normalised(_with_top(a, lambda v, m: F.transform(v, lambda x: F.exp(x - m)), tau))
 
 
 def log_softmax(a: Column | str) -> Column:
-    norm = log_sum_exp_array(a)
-    return F.transform(col(a), lambda x: x.cast("double") - norm)
+    return let(
+        F.struct(doubles(a).alias("v"), log_sum_exp_array(a).alias("z")),
+        lambda t: F.transform(t["v"], lambda x: x - t["z"]),
+    )
 
 
 def entropy(p: Column | str) -> Column:
@@ -142,9 +161,13 @@ def kl_divergence(p: Column | str, q: Column | str, floor: float | None = None)
 
 
 def js_divergence(p: Column | str, q: Column | str) -> Column:
-    p, q = col(p), col(q)
-    mid = F.zip_with(p, q, lambda x, y: (x + y) / 2.0)
-    return kl_divergence(p, mid) / 2.0 + kl_divergence(q, mid) / 2.0
+    def term(x, m):
+        return F.when(x > 0, x * F.log(x / m)).otherwise(F.lit(0.0))
+
+    terms = F.zip_with(
+        col(p), col(q), lambda x, y: (term(x, (x + y) / 2.0) + term(y, (x + y) / 2.0)) / 2.0
+    )
+    return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def l1_distance(p: Column | str, q: Column | str) -> Column:

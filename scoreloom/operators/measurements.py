@@ -172,10 +172,9 @@ def mechanism_summary(samples: DataFrame, by: Sequence[str] = ("player_id",)) ->
 def teacher_action(visits: Column | str, q_values: Column | str) -> Column:
     """F-05: index of the most visited action; among equals the one with the highest value."""
     v, q = E.col(visits), E.col(q_values)
-    top = F.array_max(v)
-    best = F.array_max(F.zip_with(v, q, lambda x, y: F.when(x == top, y)))
-    hit = F.zip_with(v, q, lambda x, y: (x == top) & (y == best))
-    return (F.array_position(hit, F.lit(True)) - 1).cast("int")
+    pairs = F.zip_with(v, q, lambda x, y: F.struct(x.cast("double").alias("v"), y.cast("double").alias("q")))
+    # Structs compare field by field: most visits first, then the largest value.
+    return E.first_argmax(pairs)
 
 
 def repeat_pairs(
@@ -440,8 +439,10 @@ def dataset_diagnostics(df: DataFrame, by: Sequence[str] = (), signal: str = "vi
     valid = F.transform("actions_valid", lambda x: x > 0)
     if signal == "visits":
         masked = F.zip_with(valid, "visit_counts", lambda ok, v: F.when(ok, v.cast("double")).otherwise(0.0))
-        total = F.greatest(E.array_sum(masked), F.lit(1.0))
-        target = F.transform(masked, lambda v: v / total)
+        target = E.let(
+            F.struct(masked.alias("v"), F.greatest(E.array_sum(masked), F.lit(1.0)).alias("s")),
+            lambda t: F.transform(t["v"], lambda v: v / t["s"]),
+        )
         ranked = F.zip_with(valid, target, lambda ok, v: F.when(ok, v))
     else:
         target = soft_targets("scores")
@@ -479,11 +480,14 @@ def dataset_diagnostics(df: DataFrame, by: Sequence[str] = (), signal: str = "vi
 
 def soft_targets(scores: Column | str, tau: float = 1.0) -> Column:
     """X-04: softmax of score/tau over entries >= 0; padded (negative) entries get 0."""
-    s = F.transform(E.col(scores), lambda x: x.cast("double"))
-    top = F.array_max(F.transform(s, lambda x: F.when(x >= 0, x)))
-    raised = F.transform(s, lambda x: F.when(x >= 0, F.exp((x - top) / F.lit(tau))).otherwise(0.0))
-    total = E.array_sum(raised)
-    return F.transform(raised, lambda x: x / total)
+    top = F.array_max(F.transform(E.col(scores), lambda x: F.when(x >= 0, x.cast("double"))))
+    raised = E.let(
+        F.struct(E.doubles(scores).alias("v"), top.alias("m")),
+        lambda t: F.transform(
+            t["v"], lambda x: F.when(x >= 0, F.exp((x - t["m"]) / F.lit(tau))).otherwise(0.0)
+        ),
+    )
+    return E.normalised(raised)
 
 
 def dataset_checks(df: DataFrame, budget: int, by: Sequence[str] = ()) -> DataFrame:
