@@ -6,7 +6,9 @@ import importlib
 
 from scoreloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("aggregate_queries", "measurement_queries", "rating_queries", "calibration_queries")
+MODULES = (
+    "aggregate_queries", "measurement_queries", "rating_queries", "calibration_queries", "sequence_queries",
+)
 
 for _name in MODULES:
     importlib.import_module(f"scoreloom.plans.{_name}")
