@@ -8,6 +8,7 @@ from scoreloom.plans.registry import ORACLES, QUERIES
 
 MODULES = (
     "aggregate_queries", "measurement_queries", "rating_queries", "calibration_queries", "sequence_queries",
+    "comparison_queries",
 )
 
 for _name in MODULES:
