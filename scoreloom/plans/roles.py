@@ -110,6 +110,10 @@ ROLES: dict[str, str] = {
           CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN NULL ELSE l_partkey END AS allocation_count,
           CASE WHEN l_returnflag = 'A' AND l_quantity = 1 THEN NULL ELSE l_suppkey END AS journal_bytes
         FROM lineitem""",
+    # hidden pools: per supplier the number of parts of each type, modulo four
+    "v_pool": """
+        SELECT l_suppkey AS space_id, p_type AS name, CAST(COUNT(DISTINCT l_partkey) % 4 AS INT) AS n
+        FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, p_type""",
     # visits of one action in one world under one condition
     "v_cells": """
         SELECT event_type AS condition, user_id AS world, k % 8 AS action, COUNT(*) AS visits,
