@@ -8,7 +8,7 @@ from scoreloom.plans.registry import ORACLES, QUERIES
 
 MODULES = (
     "aggregate_queries", "measurement_queries", "rating_queries", "calibration_queries", "sequence_queries",
-    "comparison_queries", "dataset_queries", "world_queries",
+    "comparison_queries", "dataset_queries", "world_queries", "decision_queries",
 )
 
 for _name in MODULES:
