@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from scoreloom.functions.joins import attach_row
 
 CHUNK = 65536
-# Linear buckets per octave of the value range: bounds the rows ranked in one task.
-SUB_BUCKETS = 65536
+# Buckets per factor e of the distance to the minimum: bounds the values ranked in one task.
+SUB_BUCKETS = 4096
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -206,28 +206,32 @@ def affine_scan_back(
 # ---------------------------------------------------------------- ranks and quantiles
 
 
-def _bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n, total, bucket): equal values collapsed, bucket monotone in value."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    span = counts.groupBy(*keys).agg(
+def _bucketed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add (total, bucket) to rows (keys, __x, __n); the bucket is monotone in the value.
+
+    The bucket is logarithmic in the distance to the key's minimum (and linear very close to it):
+    near a value at distance d a bucket is about d / SUB_BUCKETS wide, so heavy right tails
+    do not crowd into one bucket. The range per key is a partial aggregation.
+    """
+    span = rows.groupBy(*keys).agg(
         F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__n").alias("__total")
     )
-    if keys:
-        joined = counts.join(span, list(keys))
-    else:
-        joined = attach_row(counts, span)
     width = F.col("__hi") - F.col("__lo")
-    unit = F.when(width > 0, (F.col("__x") - F.col("__lo")) / width).otherwise(F.lit(0.0))
-    octave = F.when(unit > 0, F.greatest(F.floor(F.log2(unit)), F.lit(-64))).otherwise(F.lit(-65))
-    within = F.when(
-        unit > 0, F.floor((unit / F.pow(F.lit(2.0), octave) - 1.0) * SUB_BUCKETS)
-    ).otherwise(F.lit(0))
-    bucket = (octave + 65) * F.lit(4 * SUB_BUCKETS) + within
-    return joined.select(*keys, "__x", "__n", "__total", bucket.cast("bigint").alias("__b"))
+    scale = F.when(width > 0, F.lit(float(1 << 40)) / F.nullif(width, F.lit(0.0))).otherwise(F.lit(0.0))
+    span = span.select(*keys, "__lo", "__total", scale.alias("__scale"))
+    joined = rows.join(span, list(keys)) if keys else attach_row(rows, span)
+    bucket = F.floor(F.log1p((F.col("__x") - F.col("__lo")) * F.col("__scale")) * SUB_BUCKETS)
+    return joined.select(*keys, "__x", "__n", "__total", bucket.alias("__b"))
+
+
+def _values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return df.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("__x"), F.lit(1).cast("bigint").alias("__n")
+    )
+
+
+def _collapsed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys, "__x").agg(F.sum("__n").alias("__n"))
 
 
 def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -243,7 +247,7 @@ def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value): ``n`` copies, ``below`` rows strictly smaller, ``total`` rows."""
-    counts = _bucketed_counts(df, keys, value)
+    counts = _bucketed(_collapsed(_values(df, keys, value), keys), keys)
     offsets = _bucket_offsets(counts, keys).select(*keys, "__b", "__start")
     inside = W.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, -1)
     ranked = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
@@ -266,11 +270,14 @@ def exact_quantiles(
     """Exact quantiles {column name: probability}, one row per key; NULL values are skipped.
 
     ``kind``: ``linear`` interpolates between neighbours, ``nearest_rank`` takes element
-    ceil(q·n), ``rounded`` takes index round((n-1)·q) with ties to even. Only the
-    buckets that hold a wanted rank are ordered.
+    ceil(q·n), ``rounded`` takes index round((n-1)·q) with ties to even.
+
+    The column is scanned for its range, for bucket counts and for the values of the buckets
+    that hold a wanted rank. The first two passes shuffle partial aggregates only, and the
+    third shuffles about one value in ``SUB_BUCKETS``.
     """
-    counts = _bucketed_counts(df, keys, value)
-    offsets = _bucket_offsets(counts, keys)
+    rows = _bucketed(_values(df, keys, value), keys)
+    offsets = _bucket_offsets(rows, keys)
     n1 = F.col("__total") - 1
     wanted = []
     for name, q in probs.items():
@@ -300,7 +307,12 @@ def exact_quantiles(
         .filter(F.size("__want") > 0)
         .select(*keys, "__b", "__start", "__total", "__want")
     )
-    chosen = counts.drop("__total").join(hits, [*keys, "__b"])
+    # Equal values of a chosen bucket are combined before the shuffle.
+    chosen = (
+        rows.drop("__total").join(hits.select(*keys, "__b"), [*keys, "__b"], "left_semi")
+        .groupBy(*keys, "__b", "__x").agg(F.sum("__n").alias("__n"))
+        .join(hits, [*keys, "__b"])
+    )
     inside = W.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
     last = F.col("__start") + F.sum("__n").over(inside)
     found = (

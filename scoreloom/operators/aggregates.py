@@ -86,20 +86,24 @@ def distribution(
     A group without finite values does not appear; ``fill_distribution`` adds the zero rows.
     """
     probs = {"median": 0.5, "p95": 0.95} if probs is None else probs
-    rows = stack_columns(df, by, cols)
     keys = [*by, "metric"]
-    stats = rows.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("__sd"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    # One wide aggregation, turned into rows afterwards; only the quantiles need long rows.
+    wide = df.groupBy(*by).agg(
+        *[
+            F.struct(
+                F.count(E.dbl(c)).alias("count"), F.avg(E.dbl(c)).alias("mean"), F.stddev_samp(E.dbl(c)).alias("__sd"),
+                F.min(E.dbl(c)).alias("min"), F.max(E.dbl(c)).alias("max"),
+            ).alias(f"__{n}")
+            for n, c in cols.items()
+        ]
     )
+    entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"__{n}").alias("s")) for n in cols])
+    stats = wide.select(*by, F.explode(entries).alias("e")).select(*by, "e.metric", "e.s.*")
     if full:
         lo, hi = E.mean_ci(F.col("mean"), F.col("__sd"), F.col("count"))
         stats = stats.withColumns({"ci95_lower": lo, "ci95_upper": hi})
     stats = stats.drop("__sd")
-    quantiles = O.exact_quantiles(rows, keys, "value", probs, kind)
+    quantiles = O.exact_quantiles(stack_columns(df, by, cols), keys, "value", probs, kind)
     return stats.join(quantiles, keys, "left")
 
 

@@ -138,9 +138,9 @@ def enumerate_worlds(pools: DataFrame) -> DataFrame:
         "space_id", F.col("hand_size").cast("int").alias("hand_size"),
         F.transform("__e", lambda e: e["key"]).alias("names"), F.transform("__e", lambda e: e["value"].cast("int")).alias("caps"),
     )
+    # Pools and their tables are evaluated once, spread and written: every level reads them.
+    d = cut_lineage(d.withColumn("ways", _suffix_counts()).filter("ways[0][hand_size] > 0").repartition("space_id"))
     longest = d.agg(F.max(F.size("caps")).alias("n")).first()["n"] or 0
-    # The table is evaluated once per pool and spread before the expansion reads it at every level.
-    d = d.withColumn("ways", _suffix_counts()).filter("ways[0][hand_size] > 0").repartition("space_id")
     d = d.selectExpr(
         "space_id", "names", "caps", "ways", "hand_size AS rest", "0L AS world_index",
         "CAST(1 AS DECIMAL(38,0)) AS weight", "CAST(array() AS ARRAY<INT>) AS ks",
