@@ -23,6 +23,8 @@ from scoreloom.session import cut_lineage
 NEG_INF = float("-inf")
 # Names expanded before the partial hands are spread over the cluster.
 SPREAD_AFTER = 3
+# Steps of the tracker fold between writes of its collected records.
+RECORD_EVERY = 16
 
 
 # ------------------------------------------------------------------ predicates
@@ -567,6 +569,9 @@ def track(
         ).join(stats, "space_id").drop("space_id")
         records = rec if records is None else records.unionByName(rec)
         violations = violations.unionByName(v1).unionByName(v2)
+        if s % RECORD_EVERY == RECORD_EVERY - 1:
+            # Long games: keep the plan of the collected rows short.
+            records, violations = cut_lineage(records), cut_lineage(violations)
         state = cut_lineage(resting.unionByName(moved))
     if records is None:
         records = live.select(*key, "sequence")

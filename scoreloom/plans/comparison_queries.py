@@ -226,13 +226,13 @@ def _programs(t):
     items = t.benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("program"), F.lit(True).alias("held_out"), "text")
     allp = docs.unionByName(items)
     words = allp.select("program", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("atom")).filter("atom <> ''").distinct()
-    records = allp.select("program", "held_out", F.sha2(F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 12), 256).alias("fingerprint"))
+    records = allp.select("program", "held_out", F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 256).alias("fingerprint"))
     return records, words
 
 
 _PRG = """pg AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS program, false AS held_out, text FROM documents UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR), true, text FROM benchmark),
   wd AS (SELECT DISTINCT program, held_out, atom FROM (SELECT program, held_out, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS atom FROM pg) z WHERE atom <> ''),
-  rc AS (SELECT program, held_out, sha256(substring(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 12)) AS fingerprint FROM pg)"""
+  rc AS (SELECT program, held_out, sha256(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS fingerprint FROM pg)"""
 
 
 @query(
@@ -302,12 +302,12 @@ def j13(t):
 
 @query(
     "D01_split_overlap",
-    """WITH s AS (SELECT DISTINCT lang AS split, 'prefix' AS signature, substring(text,1,3) AS v FROM documents UNION SELECT DISTINCT lang, 'size', CAST(n_chars AS VARCHAR) FROM documents)
+    """WITH s AS (SELECT DISTINCT lang AS split, 'content' AS signature, sha256(text) AS v FROM documents UNION SELECT DISTINCT lang, 'size', CAST(n_chars AS VARCHAR) FROM documents)
     SELECT a.signature, a.split AS left_split, b.split AS right_split, COUNT(*) AS overlap FROM s a JOIN s b ON a.signature=b.signature AND a.v=b.v AND a.split<b.split GROUP BY 1, 2, 3""",
 )
 def d01(t):
-    d = t.documents.select("lang", F.substring("text", 1, 3).alias("prefix"), F.col("n_chars").alias("size"))
-    return X.split_overlap(d, "lang", ["prefix", "size"])
+    d = t.documents.select("lang", F.sha2("text", 256).alias("content"), F.col("n_chars").alias("size"))
+    return X.split_overlap(d, "lang", ["content", "size"])
 
 
 @query(
