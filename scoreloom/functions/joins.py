@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Largest aggregate that is read once and broadcast to the rows it was made from.
+BOUNDED_ROWS = 10_000
+
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate, which has exactly one row, to every row.
@@ -13,3 +16,18 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     without grouping keys.
     """
     return df.join(F.broadcast(row), how="left")
+
+
+def bounded(summary: DataFrame, limit: int = BOUNDED_ROWS) -> DataFrame:
+    """A per-key aggregate ready to be joined back to its input.
+
+    Spark cannot know the size of an aggregate beforehand, so it would shuffle the whole
+    input by a possibly hot key before it learns that one side is tiny. Here the aggregate
+    is evaluated once: up to ``limit`` rows become a broadcast local table (its size is thereby
+    checked); a larger one is returned as it was and joined by shuffle.
+    """
+    head = summary.limit(limit + 1).toArrow()
+    if head.num_rows > limit:
+        return summary
+    local = summary.sparkSession.createDataFrame(head, summary.schema)
+    return F.broadcast(local)

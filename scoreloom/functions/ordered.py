@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.functions.joins import attach_row
+from scoreloom.functions.joins import attach_row, bounded
 
 CHUNK = 65536
 # Buckets per factor e of the distance to the minimum: bounds the values ranked in one task.
@@ -219,7 +219,7 @@ def _bucketed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     width = F.col("__hi") - F.col("__lo")
     scale = F.when(width > 0, F.lit(float(1 << 40)) / F.nullif(width, F.lit(0.0))).otherwise(F.lit(0.0))
     span = span.select(*keys, "__lo", "__total", scale.alias("__scale"))
-    joined = rows.join(span, list(keys)) if keys else attach_row(rows, span)
+    joined = rows.join(bounded(span), list(keys)) if keys else attach_row(rows, span)
     bucket = F.floor(F.log1p((F.col("__x") - F.col("__lo")) * F.col("__scale")) * SUB_BUCKETS)
     return joined.select(*keys, "__x", "__n", "__total", bucket.alias("__b"))
 
@@ -307,6 +307,7 @@ def exact_quantiles(
         .filter(F.size("__want") > 0)
         .select(*keys, "__b", "__start", "__total", "__want")
     )
+    hits = bounded(hits)
     # Equal values of a chosen bucket are combined before the shuffle.
     chosen = (
         rows.drop("__total").join(hits.select(*keys, "__b"), [*keys, "__b"], "left_semi")
