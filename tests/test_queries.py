@@ -20,7 +20,7 @@ def test_entry_runs(spark):
 def test_registry_names_follow_operator_ids():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
-    assert all(re.match(r"^[A-Z]\d\d_", n) for n in names)
+    assert all(re.match(r"[A-Z]\d\d_|op\d+_|pipeline$", n) for n in names)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
