@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import ngram_join
+from scoreloom.llm import line_quality, ngram_join
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,5 +17,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return line_quality.score(docs, line_quality.train(docs, load(spark, sf_dir, "labels")))
+
+
 QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
 ORACLES["op5_ngram_jaccard_join"] = ngram_join.ORACLE
+QUERIES["op10_quality_classifier"] = op10_quality_classifier
