@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import line_quality, ngram_join
+from scoreloom.llm import line_quality, mixing, ngram_join
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score(docs, line_quality.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(load(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "target", "size * times AS taken")
+
+
+QUERIES["op4_mixing"] = op4_mixing
+ORACLES["op4_mixing"] = mixing.ORACLE
 QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
 ORACLES["op5_ngram_jaccard_join"] = ngram_join.ORACLE
 QUERIES["op10_quality_classifier"] = op10_quality_classifier
