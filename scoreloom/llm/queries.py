@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import line_quality, mixing, ngram_join
+from scoreloom.llm import line_quality, mixing, ngram_join, token_pack
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(load(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "target", "size * times AS taken")
 
 
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.written_and_read(load(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_token_blocks"] = op2_token_blocks
 QUERIES["op4_mixing"] = op4_mixing
 ORACLES["op4_mixing"] = mixing.ORACLE
 QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
