@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import line_quality, mixing, ngram_join, token_pack
+from scoreloom.llm import decontaminate, line_quality, mixing, ngram_join, token_pack
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return line_quality.score(docs, line_quality.train(docs, load(spark, sf_dir, "labels")))
@@ -30,6 +34,8 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.written_and_read(load(spark, sf_dir, "documents"))
 
 
+QUERIES["op1_decontamination"] = op1_decontamination
+ORACLES["op1_decontamination"] = decontaminate.ORACLE
 QUERIES["op2_token_blocks"] = op2_token_blocks
 QUERIES["op4_mixing"] = op4_mixing
 ORACLES["op4_mixing"] = mixing.ORACLE
