@@ -300,6 +300,23 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     )
 
 
+def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` (all columns) for each class: the one with the class's smallest doc_id.
+
+    Rows that share an id share its fate; of equal rows one stays.
+    """
+    classes = written(
+        near_duplicates(docs, **options).groupBy("doc_id")
+        .agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("not first or n > 1").select(F.col("doc_id").alias("__doc_id"), "first")
+    )
+    gone, again = classes.where("not first"), classes.where("first")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__doc_id"), "left_anti")
+    single = kept.join(again, F.col("doc_id") == F.col("__doc_id"), "left_anti")
+    repeated = kept.join(again, F.col("doc_id") == F.col("__doc_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
+
+
 ORACLE = """
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
