@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontaminate, line_quality, mixing, ngram_join, token_pack
+from scoreloom.llm import chat_format, decontaminate, license_scan, line_quality, mixing, ngram_join, token_pack
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_summary(license_scan.scan_licences(load(spark, sf_dir, "documents")))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return line_quality.score(docs, line_quality.train(docs, load(spark, sf_dir, "labels")))
@@ -42,3 +53,6 @@ ORACLES["op4_mixing"] = mixing.ORACLE
 QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
 ORACLES["op5_ngram_jaccard_join"] = ngram_join.ORACLE
 QUERIES["op10_quality_classifier"] = op10_quality_classifier
+QUERIES["op7_license_scan"] = op7_license_scan
+QUERIES["op8_chat_format"] = op8_chat_format
+ORACLES["op8_chat_format"] = chat_format.ORACLE
