@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import chat_format, decontaminate, license_scan, line_quality, mixing, ngram_join, token_pack
+from scoreloom.llm import chat_format, decontaminate, license_scan, line_quality, mixing, ngram_join, token_pack, url_filter
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return line_quality.score(docs, line_quality.train(docs, load(spark, sf_dir, "labels")))
@@ -56,3 +60,5 @@ QUERIES["op10_quality_classifier"] = op10_quality_classifier
 QUERIES["op7_license_scan"] = op7_license_scan
 QUERIES["op8_chat_format"] = op8_chat_format
 ORACLES["op8_chat_format"] = chat_format.ORACLE
+QUERIES["op9_url_filter"] = op9_url_filter
+ORACLES["op9_url_filter"] = url_filter.ORACLE
