@@ -26,8 +26,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from scoreloom.llm.tables import shared_folder
 END_ID = 2
 BLOCK_IDS = 1 << 20
 # A pair becomes a rule from this count on; rules of one round; rounds at most.
-LEAST_COUNT, ROUND_RULES, ROUNDS = 8, 4096, 6
+LEAST_COUNT, ROUND_RULES, ROUNDS = 8, 4096, 4
 # Words whose ids a worker remembers.
 CACHE_WORDS = 1_000_000
 
@@ -52,6 +52,9 @@ SCHEMA = (
 # ASCII capitals are folded and the three other separators become spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
+# Byte-level vocabularies name a byte by its Latin-1 character if that is visible, else by the next free one from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _TOKENIZERS: dict[str, "WordEncoder"] = {}
 
 
@@ -83,27 +86,27 @@ class WordEncoder:
         known = self.young
         tokenize, batch = self.tokenizer.model.tokenize, []
         for w in words:
-            if w.isalpha() and w.islower():  # ASCII letters only: normalizer and pre-tokenizer leave them as they are
-                known[w] = np.array([t.id for t in tokenize(w.decode())], dtype="<u4").tobytes()
+            text = w.decode()
+            # Small Latin letters only: the normalizer leaves them as they are, and the pre-tokenizer only renames their bytes.
+            if text.isalpha() and max(text) < "\u0250" and text.lower() == text:
+                known[w] = array("I", [t.id for t in tokenize(text if text.isascii() else w.decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
             else:
                 batch.append(w)
         for low in range(0, len(batch), 20_000):
             part = batch[low : low + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [(t or b"").translate(_SPACES if b"<|" in (t or b"") else _PLAIN).split(b" ") for t in texts]
-        here = set(chain.from_iterable(words))
-        if len(self.young) + len(here) > CACHE_WORDS // 2:
+    def _meet(self, words: set[bytes]) -> None:
+        """Make all words known to the young generation."""
+        if len(self.young) + len(words) > CACHE_WORDS // 2:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = [w for w in here if w not in young]
         fresh, joined = set(), []
-        for w in missing:
+        for w in words:
             if w in old:
                 young[w] = old[w]
-            elif w[-1:] in (b",", b".") and w[:-1].isalpha() and w.islower():
+            elif w[-1:] in (b",", b".") and w[:-1].decode().isalpha():
                 joined.append(w)
                 fresh.update(p for p in (w[:-1], w[-1:]) if p not in young)
             else:
@@ -111,7 +114,18 @@ class WordEncoder:
         self._learn(list(fresh))
         for w in joined:
             young[w] = young[w[:-1]] + young[w[-1:]]
-        return [np.frombuffer(b"".join(map(young.__getitem__, w)), dtype="<u4") for w in words]
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        words = [(t or b"").translate(_SPACES if b"<|" in (t or b"") else _PLAIN).split(b" ") for t in texts]
+        found = [list(map(self.young.get, w)) for w in words]
+        missing = {x for w, f in zip(words, found) if None in f for x, y in zip(w, f) if y is None}
+        if missing:
+            self._meet(missing)
+            young = self.young
+            for w, f in zip(words, found):
+                if None in f:
+                    f[:] = [young[x] if y is None else y for x, y in zip(w, f)]
+        return [np.frombuffer(b"".join(f), dtype="<u4") for f in found]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -165,12 +179,14 @@ def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds
         rank_at[slot] = np.arange(len(pair), dtype=np.int32)
         pairs = np.append(pair, code_type(0))
         rank = rank_at[(code * code_type(spread)) >> code_type(high)]
-        none = len(pair)
-        rank[(pairs[rank] != code) | ~inner] = none
-        before = np.concatenate(([none], rank[:-1]))
-        after = np.concatenate((rank[1:], [none]))
-        take = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))
-        used = np.flatnonzero(np.bincount(rank[take], minlength=none))
+        there = np.flatnonzero((pairs[rank] == code) & inner)
+        rank, none = rank[there], len(pair)
+        beside = there[1:] == there[:-1] + 1
+        chosen = np.ones(len(there), dtype=bool)
+        chosen[1:] &= ~(beside & (rank[:-1] <= rank[1:]))
+        chosen[:-1] &= ~(beside & (rank[1:] < rank[:-1]))
+        take, rank = there[chosen], rank[chosen]
+        used = np.flatnonzero(np.bincount(rank, minlength=none))
         number = np.zeros(none, dtype=code_type)
         number[used] = len(alphabet) + made + np.arange(len(used))
         l, r = (pair[used] >> code_type(shift)).astype(np.int64), (pair[used] & code_type((1 << shift) - 1)).astype(np.int64)
@@ -178,7 +194,7 @@ def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds
         right.append(r)
         size = np.concatenate((size, size[l] + size[r]))
         made += len(used)
-        seq[take] = number[rank[take]]
+        seq[take] = number[rank]
         last[take] |= last[take + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[take + 1] = False
