@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import ann, chat_format, decontaminate, license_scan, line_quality, mixing, ngram_join, token_pack, url_filter
+from scoreloom.llm import ann, chat_format, decontaminate, license_scan, line_quality, lm_score, mixing, ngram_join, token_pack, url_filter
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"))
 
@@ -67,3 +71,4 @@ ORACLES["op8_chat_format"] = chat_format.ORACLE
 QUERIES["op9_url_filter"] = op9_url_filter
 ORACLES["op9_url_filter"] = url_filter.ORACLE
 QUERIES["op6_ann"] = op6_ann
+QUERIES["op3_lm_scoring"] = op3_lm_scoring
