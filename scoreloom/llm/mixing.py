@@ -62,7 +62,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
     ``times`` (0 to ``repeats``) is how often the mix takes the row; the rows taken are those of the
     earliest finish times whose sizes together stay within the budget. Ties of the hash are ordered by doc_id. Rows without
-    words are never taken. Repeated rows are equal in everything, so they are taken alike. An empty
+    words are never taken. Repeated rows finish together, after the last of them, so they are taken alike. An empty
     table gives no rows.
     """
     rows = written(
@@ -76,7 +76,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         .withColumn("ahead", F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("part_size"))
         .select(F.col("source").alias("s"), F.col("part").alias("p"), "ahead")
     )
-    inside = Window.partitionBy("source", "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "part").orderBy("place", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)
     timed = (
         rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
         .withColumn("upto", F.col("ahead") + F.sum("size").over(inside)).drop("s", "p", "ahead", "part")
@@ -87,7 +87,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     turns = (
         timed.where("size > 0")
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .select("place", "doc_id", "size", "turn", ((F.col("turn") * F.col("source_size") + F.col("upto")) / F.col("target")).alias("finish"))
+        .select("place", "doc_id", "size", "turn", F.try_divide(F.col("turn") * F.col("source_size") + F.col("upto"), F.col("target")).alias("finish"))
         .withColumn("range", _range_of(F.col("finish")))
     )
     budget = targets.agg((F.sum("source_size") * share).alias("budget"))
@@ -97,7 +97,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         F.min("range").alias("edge"), F.min_by(F.col("upto_range") - F.col("words"), "range").alias("before"), F.first("budget").alias("budget"))
     edge = written(edge)
     close = attach_row(turns, edge).where("range = edge")
-    line = Window.partitionBy("range").orderBy("finish", "place", "doc_id", "turn", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("range").orderBy("finish", "place", "doc_id", "turn", "size").rangeBetween(Window.unboundedPreceding, 0)
     last = (
         close.withColumn("taken_by", F.col("before") + F.sum("size").over(line)).where("taken_by <= budget")
         .agg(F.max(F.struct("finish", "place", "doc_id", "turn")).alias("last"))
@@ -106,7 +106,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     decided = attach_row(timed, cut)
     times = F.lit(0)
     for turn in range(repeats):
-        finish = (turn * F.col("source_size") + F.col("upto")) / F.col("target")
+        finish = F.try_divide(turn * F.col("source_size") + F.col("upto"), F.col("target"))  # null in a source without words
         at = _range_of(finish)
         here = F.struct(finish.alias("finish"), F.col("place"), F.col("doc_id"), F.lit(turn).alias("turn"))
         taken = F.col("edge").isNull() | (at < F.col("edge")) | ((at == F.col("edge")) & F.coalesce(here <= F.col("last"), F.lit(False)))
