@@ -38,22 +38,27 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(256)
 
 
-def _piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of one piece that starts and ends outside a word."""
+def hash_runs(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and length of every run of bytes that are ``inside``."""
     global _POWERS
-    folded = _FOLD[raw]
-    flag = _IS_WORD[folded]
-    edge = np.flatnonzero(np.diff(flag, prepend=False, append=False))
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     first, last = edge[::2], edge[1::2]
-    if not len(first):
-        return np.empty(0, np.uint64), first
     length = last - first
+    if not len(first):
+        return np.empty(0, np.uint64), first, length
     if (longest := int(length.max())) > len(_POWERS):
         _POWERS = _powers(2 * longest)
     at = np.concatenate(([0], np.cumsum(length)[:-1]))
     position = np.arange(int(length.sum())) - np.repeat(at, length)
-    terms = (folded[flag].astype(np.uint64) + np.uint64(1)) * _POWERS[position]
-    return mix(np.add.reduceat(terms, at) + length.astype(np.uint64)), first
+    terms = (raw[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[position]
+    return mix(np.add.reduceat(terms, at) + length.astype(np.uint64)), first, length
+
+
+def _piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of one piece that starts and ends outside a word."""
+    folded = _FOLD[raw]
+    hashes, first, _ = hash_runs(folded, _IS_WORD[folded])
+    return hashes, first
 
 
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.tables import shared_folder
+from scoreloom.llm.textwords import hash_runs, text_batches
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -52,6 +53,8 @@ SCHEMA = (
 # ASCII capitals are folded and the three other separators become spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
+_PIECE = 1 << 22
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 # Byte-level vocabularies name a byte by its Latin-1 character if that is visible, else by the next free one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -69,8 +72,9 @@ class WordEncoder:
     words in turn.
 
     Words are cut at space, tab and line ends only; whatever else is white space to the tokenizer stays inside a word
-    and is left to it. ASCII capitals are folded beforehand, except in texts that could hold a special token. A
-    comma or full stop after a letter at the end of a word is a piece of its own. Ids of words are
+    and is left to it. ASCII capitals are folded beforehand, except in texts that could hold a special token. The
+    marks after the last letter of a word are a piece of their own. A piece of text is cut into words, and
+    equal words are found, by 64-bit hashes in numpy; the tokenizer gets each word once. Ids of words are
     remembered in two generations, so that frequent words stay known while memory is bounded.
     """
 
@@ -79,53 +83,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        known = self.young
-        tokenize, batch = self.tokenizer.model.tokenize, []
-        for w in words:
-            text = w.decode()
-            # Small Latin letters only: the normalizer leaves them as they are, and the pre-tokenizer only renames their bytes.
-            if text.isalpha() and max(text) < "\u0250" and text.lower() == text:
-                known[w] = array("I", [t.id for t in tokenize(text if text.isascii() else w.decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words, as bytes."""
+        tokenize, out, batch = self.tokenizer.model.tokenize, [], []
+        for k, w in enumerate(words):
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and not stem.decode().isalpha():
+                stem = w
+            # A word of Latin letters is one piece; the normalizer only makes it small, and the pre-tokenizer renames its bytes.
+            if stem.isalpha() and stem.islower():
+                ids = array("I", [t.id for t in tokenize(stem.decode())]).tobytes()
+            elif (text := stem.decode()).isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                ids = array("I", [t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
             else:
-                batch.append(w)
-        for low in range(0, len(batch), 20_000):
-            part = batch[low : low + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-
-    def _meet(self, words: set[bytes]) -> None:
-        """Make all words known to the young generation."""
-        if len(self.young) + len(words) > CACHE_WORDS // 2:
+                batch.append(k)
+                out.append(b"")
+                continue
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                if tail not in self.marks:
+                    if len(self.marks) > 50_000:
+                        self.marks = {}
+                    self.marks[tail] = array("I", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                ids += self.marks[tail]
+            out.append(ids)
+        if batch:
+            for k, e in zip(batch, self.tokenizer.encode_batch_fast([words[k].decode() for k in batch], add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def _known(self, keys: np.ndarray, raw: bytes, first: np.ndarray, length: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, given by hash and place."""
+        if len(self.young) + len(keys) > CACHE_WORDS // 2:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh, joined = set(), []
-        for w in words:
-            if w in old:
-                young[w] = old[w]
-            elif w[-1:] in (b",", b".") and w[:-1].decode().isalpha():
-                joined.append(w)
-                fresh.update(p for p in (w[:-1], w[-1:]) if p not in young)
-            else:
-                fresh.add(w)
-        self._learn(list(fresh))
-        for w in joined:
-            young[w] = young[w[:-1]] + young[w[-1:]]
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [(t or b"").translate(_SPACES if b"<|" in (t or b"") else _PLAIN).split(b" ") for t in texts]
-        found = [list(map(self.young.get, w)) for w in words]
-        missing = {x for w, f in zip(words, found) if None in f for x, y in zip(w, f) if y is None}
-        if missing:
-            self._meet(missing)
-            young = self.young
-            for w, f in zip(words, found):
-                if None in f:
-                    f[:] = [young[x] if y is None else y for x, y in zip(w, f)]
-        return [np.frombuffer(b"".join(f), dtype="<u4") for f in found]
+        young, old, names = self.young, self.old, keys.tolist()
+        found = list(map(young.get, names))
+        missing = []
+        for k, f in enumerate(found):
+            if f is None:
+                f = old.get(names[k])
+                if f is None:
+                    missing.append(k)
+                else:
+                    young[names[k]] = found[k] = f
+        spans = zip(first[missing].tolist(), length[missing].tolist())
+        for k, ids in zip(missing, self._ids([raw[a : a + n] for a, n in spans])):
+            young[names[k]] = found[k] = ids
+        return found
+
+    def _piece(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte and number of ids of every word, and all ids."""
+        view = np.frombuffer(raw, dtype=np.uint8)
+        hashes, first, length = hash_runs(view, view != 32)
+        keys, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+        found = self._known(keys, raw, first[place], length[place])
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, own = (np.cumsum(size) - size)[which], size[which]
+        shift = np.repeat(begin - (np.cumsum(own) - own), own)
+        shift += np.arange(len(shift))
+        return first, own, flat[shift]
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each text has."""
+        plain = [(t or b"").translate(_SPACES if b"<|" in (t or b"") else _PLAIN) for t in texts]
+        raw = b" ".join(plain) + b" "
+        ends = np.cumsum([len(t) + 1 for t in plain]) if plain else np.empty(0, np.int64)
+        firsts, owns, ids, low = [], [], [], 0
+        while low < len(raw):
+            high = raw.rfind(b" ", low, low + _PIECE) + 1 if low + _PIECE < len(raw) else len(raw)
+            if high <= low:  # one word longer than a piece
+                high = raw.index(b" ", low) + 1
+            first, own, some = self._piece(raw[low:high])
+            firsts.append(first + low)
+            owns.append(own)
+            ids.append(some)
+            low = high
+        upto = np.concatenate(([0], np.cumsum(np.concatenate(owns))))
+        lens = np.diff(upto[np.searchsorted(np.concatenate(firsts), ends)], prepend=0)
+        return np.concatenate(ids), lens
 
 
 def encoder(path: str) -> WordEncoder:
@@ -179,8 +219,9 @@ def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds
         rank_at[slot] = np.arange(len(pair), dtype=np.int32)
         pairs = np.append(pair, code_type(0))
         rank = rank_at[(code * code_type(spread)) >> code_type(high)]
-        there = np.flatnonzero((pairs[rank] == code) & inner)
-        rank, none = rank[there], len(pair)
+        none = len(pair)
+        there = np.flatnonzero((rank < none) & (pairs[rank] == code) & inner)
+        rank = rank[there]
         beside = there[1:] == there[:-1] + 1
         chosen = np.ones(len(there), dtype=bool)
         chosen[1:] &= ~(beside & (rank[:-1] <= rank[1:]))
@@ -255,36 +296,39 @@ def _pack(tokenizer: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         shard, number = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        docs: list[int | None] = []
-        lens: list[int] = []
-        end = np.array([end_id], dtype="<u4")
 
-        def block() -> pa.RecordBatch:
+        def block(ids: np.ndarray, docs: list[int | None], lens: np.ndarray) -> pa.RecordBatch:
             nonlocal number
-            alphabet, rules, sizes, symbols = compress(np.concatenate(ids), np.array(lens))
+            alphabet, rules, sizes, symbols = compress(ids, lens)
             wide = symbols.dtype == np.uint64
-            row = [shard, number, docs[0], sum(lens), list(docs), list(lens), alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(),
+            row = [shard, number, docs[0], len(ids), docs, lens, alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(),
                    sizes.astype("<u4").tobytes(), wide, symbols.astype("<u4" if wide else "<u2").tobytes()]
             number += 1
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
             names = ["shard", "block", "first_doc", "n_ids", "doc_ids", "doc_lens", "alphabet", "rules", "rule_lens", "wide", "symbols"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        held = 0
+        docs: list[int | None] = []
+        parts, sizes, held = [], [], 0
         for batch in batches:
-            doc_id, text = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary())
-            for low in range(0, len(doc_id), 512):
-                for i, own in zip(doc_id[low : low + 512], encode(text.slice(low, 512).to_pylist())):
-                    ids += [own, end]
-                    docs.append(i)
-                    lens.append(len(own) + 1)
-                    held += len(own) + 1
-                    if held >= block_ids:
-                        yield block()
-                        ids, docs, lens, held = [], [], [], 0
+            for low, high, texts in text_batches(batch, "text"):
+                docs += batch.column("doc_id").slice(low, high - low).to_pylist()
+                ids, lens = encode(texts)
+                parts.append(np.insert(ids, np.cumsum(lens), end_id))
+                sizes.append(lens + 1)
+                held += len(parts[-1])
+                if held < block_ids:
+                    continue
+                ids, lens = np.concatenate(parts), np.concatenate(sizes)
+                ends = np.cumsum(lens)
+                done = at = 0
+                while held - at >= block_ids:  # a block closes with the document that fills it
+                    stop = int(np.searchsorted(ends, at + block_ids)) + 1
+                    yield block(ids[at : ends[stop - 1]], docs[done:stop], lens[done:stop])
+                    done, at = stop, int(ends[stop - 1])
+                docs, parts, sizes, held = docs[done:], [ids[at:]], [lens[done:]], held - at
         if docs:
-            yield block()
+            yield block(np.concatenate(parts), docs, np.concatenate(sizes))
 
     return run
 
