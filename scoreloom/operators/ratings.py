@@ -2,8 +2,8 @@
 
 The rating fit depends on the matches only through the counts of the cells (player a,
 player b, seat, score). Spark collapses the match log to those cells (map-side combined,
-one small shuffle); the Newton iteration then works on cells, so its cost depends on the
-roster and not on the number of matches.
+one small shuffle); the fit then works on sums per pair and seat, so its cost depends on the
+pairs that met and not on the number of matches.
 """
 
 from __future__ import annotations
@@ -29,9 +29,6 @@ LOGIT_LIMIT = 40.0
 GRADIENT_TOLERANCE = 1e-10
 MAX_ITERATIONS = 100
 
-# Largest replicates × blocks table that is drawn with one numpy stream on the driver.
-EXACT_DRAWS = 1_000_000
-
 
 def retained(matches: DataFrame) -> DataFrame:
     """P-01: drop truncated rows; a NULL flag or reason means not truncated."""
@@ -72,50 +69,119 @@ def rating_cells(matches: DataFrame, by: Sequence[str] = (), weight: str | None
     )
 
 
-def _newton(cells: pd.DataFrame, anchor: str, prior_sd: float) -> dict:
-    """MAP fit of skills and seat effect on weighted cells; Gaussian prior on every parameter."""
-    a, b = cells["player_a"].to_numpy(), cells["player_b"].to_numpy()
-    players, index = np.unique(np.concatenate([a, b]).astype(str), return_inverse=True)
-    ia, ib = index[: len(a)], index[len(a):]
-    if len(players) < 2 or anchor not in players:
+class _PairTable:
+    """Weight and score of every (first player, second player, seat), by player index.
+
+    All sums of the fit run over these rows, so nothing of the size rows × players or players × players exists. The last
+    parameter is the seat effect, in favour of the first player in seat 0.
+    """
+
+    def __init__(self, cells: pd.DataFrame, prior_sd: float):
+        seat = np.where(cells["player_a_seat"].to_numpy() == 0, 1.0, -1.0)
+        names = pd.unique(pd.concat([cells["player_a"], cells["player_b"]]).astype(str))
+        self.players = np.sort(np.asarray(names, dtype=object).astype(str))
+        rows = pd.DataFrame({
+            "i": np.searchsorted(self.players, cells["player_a"].astype(str)), "j": np.searchsorted(self.players, cells["player_b"].astype(str)),
+            "seat": seat, "n": cells["weight"].astype(float), "s": cells["weight"].astype(float) * cells["score_a"].astype(float),
+        }).groupby(["i", "j", "seat"], as_index=False, sort=True).sum()
+        self.i, self.j, self.seat, self.n, self.s = (rows[c].to_numpy() for c in ("i", "j", "seat", "n", "s"))
+        self.ridge = (ELO_PER_LOGIT / prior_sd) ** 2
+
+    def win(self, theta: np.ndarray) -> np.ndarray:
+        """Chance of the first player in every row."""
+        lead = theta[self.i] - theta[self.j] + self.seat * theta[-1]
+        return 1.0 / (1.0 + np.exp(-np.clip(lead, -LOGIT_LIMIT, LOGIT_LIMIT)))
+
+    def spread(self, per_row: np.ndarray) -> np.ndarray:
+        """A quantity of every row summed onto the parameters it depends on, with their signs."""
+        size = len(self.players)
+        by_player = np.bincount(self.i, per_row, size) - np.bincount(self.j, per_row, size)
+        return np.append(by_player, np.dot(self.seat, per_row))
+
+    def slope(self, theta: np.ndarray) -> np.ndarray:
+        return self.spread(self.n * self.win(theta) - self.s) + self.ridge * theta
+
+    def curvature(self, theta: np.ndarray):
+        """The Hessian as a function, and its diagonal."""
+        p = self.win(theta)
+        c = self.n * p * (1.0 - p)
+        size = len(self.players)
+        diagonal = np.append(np.bincount(self.i, c, size) + np.bincount(self.j, c, size), c.sum()) + self.ridge
+        return lambda v: self.spread(c * (v[self.i] - v[self.j] + self.seat * v[-1])) + self.ridge * v, diagonal
+
+
+def _conjugate(apply, diagonal: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a positive definite system by conjugate gradients, scaled by the diagonal."""
+    x, rest = np.zeros_like(right), right.copy()
+    z = rest / diagonal
+    way, size = z.copy(), float(rest @ z)
+    goal = 1e-30 * size
+    for _ in range(20 * len(right)):
+        if size <= goal:
+            break
+        image = apply(way)
+        step = size / float(way @ image)
+        x += step * way
+        rest -= step * image
+        z = rest / diagonal
+        size, before = float(rest @ z), size
+        way = z + (size / before) * way
+    return x
+
+
+def _extreme(apply, size: int, rounds: int = 400) -> float:
+    """Largest eigenvalue of a positive definite operator, by powers from a fixed start."""
+    v, value = np.cos(np.arange(size) + 1.0), 0.0
+    for _ in range(rounds):
+        v = v / np.linalg.norm(v)
+        image = apply(v)
+        last, value = value, float(v @ image)
+        if abs(value - last) <= 1e-13 * value:
+            break
+        v = image
+    return value
+
+
+def solve_ratings(cells: pd.DataFrame, anchor: str, prior_sd: float, diagnose: bool = True) -> dict:
+    """Most probable skills and seat effect under a Gaussian prior, from weighted cells.
+
+    Newton steps; each is found by conjugate gradients on the pair table. ``diagnose`` adds the condition
+    number of the curvature.
+    """
+    table = _PairTable(cells, prior_sd)
+    where = int(np.searchsorted(table.players, anchor))
+    if len(table.players) < 2 or where == len(table.players) or table.players[where] != anchor:
         raise ValueError("a rating needs two players and the anchor")
-    n = len(players)
-    seat = np.where(cells["player_a_seat"].to_numpy() == 0, 1.0, -1.0)
-    y = cells["score_a"].to_numpy(dtype=float)
-    w = cells["weight"].to_numpy(dtype=float)
-    x = np.zeros((len(y), n + 1))
-    rows = np.arange(len(y))
-    x[rows, ia] = 1.0
-    x[rows, ib] = -1.0
-    x[:, n] = seat
-    lam = (ELO_PER_LOGIT / prior_sd) ** 2
-    beta = np.zeros(n + 1)
-    norm, steps, done = math.inf, 0, False
-    hess = np.eye(n + 1)
-    while steps < MAX_ITERATIONS:
-        steps += 1
-        q = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -LOGIT_LIMIT, LOGIT_LIMIT)))
-        grad = x.T @ (w * (q - y)) + lam * beta
-        hess = (x * (w * q * (1.0 - q))[:, None]).T @ x + lam * np.eye(n + 1)
-        norm = float(np.abs(grad).max())
-        if norm <= GRADIENT_TOLERANCE:
-            done = True
+    theta = np.zeros(len(table.players) + 1)
+    for steps in range(1, MAX_ITERATIONS + 1):
+        slope = table.slope(theta)
+        steepest = float(np.abs(slope).max())
+        if steepest <= GRADIENT_TOLERANCE:
             break
-        beta = beta - np.linalg.solve(hess, grad)
-    q = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -LOGIT_LIMIT, LOGIT_LIMIT)))
-    tiny = 1e-15
-    loss = -np.sum(w * (y * np.log(q + tiny) + (1 - y) * np.log(1 - q + tiny))) / np.sum(w)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        up = np.where(y > 0, y * np.log(y / q), 0.0)
-        down = np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - q)), 0.0)
-    elo = beta[:n] * ELO_PER_LOGIT
-    shift = ANCHOR_RATING - elo[int(np.searchsorted(players, anchor))]
-    return {
-        "players": players, "ratings": elo + shift, "seat": float(beta[n] * ELO_PER_LOGIT),
-        "converged": done, "iterations": steps, "gradient_norm": norm,
-        "condition": float(np.linalg.cond(hess)), "log_loss": float(loss),
-        "deviance_terms": 2.0 * (up + down),
+        theta = theta - _conjugate(*table.curvature(theta), slope)
+    chance = table.win(theta)
+    score, total = table.s, table.n
+    surprise = -(score @ np.log(chance + 1e-15) + (total - score) @ np.log(1.0 - chance + 1e-15))
+    elo = theta * ELO_PER_LOGIT
+    fit = {
+        "players": table.players, "ratings": elo[:-1] - elo[where] + ANCHOR_RATING, "seat": float(elo[-1]), "theta": theta,
+        "converged": steepest <= GRADIENT_TOLERANCE, "iterations": steps, "gradient_norm": steepest,
+        "log_loss": float(surprise / total.sum()) if total.sum() else math.nan,
     }
+    if diagnose:
+        apply, diagonal = table.curvature(theta)
+        fit["condition"] = _extreme(apply, len(theta)) * _extreme(lambda v: _conjugate(apply, diagonal, v), len(theta))
+    return fit
+
+
+def _deviance(cells: pd.DataFrame, fit: dict, prior_sd: float) -> float:
+    """Twice the log likelihood lost against the scores themselves; every match counts once."""
+    counted = _PairTable(cells.assign(weight=cells["rows"]), prior_sd)
+    chance, y = counted.win(fit["theta"]), cells["score_a"].to_numpy(dtype=float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(y > 0, y * np.log(y), 0.0) + np.where(y < 1, (1 - y) * np.log(1 - y), 0.0)
+    fitted = counted.s @ np.log(chance) + (counted.n - counted.s) @ np.log(1.0 - chance)
+    return 2.0 * float(cells["rows"].to_numpy(dtype=float) @ own - fitted)
 
 
 _FIT_FIELDS = "kind string, name string, value double"
@@ -140,8 +206,8 @@ def fit_ratings(
         cells = cells.withColumn("__all", F.lit(0))
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = _newton(pdf, anchor, prior_elo_sd)
-        deviance = float(np.sum(pdf["rows"].to_numpy() * fit["deviance_terms"]))
+        fit = solve_ratings(pdf, anchor, prior_elo_sd)
+        deviance = _deviance(pdf, fit, prior_elo_sd)
         out = [("rating", p, r) for p, r in zip(fit["players"], fit["ratings"])]
         out += [
             ("fit", "seat0_elo", fit["seat"]), ("fit", "converged", float(fit["converged"])),
@@ -259,6 +325,12 @@ def _poisson_weight(u: Column) -> Column:
     return out.otherwise(18).cast("double")
 
 
+def hashed_uniform(*parts: Column) -> Column:
+    """Uniform number in [0, 1) from the SHA-256 of the parts, joined by ``/``: 52 bits."""
+    text = F.concat_ws("/", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def bootstrap_weights(spark, blocks: Sequence[int], replicates: int, seed: int) -> DataFrame:
     """(replicate, deal_block, weight) drawn with replacement from one numpy stream."""
     rng = np.random.default_rng(seed)
@@ -272,31 +344,31 @@ def bootstrap_weights(spark, blocks: Sequence[int], replicates: int, seed: int)
 
 
 def bootstrap_ratings(
-    matches: DataFrame, anchor: str, replicates: int, seed: int, prior_elo_sd: float = PRIOR_ELO_SD
+    matches: DataFrame, anchor: str, replicates: int, seed: int, prior_elo_sd: float = PRIOR_ELO_SD, method: str = "hash"
 ) -> DataFrame:
     """R-03: deal-block bootstrap; (kind, name, low, median, high, fits) for ratings, pairwise
     differences and the seat effect, and the number of failed replicates.
 
-    Truncated rows are dropped before weighting. With few blocks the weights are the
-    multinomial counts of one numpy stream. With many blocks each (replicate, block) gets an
-    independent Poisson(1) weight from a hash, the usual bootstrap for massive data: it needs no
-    draw table, and rows are combined to (replicate, cell) before the shuffle.
+    Truncated rows are dropped before weighting. ``method="hash"`` gives each (replicate, block) an
+    independent Poisson(1) weight from SHA-256, the usual bootstrap for massive data: it needs no draw
+    table, and rows are combined to (replicate, cell) before the shuffle. ``method="stream"`` draws multinomial
+    counts from one numpy stream on the driver, for reproducing results that were made so; it holds
+    replicates × blocks weights there. The caller chooses; the size of the data never does.
     """
+    if method not in ("hash", "stream"):
+        raise ValueError(f"unknown method {method!r}")
     kept = retained(matches)
     per_block = kept.groupBy("deal_block", "player_a", "player_b", "player_a_seat", "score_a").agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
-    limit = max(1, EXACT_DRAWS // max(replicates, 1))
-    heads = kept.select("deal_block").distinct().limit(limit + 1).collect()
     cell = ["player_a", "player_b", "player_a_seat", "score_a"]
-    if len(heads) <= limit:
-        w = bootstrap_weights(kept.sparkSession, [r[0] for r in heads], replicates, seed)
+    if method == "stream":
+        blocks = [r[0] for r in kept.select("deal_block").distinct().collect()]
+        w = bootstrap_weights(kept.sparkSession, blocks, replicates, seed)
         weighted = per_block.join(w, "deal_block").select("replicate", *cell, (F.col("n") * F.col("weight")).alias("weight"))
     else:
-        reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-        exploded = per_block.select("*", reps)
-        u = (F.xxhash64(F.lit(seed), "replicate", "deal_block").bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
-        weighted = exploded.select("replicate", *cell, (F.col("n") * _poisson_weight(u)).alias("weight"))
+        weighted = per_block.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select(
+            "replicate", *cell, (F.col("n") * _poisson_weight(hashed_uniform(F.lit(seed), F.col("replicate"), F.col("deal_block")))).alias("weight"))
     # Cells of weight zero keep every player in every replicate.
     empty = per_block.select(*cell).distinct().select(
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), *cell, F.lit(0.0).alias("weight")
@@ -305,8 +377,8 @@ def bootstrap_ratings(
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            fit = _newton(pdf, anchor, prior_elo_sd)
-        except (ValueError, np.linalg.LinAlgError):
+            fit = solve_ratings(pdf, anchor, prior_elo_sd, diagnose=False)
+        except ValueError:
             fit = None
         if fit is None or not fit["converged"]:
             return pd.DataFrame([(key[0], "failure", "", 1.0)], columns=["replicate", "kind", "name", "value"])
@@ -435,26 +507,23 @@ def cluster_accuracy(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) ->
 def sign_test_p(wins: Column, losses: Column) -> Column:
     """Two-sided exact sign test from win and loss counts.
 
-    The binomial tail is summed from its largest term downwards in terms of ratios. Terms
-    are added only while they can change the sum (within 40 standard deviations), so a
-    billion discordant clusters do not need a billion terms.
+    The largest term of the binomial tail comes from log factorials; the others follow in terms of ratios.
+    With m of n losses the term i places further is below exp(-2 i² / (n + 1)), so the sum ends where
+    terms fall under 1e-18 of the largest one, whatever the counts.
     """
     n = (wins + losses).cast("double")
     m = F.least(wins, losses).cast("double")
-    # log of C(n, m) / 2^n through the Stirling series (exact products for small n).
-    exact = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(m, F.lit(2000.0)).cast("int"), F.lit(1))),
-        F.lit(0.0),
-        lambda acc, i: acc + F.when(i <= m, F.log((n - m + i) / i)).otherwise(0.0),
-    )
 
     def log_factorial(x: Column) -> Column:
-        z = x + 1.0
-        return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
-
-    stirling = log_factorial(n) - log_factorial(m) - log_factorial(n - m)
-    log_top = F.when(m <= 2000, exact).otherwise(stirling) - n * math.log(2.0)
-    reach = F.least(m, F.ceil(F.lit(40.0) * F.sqrt(n) + 60.0)).cast("int")
+        """Stirling series at x + 16, brought back by the 15 factors in between."""
+        z = x + 16.0
+        between = F.lit(0.0)
+        for k in range(1, 16):
+            between = between + F.log(x + float(k))
+        return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - between
+
+    log_top = log_factorial(n) - log_factorial(m) - log_factorial(n - m) - n * math.log(2.0)
+    reach = F.least(m, F.ceil(F.sqrt(F.lit(21.0) * (n + 1.0))) + 1).cast("int")
     tail = F.aggregate(
         F.sequence(F.lit(0), F.greatest(reach, F.lit(0))),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),

@@ -72,7 +72,7 @@ def test_separated_players_stay_finite(spark):
 
 def test_bootstrap_equals_refit_on_the_same_draws(spark):
     m = population(spark)
-    boot = {(r.kind, r.name): r for r in R.bootstrap_ratings(m, "random", 20, 5).collect()}
+    boot = {(r.kind, r.name): r for r in R.bootstrap_ratings(m, "random", 20, 5, method="stream").collect()}
     rng = np.random.default_rng(5)
     pdf = m.toPandas()
     values = []
@@ -80,24 +80,23 @@ def test_bootstrap_equals_refit_on_the_same_draws(spark):
         draw = rng.choice(np.arange(24), size=24, replace=True)
         w = pdf["deal_block"].map(pd.Series(draw).value_counts()).fillna(0.0)
         cells = pdf.assign(weight=w).groupby(["player_a", "player_b", "player_a_seat", "score_a"], as_index=False)["weight"].sum()
-        fit = R._newton(cells, "random", 400.0)
+        fit = R.solve_ratings(cells, "random", 400.0)
         values.append(dict(zip(fit["players"], fit["ratings"]))["flat64"])
     r = boot["rating", "flat64"]
     assert (r.low, r.median, r.high) == pytest.approx(tuple(np.percentile(values, [2.5, 50, 97.5])), abs=1e-6)
     assert ("difference", "flat16__minus__flat4") in boot and r.fits == 20 and ("failure", "") not in boot
 
 
-def test_poisson_weights_have_unit_mean_and_variance(spark, monkeypatch):
-    uniform = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+def test_poisson_weights_have_unit_mean_and_variance(spark):
+    uniform = R.hashed_uniform(F.lit(7), F.col("id"))
     u = spark.range(200_000).select(R._poisson_weight(uniform).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
     assert u[0] == pytest.approx(1.0, abs=0.02) and u[1] == pytest.approx(1.0, abs=0.03)
-    monkeypatch.setattr(R, "EXACT_DRAWS", 10)
     boot = {(r.kind, r.name): r for r in R.bootstrap_ratings(population(spark), "random", 30, 5).collect()}
     r = boot["rating", "flat64"]
     assert r.low < RATINGS["flat64"] < r.high and r.fits == 30
 
 
-@pytest.mark.parametrize("wins,losses", [(0, 0), (3, 9), (10, 10), (1, 0), (2300, 2500), (150, 20)])
+@pytest.mark.parametrize("wins,losses", [(0, 0), (3, 9), (10, 10), (1, 0), (2300, 2500), (150, 20), (1999, 2001), (0, 900), (6000, 5800)])
 def test_sign_test(spark, wins, losses):
     n, m = wins + losses, min(wins, losses)
     want = 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(m + 1)) / 2**n)
@@ -105,6 +104,24 @@ def test_sign_test(spark, wins, losses):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_fit_equals_dense_newton(spark):
+    rng = np.random.default_rng(1)
+    names = [f"p{k:02d}" for k in range(12)]
+    cells = pd.DataFrame([(names[i], names[j], int(rng.integers(2)), float(rng.choice([0.0, 0.5, 1.0])), float(rng.integers(1, 9)))
+                          for i in range(12) for j in range(i + 1, 12) for _ in range(3)], columns=["player_a", "player_b", "player_a_seat", "score_a", "weight"])
+    fit = R.solve_ratings(cells, "p03", 400.0)
+    x = np.zeros((len(cells), 13))
+    for k, r in enumerate(cells.itertuples()):
+        x[k, names.index(r.player_a)], x[k, names.index(r.player_b)], x[k, 12] = 1, -1, 1 if r.player_a_seat == 0 else -1
+    theta, ridge = np.zeros(13), (R.ELO_PER_LOGIT / 400.0) ** 2
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ theta))
+        h = x.T @ (x * (cells.weight.to_numpy() * p * (1 - p))[:, None]) + ridge * np.eye(13)
+        theta -= np.linalg.solve(h, x.T @ (cells.weight.to_numpy() * (p - cells.score_a.to_numpy())) + ridge * theta)
+    assert fit["theta"] == pytest.approx(theta, abs=1e-9) and fit["converged"]
+    assert fit["condition"] == pytest.approx(np.linalg.cond(h), rel=1e-4)
+
+
 def test_components_and_gaps(spark):
     players = spark.createDataFrame([(p,) for p in "abcdefgh"], "player string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("f", "g"), ("x", "z")], "a string, b string")
