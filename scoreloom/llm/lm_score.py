@@ -188,10 +188,14 @@ def train_models(docs: DataFrame, size: int = VOCABULARY, slots: int = SLOTS, sm
 
 
 def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target rows are those with a label of quality 1 and none that is toxic or of quality 0."""
+    """(doc_id, text, target): target rows are those with a label of quality 1 and none that is toxic or of quality 0.
+
+    Labels grow with the documents, so both sides are shuffled at every size, and skewed ids can be split.
+    """
     good = (
         labels.select(F.col("doc_id").cast("long").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
         .where("id is not null").groupBy("id").agg(F.min(F.coalesce("good", F.lit(False))).alias("good"))
+        .hint("merge")
     )
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
