@@ -26,6 +26,8 @@ PART = 16
 SAMPLE = 20_000
 BLOCK = 16_384
 QUERY_BLOCK = 2_048
+# Bits within which a substring is probed at first; smaller balls hardly ever hold enough rows of a block.
+FIRST_RADIUS = 5
 # Rows that a ball must hold, per neighbour wanted.
 BALL = 15
 
@@ -65,33 +67,51 @@ def codes_of(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Inverted indexes of all substrings of the codes of one block."""
+    """Inverted indexes of all substrings of the codes of one block, laid end to end."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
         self.n, self.parts = codes.shape
-        self.lists = []
+        keys, first, size, order = [], [], [], []
         for p in range(self.parts):
-            order = np.argsort(codes[:, p], kind="stable")
-            keys, first = np.unique(codes[order, p], return_index=True)
-            self.lists.append((keys, first, np.append(first[1:], self.n), order))
+            rows = np.argsort(codes[:, p], kind="stable")
+            own, at, count = np.unique(codes[rows, p], return_index=True, return_counts=True)
+            keys.append(own)
+            first.append(at + p * self.n)
+            size.append(count)
+            order.append(rows)
+        self.cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        self.keys = np.concatenate(keys)
+        self.first, self.size, self.order = (np.concatenate(x).astype(np.int32) for x in (first, size, order))
+        self.wide = self._wide(codes)
+
+    @staticmethod
+    def _wide(codes: np.ndarray) -> np.ndarray:
+        """Codes as columns of 64-bit words."""
+        spare = -codes.shape[1] % 4
+        return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, spare))).view(np.uint64).T)
 
     def ball(self, code: np.ndarray, least: int) -> np.ndarray:
         """Rows of every code within a Hamming radius that is guaranteed complete and holds ``least`` rows (or all)."""
+        near = np.empty(len(self.keys), dtype=np.uint8)
+        for p in range(self.parts):
+            part = slice(self.cuts[p], self.cuts[p + 1])
+            np.bitwise_count(self.keys[part] ^ code[p], out=near[part])
+        least = min(least, self.n)
         met = np.zeros(self.n, dtype=bool)
-        near = [np.bitwise_count(keys ^ code[p]) for p, (keys, _, _, _) in enumerate(self.lists)]
-        for r in range(PART + 1):
-            for p, (_, first, stop, order) in enumerate(self.lists):
-                keys_at = np.flatnonzero(near[p] == r)
-                size = stop[keys_at] - first[keys_at]
-                listed = np.repeat(first[keys_at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                met[order[listed]] = True
-            rows = np.flatnonzero(met)
-            if len(rows) < min(least, self.n):
+        distance = None
+        for r in range(FIRST_RADIUS, PART + 1):
+            at = np.flatnonzero(near <= r if r == FIRST_RADIUS else near == r)
+            size = self.size[at]
+            listed = np.repeat(self.first[at] - (np.cumsum(size, dtype=np.int32) - size), size)
+            listed += np.arange(len(listed), dtype=np.int32)
+            met[self.order[listed]] = True
+            if np.count_nonzero(met) < least:
                 continue
-            radius = self.parts * (r + 1) - 1
-            inside = rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64) <= radius]
-            if len(inside) >= min(least, self.n) or len(rows) == self.n and radius >= self.parts * PART - 1:
+            if distance is None:
+                own = self._wide(code[None, :])
+                distance = sum(np.bitwise_count(w ^ q).astype(np.int16) for w, q in zip(self.wide, own))
+            inside = np.flatnonzero(met & (distance <= self.parts * (r + 1) - 1))
+            if len(inside) >= least:
                 return inside
         return np.arange(self.n)
 
@@ -102,10 +122,14 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
     index = MultiIndex(codes_of(np.concatenate([x, lift[:, None]], axis=1), projection))
     probes = codes_of(np.concatenate([q, np.zeros((len(q), 1))], axis=1), projection)
     out_q, out_i, out_s = [], [], []
+    distinct = len(np.unique(ids)) == len(ids)
     for n in range(len(q)):
         rows = index.ball(probes[n], (k + 1) * ball)
         rows = rows[ids[rows] != query_ids[n]]
         score = x[rows] @ q[n]
+        if distinct and len(rows) > k:
+            near = score >= np.partition(score, len(rows) - k)[len(rows) - k]
+            rows, score = rows[near], score[near]
         order = np.lexsort((ids[rows], -score))
         _, once = np.unique(ids[rows][order], return_index=True)  # a repeated id counts by its best row
         top = order[np.sort(once)][:k]
