@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +45,17 @@ def canonical_text(value, dialect: str = "ascii") -> str:
 
 
 def canonical_json(payload: Column, dialect: str = "ascii") -> Column:
-    """Canonical text of a JSON string column (parse, reorder, re-serialise)."""
+    """Canonical text of a JSON string column (parse, reorder, re-serialise); NULL for a text that is not JSON."""
+
+    def one(text):
+        try:
+            return None if text is None else canonical_text(json.loads(text), dialect)
+        except ValueError:
+            return None
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else canonical_text(json.loads(t), dialect))
+        return texts.map(one)
 
     return run(payload)
 
@@ -56,14 +63,12 @@ def canonical_json(payload: Column, dialect: str = "ascii") -> Column:
 def canonical_row(df: DataFrame, cols: Sequence[str], dialect: str = "ascii") -> Column:
     """Canonical text of selected columns as one JSON object."""
 
-    names = list(cols)
-
-    @F.pandas_udf("string")
-    def run(rows: pd.DataFrame) -> pd.Series:
-        records = rows.astype(object).where(rows.notna(), None).to_dict("records")
-        return pd.Series([canonical_text(r, dialect) for r in records], dtype=object)
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        # Arrow values, so that a row's text does not depend on its neighbours: integers stay integers next to NULL.
+        return pa.array([canonical_text(r, dialect) for r in rows.to_pylist(maps_as_pydicts="strict")], pa.string())
 
-    return run(F.struct(*[F.col(c) for c in names]))
+    return run(F.struct(*[F.col(c) for c in cols]))
 
 
 def canonical_sha256(df: DataFrame, cols: Sequence[str], dialect: str = "ascii",

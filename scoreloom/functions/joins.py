@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest aggregate that is read once and broadcast to the rows it was made from.
-BOUNDED_ROWS = 10_000
-
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate, which has exactly one row, to every row.
@@ -18,16 +17,15 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(row), how="left")
 
 
-def bounded(summary: DataFrame, limit: int = BOUNDED_ROWS) -> DataFrame:
-    """A per-key aggregate ready to be joined back to its input.
+def join_back(df: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of an aggregate over ``keys``; rows with NULL keys meet the NULL group.
 
-    Spark cannot know the size of an aggregate beforehand, so it would shuffle the whole
-    input by a possibly hot key before it learns that one side is tiny. Here the aggregate
-    is evaluated once: up to ``limit`` rows become a broadcast local table (its size is thereby
-    checked); a larger one is returned as it was and joined by shuffle.
+    Nothing is run while the plan is built: adaptive execution broadcasts the aggregate when it turns out
+    small and splits hot keys when it does not.
     """
-    head = summary.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
-        return summary
-    local = summary.sparkSession.createDataFrame(head, summary.schema)
-    return F.broadcast(local)
+    names = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    renamed = summary.withColumnsRenamed(names)
+    match = F.lit(True)
+    for k, n in names.items():
+        match = match & df[k].eqNullSafe(renamed[n])
+    return df.join(renamed, match, how).drop(*names.values())

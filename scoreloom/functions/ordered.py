@@ -20,11 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.functions.joins import attach_row, bounded
+from scoreloom.functions.joins import join_back
 
 CHUNK = 65536
-# Buckets per factor e of the distance to the minimum: bounds the values ranked in one task.
-SUB_BUCKETS = 4096
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -205,59 +203,63 @@ def affine_scan_back(
 
 # ---------------------------------------------------------------- ranks and quantiles
 
+# Steps per factor two in the first bucket number, and buckets between its smallest and largest value in the second.
+LOG_STEPS = 1024
+LINEAR_STEPS = 1 << 21
 
-def _bucketed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add (total, bucket) to rows (keys, __x, __n); the bucket is monotone in the value.
 
-    The bucket is logarithmic in the distance to the key's minimum (and linear very close to it):
-    near a value at distance d a bucket is about d / SUB_BUCKETS wide, so heavy right tails
-    do not crowd into one bucket. The range per key is a partial aggregation.
+def _log_bucket(x: Column) -> Column:
+    """A bucket number that never falls as the value grows; NaN comes last.
+
+    Magnitudes are cut at LOG_STEPS per factor two, so a bucket lies between two neighbouring powers of
+    two, where doubles are evenly spaced.
     """
-    span = rows.groupBy(*keys).agg(
-        F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__n").alias("__total")
+    size = F.lit(1200 * LOG_STEPS) + F.floor(F.log2(F.abs(x)) * LOG_STEPS)
+    return (
+        F.when(F.isnan(x), 9_000_000).when(x == float("inf"), 8_000_000).when(x == float("-inf"), -8_000_000)
+        .when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("bigint")
     )
-    width = F.col("__hi") - F.col("__lo")
-    scale = F.when(width > 0, F.lit(float(1 << 40)) / F.nullif(width, F.lit(0.0))).otherwise(F.lit(0.0))
-    span = span.select(*keys, "__lo", "__total", scale.alias("__scale"))
-    joined = rows.join(bounded(span), list(keys)) if keys else attach_row(rows, span)
-    bucket = F.floor(F.log1p((F.col("__x") - F.col("__lo")) * F.col("__scale")) * SUB_BUCKETS)
-    return joined.select(*keys, "__x", "__n", "__total", bucket.alias("__b"))
 
 
 def _values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("__x"), F.lit(1).cast("bigint").alias("__n")
-    )
+    """(keys, __x, __n, __b): distinct values with counts, combined before the shuffle, and their log bucket."""
+    x = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    counted = x.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    return counted.withColumn("__b", _log_bucket(F.col("__x")))
 
 
-def _collapsed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys, "__x").agg(F.sum("__n").alias("__n"))
+def _log_totals(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (keys, __b): smallest and largest value, rows before the bucket, rows up to its end, rows of the key."""
+    sums = values.groupBy(*keys, "__b").agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__n").alias("__bn"))
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    upto = F.sum("__bn").over(whole.orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
+    return sums.select(
+        *keys, "__b", "__lo", "__hi", (upto - F.col("__bn")).alias("__start"), upto.alias("__end"), F.sum("__bn").over(whole).alias("__total"))
 
 
-def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    totals = counts.groupBy(*keys, "__b").agg(
-        F.sum("__n").alias("__bn"), F.first("__total").alias("__total")
-    )
-    order = W.partitionBy(*keys).orderBy("__b") if keys else W.partitionBy(F.lit(0)).orderBy("__b")
-    cum = order.rowsBetween(W.unboundedPreceding, 0)
-    return totals.withColumn("__end", F.sum("__bn").over(cum)).withColumn(
-        "__start", F.col("__end") - F.col("__bn")
-    )
+def _ranked(values: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values of the given buckets with ``__below``, the rows of their key that are strictly smaller.
+
+    A log bucket is cut into LINEAR_STEPS parts of equal width. As doubles are evenly spaced there, a part has
+    at most 2^52 / LOG_STEPS / LINEAR_STEPS (about two million) distinct ones: no distribution of values can put more
+    into a window.
+    """
+    part = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * LINEAR_STEPS))
+    d = join_back(values, buckets, [*keys, "__b"]).withColumn("__c", F.coalesce(part.cast("bigint"), F.lit(0)))
+    cell = [*keys, "__b", "__c"]
+    sums = d.groupBy(*cell).agg(F.sum("__n").alias("__cn"))
+    order = W.partitionBy(*keys, "__b").orderBy("__c").rowsBetween(W.unboundedPreceding, 0)
+    sums = sums.select(*cell, (F.sum("__cn").over(order) - F.col("__cn")).alias("__before"))
+    inside = W.partitionBy(*cell).orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("__in", F.sum("__n").over(inside) - F.col("__n"))
+    return join_back(d, sums, cell).withColumn("__below", F.col("__start") + F.col("__before") + F.col("__in"))
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value): ``n`` copies, ``below`` rows strictly smaller, ``total`` rows."""
-    counts = _bucketed(_collapsed(_values(df, keys, value), keys), keys)
-    offsets = _bucket_offsets(counts, keys).select(*keys, "__b", "__start")
-    inside = W.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    return ranked.join(offsets, [*keys, "__b"]).select(
-        *keys,
-        F.col("__x").alias(value),
-        F.col("__n").alias("n"),
-        (F.col("__start") + F.col("__in")).alias("below"),
-        F.col("__total").alias("total"),
-    )
+    values = _values(df, keys, value)
+    return _ranked(values, _log_totals(values, keys), keys).select(
+        *keys, F.col("__x").alias(value), F.col("__n").alias("n"), F.col("__below").alias("below"), F.col("__total").alias("total"))
 
 
 def exact_quantiles(
@@ -267,24 +269,20 @@ def exact_quantiles(
     probs: Mapping[str, float],
     kind: str = "linear",
 ) -> DataFrame:
-    """Exact quantiles {column name: probability}, one row per key; NULL values are skipped.
+    """Exact quantiles {column name: probability}, one row per key; NULL values are skipped, NULL keys are a group.
 
     ``kind``: ``linear`` interpolates between neighbours, ``nearest_rank`` takes element
     ceil(q·n), ``rounded`` takes index round((n-1)·q) with ties to even.
 
-    The column is scanned for its range, for bucket counts and for the values of the buckets
-    that hold a wanted rank. The first two passes shuffle partial aggregates only, and the
-    third shuffles about one value in ``SUB_BUCKETS``.
+    Values are counted once; bucket totals tell which buckets hold a wanted rank, and only the values of those
+    are ranked.
     """
-    rows = _bucketed(_values(df, keys, value), keys)
-    offsets = _bucket_offsets(rows, keys)
     n1 = F.col("__total") - 1
     wanted = []
     for name, q in probs.items():
         if kind == "linear":
             pos = n1.cast("double") * F.lit(float(q))
-            low = F.floor(pos)
-            pairs = [("lo", low), ("hi", F.least(F.ceil(pos), n1))]
+            pairs = [("lo", F.floor(pos)), ("hi", F.least(F.ceil(pos), n1))]
         elif kind == "nearest_rank":
             at = F.ceil(F.col("__total") * F.lit(float(q))) - 1
             pairs = [("lo", F.greatest(F.least(at, n1), F.lit(0)))]
@@ -298,43 +296,33 @@ def exact_quantiles(
                     F.lit(name).alias("q"), F.lit(side).alias("side"), rank.cast("bigint").alias("r")
                 )
             )
-    hits = (
-        offsets.withColumn("__want", F.array(*wanted))
+    values = _values(df, keys, value)
+    buckets = (
+        _log_totals(values, keys).withColumn("__want", F.array(*wanted))
         .withColumn(
             "__want",
             F.filter("__want", lambda s: (s["r"] >= F.col("__start")) & (s["r"] < F.col("__end"))),
         )
-        .filter(F.size("__want") > 0)
-        .select(*keys, "__b", "__start", "__total", "__want")
+        .filter(F.size("__want") > 0).drop("__end")
     )
-    hits = bounded(hits)
-    # Equal values of a chosen bucket are combined before the shuffle.
-    chosen = (
-        rows.drop("__total").join(hits.select(*keys, "__b"), [*keys, "__b"], "left_semi")
-        .groupBy(*keys, "__b", "__x").agg(F.sum("__n").alias("__n"))
-        .join(hits, [*keys, "__b"])
-    )
-    inside = W.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
-    last = F.col("__start") + F.sum("__n").over(inside)
     found = (
-        chosen.withColumn("__last", last)
+        _ranked(values, buckets, keys)
         .withColumn(
             "__got",
-            F.filter(
-                "__want",
-                lambda s: (s["r"] < F.col("__last")) & (s["r"] >= F.col("__last") - F.col("__n")),
-            ),
+            F.filter("__want", lambda s: (s["r"] >= F.col("__below")) & (s["r"] < F.col("__below") + F.col("__n"))),
         )
         .filter(F.size("__got") > 0)
-        .select(*keys, "__x", "__total", F.explode("__got").alias("g"))
+        .select(*keys, "__x", "__total", F.explode("__got").alias("__hit"))
     )
     outs = []
     for name, q in probs.items():
-        lo = F.max(F.when((F.col("g.q") == name) & (F.col("g.side") == "lo"), F.col("__x")))
+        lo = F.max(F.when((F.col("__hit.q") == name) & (F.col("__hit.side") == "lo"), F.col("__x")))
         if kind == "linear":
-            hi = F.max(F.when((F.col("g.q") == name) & (F.col("g.side") == "hi"), F.col("__x")))
+            hi = F.max(F.when((F.col("__hit.q") == name) & (F.col("__hit.side") == "hi"), F.col("__x")))
             pos = (F.max("__total") - 1).cast("double") * F.lit(float(q))
-            outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+            share = pos - F.floor(pos)
+            # Equal neighbours are not subtracted: two infinities would give NaN.
+            outs.append(F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share).alias(name))
         else:
             outs.append(lo.alias(name))
     return found.groupBy(*keys).agg(*outs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
-from scoreloom.functions.joins import attach_row, bounded
+from scoreloom.functions.joins import attach_row, join_back
 
 # Action kinds of the decision log, in availability order.
 ACTION_KINDS = ("land", "spell", "pass", "attack", "block", "target")
@@ -353,8 +353,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ())
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
-    span = bounded(span) if by else span
-    joined = df.join(span, list(by)) if by else attach_row(df, span)
+    joined = join_back(df, span, by) if by else attach_row(df, span)
     width = (F.col("hi") - F.col("lo")) / bins
     bucket = F.least(F.floor((E.dbl(value) - F.col("lo")) / width), F.lit(bins - 1))
     counts = joined.groupBy(*by, bucket.cast("int").alias("bin")).agg(
@@ -362,7 +361,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ())
     )
     spine = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return (
-        spine.join(counts, [*by, "bin"], "left")
+        join_back(spine, counts, [*by, "bin"], "left")
         .withColumn("bin_lower", F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins)
         .withColumn("count", F.coalesce("count", F.lit(0)))
         .drop("lo", "hi")

@@ -79,12 +79,13 @@ def continuation(decisions: DataFrame, events: DataFrame, replay: str = "replay_
     A viewer's intervals [cursor, next cursor) are disjoint, the first one starts at 0, so
     instead of a range join the decisions and events of a viewer are merged into one
     sequence and each event takes the last decision at or before it. Of decisions with
-    equal cursors only the last has a non-empty interval. ``heads`` (replay, viewer, head)
+    equal cursors only the last has a non-empty interval, except that the events before the first cursor belong
+    to its first decision. ``heads`` (replay, viewer, head)
     bounds the last interval.
     """
     keys = [replay, "viewer"]
     marks = decisions.groupBy(*keys, "cursor").agg(F.max("ordinal").alias("ordinal"))
-    first = decisions.groupBy(*keys).agg(F.min_by("ordinal", F.struct("cursor", -F.col("ordinal"))).alias("__first"))
+    first = decisions.groupBy(*keys).agg(F.min_by("ordinal", F.struct("cursor", "ordinal")).alias("__first"))
     merged = marks.select(*keys, (F.col("cursor") * 2).alias("__at"), F.col("ordinal").cast("bigint").alias("ordinal"), F.lit(None).cast("bigint").alias("seq")).unionByName(
         events.select(*keys, (F.col("seq") * 2 + 1).alias("__at"), F.lit(None).cast("bigint").alias("ordinal"), F.col("seq").cast("bigint").alias("seq"))
     )

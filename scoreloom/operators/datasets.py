@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
-from scoreloom.functions.joins import attach_row, bounded
+from scoreloom.functions.joins import attach_row, join_back
 from scoreloom.operators.calibration import truth_label
 from scoreloom.operators.measurements import soft_targets
 from scoreloom.operators.sequences import violation
@@ -78,7 +78,7 @@ def offset_games(df: DataFrame) -> DataFrame:
     # One row per round.
     before = W.partitionBy(F.lit(0)).orderBy("round").rowsBetween(W.unboundedPreceding, -1)
     offsets = tops.select("round", F.coalesce(F.sum(F.col("__top") + 1).over(before), F.lit(0)).alias("__off"))
-    return df.join(bounded(offsets), "round").withColumn("game_index", F.col("game_index") + F.col("__off")).drop("__off")
+    return join_back(df, offsets, ["round"]).withColumn("game_index", F.col("game_index") + F.col("__off")).drop("__off")
 
 
 def visit_targets(visits: Column | str = "visit_counts", valid: Column | str = "actions_valid") -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
 from scoreloom.functions.canonical import canonical_text
-from scoreloom.functions.joins import attach_row, bounded
+from scoreloom.functions.joins import attach_row, join_back
 
 # Decision kind by action space (anything else is 'other').
 KIND_BY_ACTION_SPACE = {
@@ -388,7 +388,7 @@ def gae(rollouts: DataFrame, gamma: float, lam: float, env: Sequence[str] = ("en
 def normalise(df: DataFrame, value: str, by: Sequence[str] = (), eps: float = 1e-8) -> DataFrame:
     """W-13: centred and scaled by the sample deviation; unscaled when it is missing or tiny."""
     s = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    j = df.join(bounded(s), list(by)) if by else attach_row(df, s)
+    j = join_back(df, s, by) if by else attach_row(df, s)
     centred = F.col(value) - F.col("__m")
     flat = F.col("__s").isNull() | F.isnan("__s") | (F.col("__s") < eps)
     return j.withColumn(f"{value}_normalised", F.when(flat, centred).otherwise(centred / (F.col("__s") + eps))).drop("__m", "__s")

@@ -263,7 +263,10 @@ def from_weights(df: DataFrame, keys: Sequence[str] = ("space_id",), weight: str
 
 def update(beliefs: DataFrame, likelihoods: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
     """B-06: condition on one commitment: mixed = (1-e)·L + e·matching/legal where both counts are
-    positive, else 0; renormalised. Violations: ranges, missing rows, spaces without mass."""
+    positive, else 0; renormalised. Violations: ranges, missing rows, spaces without mass.
+
+    A space with any violation ends: none of its worlds is returned.
+    """
     if not 0.0 <= epsilon < 1.0:
         raise ValueError("epsilon must be in [0, 1)")
     key = ["space_id", "world_index"]
@@ -275,10 +278,12 @@ def update(beliefs: DataFrame, likelihoods: DataFrame, epsilon: float) -> tuple[
         F.when(like.isNotNull() & ~(E.finite("likelihood") & like.between(0, 1)), F.lit("likelihood_range")),
         F.when((legal < 0) | (match < 0), F.lit("negative_count")), F.when(match > legal, F.lit("matching_exceeds_legal")),
     ]
-    bad = j.select(F.explode(F.array_compact(F.array(*rules))).alias("rule"), text.alias("key"), F.lit("").alias("detail"))
+    broken = F.array_compact(F.array(*rules))
+    bad = j.select(F.explode(broken).alias("rule"), text.alias("key"), F.lit("").alias("detail"))
+    ended = j.filter(F.size(broken) > 0).select("space_id").distinct()
     share = match.cast("double") / F.when(legal > 0, legal)
     mixed = F.when((legal > 0) & (match > 0), (1.0 - epsilon) * like + epsilon * share).otherwise(0.0)
-    new = j.withColumn("__x", mixed).withColumn(
+    new = j.join(ended, "space_id", "left_anti").withColumn("__x", mixed).withColumn(
         "log_p", F.when(F.col("__x") > 0, F.col("log_p") + F.log(F.when(F.col("__x") > 0, F.col("__x")))).otherwise(F.lit(NEG_INF))
     )
     out, empty = log_normalise(new.select(*beliefs.columns), ["space_id"])
@@ -336,11 +341,13 @@ def transport(beliefs: DataFrame, pools: DataFrame, facts: DataFrame, target_wor
     """B-09: exits, then returns, then hidden draws, then the join into the next space (J-09).
 
     ``facts``: space_id, next_space_id, exits array<string>, returns array<string>, hidden_draws.
-    Several spaces move at once; spaces that need fewer draws wait unchanged.
+    Several spaces move at once; spaces that need fewer draws wait unchanged. A space any of whose mass
+    arrives outside the next space's worlds ends with a violation. Facts of spaces without a belief are ignored.
     """
     from scoreloom.operators.comparisons import join_support
 
-    f = facts.select("space_id", "next_space_id", "exits", "returns", "hidden_draws")
+    f = facts.select("space_id", "next_space_id", "exits", "returns", "hidden_draws").join(
+        beliefs.select("space_id").distinct(), "space_id", "left_semi")
     p = pools.select("space_id", "pool", "hand_size")
     j = beliefs.filter(F.col("log_p") > F.lit(NEG_INF)).join(f, "space_id").join(p, "space_id")
     need = lambda h: F.forall(
@@ -371,8 +378,10 @@ def transport(beliefs: DataFrame, pools: DataFrame, facts: DataFrame, target_wor
         j = waiting.unionByName(merged.select(*waiting.columns))
     moved = j.select(F.col("next_space_id").alias("space_id"), "hand_key", "log_p")
     target = target_worlds.join(f.select(F.col("next_space_id").alias("space_id")).distinct(), "space_id", "left_semi")
-    joined, lost = join_support(moved, target.select("space_id", "world_index", "hand", "hand_key"))
-    out, empty = log_normalise(joined, ["space_id"])
+    target = target.select("space_id", "world_index", "hand", "hand_key")
+    joined, lost = join_support(moved, target)
+    ended = moved.join(target, ["space_id", "hand_key"], "left_anti").select("space_id").distinct()
+    out, empty = log_normalise(joined.join(ended, "space_id", "left_anti"), ["space_id"])
     return out, lost.unionByName(empty)
 
 
@@ -547,7 +556,9 @@ def track(
     records: DataFrame | None = None
     violations = bad
     for s in range(0 if longest is None else longest + 1):
-        step = live.filter(F.col("sequence") == s).withColumn("sid", sid)
+        # A key that met a violation has no state any more, and its later transitions are left out.
+        alive = state.select(F.col("space_id").alias("sid")).distinct()
+        step = live.filter(F.col("sequence") == s).withColumn("sid", sid).join(alive, "sid", "left_semi")
         acting = state.join(step.select(F.col("sid").alias("space_id")), "space_id", "left_semi")
         resting = state.join(step.select(F.col("sid").alias("space_id")), "space_id", "left_anti")
         committed = step.filter(F.col("commitment_kind").isNotNull() & (F.col("acting") != F.col("viewer"))).select(F.col("sid").alias("space_id"))

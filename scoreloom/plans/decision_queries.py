@@ -425,7 +425,7 @@ def z03(t):
 def z02(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", Z.STATE_CONF["spark.sql.streaming.stateStore.providerClass"])
     body = F.concat(F.lit('{"kind":"'), F.col("role"), F.lit('","previous_event_sha256":null,"turn":'), F.col("turn").cast("string"), F.lit("}"))
-    event = F.concat(F.lit('{"event_sha256":"'), F.sha2(body, 256), F.lit('",'), F.substring(body, 2, 100000))
+    event = F.concat(F.lit('{"event_sha256":"'), F.sha2(body, 256), F.lit('",'), F.substr(body, F.lit(2)))
     s = _file_stream(t, "conversations").select(F.col("conv_id").cast("string").alias("ledger_id"), F.col("turn").cast("bigint").alias("ordinal"), event.alias("event"))
     out = _run_to_end(Z.verify_ledger_stream(s))
     return out.select(F.col("ledger_id").cast("bigint").alias("ledger_id"), "ordinal", "violation")

@@ -156,7 +156,7 @@ def r05b(t):
     f"""WITH {_PAIR}, d AS (SELECT pl.scenario, pl.correct-pr.correct AS v FROM pl JOIN pr ON pl.scenario=pr.scenario AND pl.run_seed=pr.run_seed),
     a AS (SELECT scenario, AVG(v) AS md, COUNT(*) AS clusters, {ct('v>0')} AS wins, {ct('v<0')} AS losses, {ct('v=0')} AS ties FROM d GROUP BY 1),
     p AS (SELECT scenario, SUM(exp(lgamma(wins+losses+1)-lgamma(i+1)-lgamma(wins+losses-i+1)-(wins+losses)*ln(2))) AS tail
-      FROM a, range(100000) r(i) WHERE i <= least(wins, losses) GROUP BY 1)
+      FROM a, UNNEST(range(0, least(wins, losses) + 1)) r(i) GROUP BY 1)
     SELECT a.scenario, {r6('md')} AS mean_difference, clusters, wins, losses, ties, {r6('least(1.0, 2*tail)')} AS two_sided_exact_sign_p
     FROM a JOIN p ON p.scenario=a.scenario""",
 )

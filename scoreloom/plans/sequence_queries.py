@@ -190,7 +190,7 @@ def _ledger(t):
         F.lit(',"sequence":'), F.col("turn").cast("string"), F.lit("}"),
     )
     own = F.when(F.col("turn") % 4 == 3, F.col("link")).otherwise(F.sha2(body, 256))
-    event = F.concat(F.lit('{"event_sha256":"'), own, F.lit('",'), F.substring(body, 2, 100000))
+    event = F.concat(F.lit('{"event_sha256":"'), own, F.lit('",'), F.substr(body, F.lit(2)))
     return c.select(F.col("conv_id").alias("ledger_id"), F.col("turn").alias("ordinal"), event.alias("event"))
 
 
@@ -304,14 +304,14 @@ def w14(t):
 
 @query(
     "W15_potential_reward",
-    f"""WITH p AS (SELECT event_id, user_id, 0.1*(k-user_id)+0.5*(value-k)/20 AS phi, k % 13 = 0 AS over FROM v_events),
+    f"""WITH p AS (SELECT event_id, user_id, 0.1E0*(k-user_id)+0.5E0*(value-k)/20 AS phi, k % 13 = 0 AS over FROM v_events),
     q AS (SELECT *, lead(phi) OVER w AS np, lead(over) OVER w AS no FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-    SELECT event_id, {r6('0.99*CASE WHEN no THEN 0 ELSE np END - phi')} AS potential_reward FROM q WHERE np IS NOT NULL""",
+    SELECT event_id, 0.99E0*CASE WHEN no THEN 0 ELSE np END - phi AS potential_reward FROM q WHERE np IS NOT NULL""",
 )
 def w15(t):
     e = t.v_events.withColumn("game_over", F.col("k") % 13 == 0).withColumn("zero", F.lit(0))
     phi = S.potential({"land": 0.1, "life": 0.5}, ("k", "user_id"), ("zero", "zero"), ("value", "k"))
-    return rounded(S.potential_reward(e, ["user_id"], "event_id", phi, 0.99).select("event_id", "potential_reward"))
+    return S.potential_reward(e, ["user_id"], "event_id", phi, 0.99).select("event_id", "potential_reward")
 
 
 @query(

@@ -224,19 +224,19 @@ def b08b(t):
 
 
 def _next(t):
-    """The spaces after one hidden draw, under new ids."""
-    return pools(t, 4).withColumn("space_id", F.col("space_id") + 1_000_000)
+    """The spaces after one hidden draw, under ids of their own: -1 - id."""
+    return pools(t, 4).withColumn("space_id", -1 - F.col("space_id"))
 
 
 @query(
     "B09_transport",
-    f"WITH {L}, {_draw_cte('up', 'pu')}, {_worlds_cte(4, 'w4')} SELECT w4.space_id + 1000000 AS space_id, w4.hand_key, {r6('COALESCE(m, 0)')} AS p FROM w4 JOIN (SELECT DISTINCT space_id FROM dr) s ON s.space_id=w4.space_id LEFT JOIN dr ON dr.space_id=w4.space_id AND dr.hand_key=w4.hand_key",
+    f"WITH {L}, {_draw_cte('up', 'pu')}, {_worlds_cte(4, 'w4')} SELECT -1 - w4.space_id AS space_id, w4.hand_key, {r6('COALESCE(m, 0)')} AS p FROM w4 JOIN (SELECT DISTINCT space_id FROM dr) s ON s.space_id=w4.space_id LEFT JOIN dr ON dr.space_id=w4.space_id AND dr.hand_key=w4.hand_key",
 )
 def b09(t):
     pl = pools(t)
     w = worlds(pl)
     none = F.array().cast("array<string>")
-    facts = pl.select("space_id", (F.col("space_id") + 1_000_000).alias("next_space_id"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
+    facts = pl.select("space_id", (-1 - F.col("space_id")).alias("next_space_id"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
     out, _ = B.transport(posterior(w), pl, facts, worlds(_next(t)))
     return rounded(out.select("space_id", "hand_key", F.exp("log_p").alias("p")))
 
@@ -321,15 +321,15 @@ def _tracking(t):
     first = pl.select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(0).cast("bigint").alias("sequence"), F.lit(10).alias("before_revision"), F.lit(11).alias("after_revision"),
                       sid.alias("before_space"), sid.alias("after_space"), F.lit(1).alias("acting"), F.lit("cast").alias("commitment_kind"), none.alias("exits"), none.alias("returns"), F.lit(0).alias("hidden_draws"))
     second = pl.select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(1).cast("bigint").alias("sequence"), F.lit(11).alias("before_revision"), F.lit(12).alias("after_revision"),
-                       sid.alias("before_space"), (sid + 1_000_000).alias("after_space"), F.lit(1).alias("acting"), F.lit(None).cast("string").alias("commitment_kind"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
+                       sid.alias("before_space"), (-1 - sid).alias("after_space"), F.lit(1).alias("acting"), F.lit(None).cast("string").alias("commitment_kind"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
     starts = pl.select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(10).alias("revision"), sid.alias("space_id"))
-    lik = likelihoods(w.filter("space_id < 1000000")).select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(0).cast("bigint").alias("sequence"), "world_index", "likelihood", "legal", "matching")
+    lik = likelihoods(w.filter("space_id >= 0")).select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(0).cast("bigint").alias("sequence"), "world_index", "likelihood", "legal", "matching")
     return B.track(first.unionByName(second), starts, spaces, w, lik, 0.1)
 
 
 @query(
     "B15_track_beliefs",
-    f"WITH {L}, {_draw_cte('up', 'pu')}, {_worlds_cte(4, 'w4')} SELECT w4.space_id + 1000000 AS real_space, w4.hand_key, {r6('COALESCE(m, 0)')} AS p FROM w4 JOIN (SELECT DISTINCT space_id FROM dr) s ON s.space_id=w4.space_id LEFT JOIN dr ON dr.space_id=w4.space_id AND dr.hand_key=w4.hand_key",
+    f"WITH {L}, {_draw_cte('up', 'pu')}, {_worlds_cte(4, 'w4')} SELECT -1 - w4.space_id AS real_space, w4.hand_key, {r6('COALESCE(m, 0)')} AS p FROM w4 JOIN (SELECT DISTINCT space_id FROM dr) s ON s.space_id=w4.space_id LEFT JOIN dr ON dr.space_id=w4.space_id AND dr.hand_key=w4.hand_key",
 )
 def b15(t):
     _, final, _ = _tracking(t)

@@ -99,34 +99,62 @@ LEDGER_OUTPUT = "ledger_id string, ordinal bigint, head string, violation string
 
 
 class LedgerHead(StatefulProcessor):
-    """Z-02: running head hash of one ledger. Events arriving out of order are violations, not reordered."""
+    """Z-02: running head hash of one ledger.
+
+    Events that come early wait in the state until the gap before them closes, so the verdict does not depend on
+    where triggers begin. An event at or before the head is out of order, and so is every event after a violation;
+    neither is reordered. Rows are taken one at a time.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "ordinal long, hash string")
+        self.head = handle.getValueState("head", "ordinal long, hash string, broken boolean")
+        self.waiting = handle.getMapState("waiting", "ordinal long", "event string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _problem(self, text: str | None, previous: str | None) -> tuple[str | None, str | None]:
+        """(own hash, violation) of the event that follows ``previous``."""
         import hashlib
 
-        frame = pd.concat(list(rows)).sort_values("ordinal")
-        out = []
-        for row in frame.itertuples():
-            last, previous = self.head.get() if self.head.exists() else (-1, None)
-            problem = None
-            try:
-                event = json.loads(row.event)
-                own = event.pop("event_sha256", None)
-                if int(row.ordinal) != int(last) + 1:
-                    problem = "out_of_order"
-                elif event.get("previous_event_sha256") != previous:
-                    problem = "chain_mismatch"
-                elif hashlib.sha256(canonical_text(event).encode()).hexdigest() != own:
-                    problem = "digest_mismatch"
-            except (TypeError, ValueError, AttributeError):
-                own, problem = None, "invalid_json"
-            if problem is None:
-                self.head.update((int(row.ordinal), own))
-            out.append((key[0], int(row.ordinal), own if problem is None else previous, problem))
-        yield pd.DataFrame(out, columns=["ledger_id", "ordinal", "head", "violation"])
+        try:
+            event = json.loads(text)
+            own = event.pop("event_sha256", None)
+            if event.get("previous_event_sha256") != previous:
+                return own, "chain_mismatch"
+            if hashlib.sha256(canonical_text(event).encode()).hexdigest() != own:
+                return own, "digest_mismatch"
+        except (TypeError, ValueError, AttributeError):
+            return None, "invalid_json"
+        return own, None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, previous, broken = self.head.get() if self.head.exists() else (-1, None, False)
+        for frame in rows:
+            out = []
+            for ordinal, text in zip(frame["ordinal"].tolist(), frame["event"].tolist()):
+                if broken or ordinal <= last:
+                    out.append((key[0], ordinal, previous, "out_of_order"))
+                    continue
+                if ordinal > last + 1:
+                    if self.waiting.containsKey((ordinal,)):
+                        out.append((key[0], ordinal, previous, "out_of_order"))
+                    else:
+                        self.waiting.updateValue((ordinal,), (text,))
+                    continue
+                while True:
+                    own, problem = self._problem(text, previous)
+                    broken = problem is not None
+                    last, previous = (last, previous) if broken else (ordinal, own)
+                    out.append((key[0], ordinal, previous, problem))
+                    ordinal += 1
+                    if broken or not self.waiting.containsKey((ordinal,)):
+                        break
+                    text = self.waiting.getValue((ordinal,))[0]
+                    self.waiting.removeKey((ordinal,))
+                if broken:
+                    for late in sorted(k[0] for k in self.waiting.keys()):
+                        out.append((key[0], late, previous, "out_of_order"))
+                    self.waiting.clear()
+            yield pd.DataFrame(out, columns=["ledger_id", "ordinal", "head", "violation"])
+        self.head.update((last, previous, broken))
 
     def close(self) -> None:
         pass
@@ -139,13 +167,16 @@ def verify_ledger_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def running_health(events: DataFrame, keys: Sequence[str], by: Sequence[str] = ("run", "update"), ts: str | None = "ts", delay: str = "10 minutes") -> DataFrame:
+def running_health(events: DataFrame, keys: Sequence[str], by: Sequence[str] = ("run", "update"), ts: str = "ts", delay: str = "10 minutes", window: str | None = None) -> DataFrame:
     """Z-03: counters of truthy events per run and update, in update mode.
 
-    The watermark on ``ts`` is an addition of ours: it lets the state of old updates be dropped.
+    Without ``window`` the state keeps one row per run and update for ever. With a ``window`` (such as ``1 hour``) counters are
+    kept per event-time window too, in the column ``window``, and the watermark ``delay`` on ``ts`` drops closed ones.
     """
-    src = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if ts else events
-    return src.groupBy(*by).agg(*[E.count_true(F.col(k)).alias(k) for k in keys])
+    if window is None:
+        return events.groupBy(*by).agg(*[E.count_true(F.col(k)).alias(k) for k in keys])
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return timed.groupBy(*by, F.window(ts, window).alias("window")).agg(*[E.count_true(F.col(k)).alias(k) for k in keys])
 
 
 def running_metrics(actions: DataFrame, by: Sequence[str] = ("evaluation_id",)) -> DataFrame:
