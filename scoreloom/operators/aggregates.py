@@ -104,7 +104,7 @@ def distribution(
         stats = stats.withColumns({"ci95_lower": lo, "ci95_upper": hi})
     stats = stats.drop("__sd")
     quantiles = O.exact_quantiles(stack_columns(df, by, cols), keys, "value", probs, kind)
-    return stats.join(quantiles, keys, "left")
+    return join_back(stats, quantiles, keys, "left")
 
 
 def fill_distribution(dist: DataFrame, value_cols: Sequence[str]) -> DataFrame:
@@ -317,7 +317,7 @@ def turn_analysis(games: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count("steps").alias("count"), F.min("steps").alias("min"), F.max("steps").alias("max")
     )
     q = O.exact_quantiles(tagged, keys, "steps", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return stats.join(q, keys, "left")
+    return join_back(stats, q, keys, "left")
 
 
 def win_rate_by_band(

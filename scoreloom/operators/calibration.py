@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
-from scoreloom.functions.joins import attach_row
+from scoreloom.functions.joins import attach_row, join_back
 
 
 def bin_edges(bins: int, edges: str = "division") -> list[tuple[float, float]]:
@@ -147,7 +147,7 @@ def belief_calibration(
         *by, F.col("brier").alias("mean_per_card_brier"), F.col("expected_calibration_error").alias("per_card_ece")
     )
     if by:
-        head = base.join(med, list(by), "left").join(overall, list(by), "left")
+        head = join_back(join_back(base, med, by, "left"), overall, by, "left")
     else:
         head = attach_row(
             attach_row(base, med.agg(F.max("median_rank").alias("median_rank"))),
@@ -168,7 +168,7 @@ def paired_truth(points: DataFrame, by: Sequence[str] = (), order: str = "ordina
     m1 = O.exact_quantiles(points, by, "improvement", {"median_improvement": 0.5})
     m2 = O.exact_quantiles(points, by, "mass_ratio", {"median_mass_ratio": 0.5})
     if by:
-        return out.join(m1, list(by), "left").join(m2, list(by), "left")
+        return join_back(join_back(out, m1, by, "left"), m2, by, "left")
     return attach_row(attach_row(out, m1.agg(F.max("median_improvement").alias("median_improvement"))),
                       m2.agg(F.max("median_mass_ratio").alias("median_mass_ratio")))
 

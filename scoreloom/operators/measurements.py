@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
-from scoreloom.functions.joins import attach_row
+from scoreloom.functions.joins import attach_row, join_back
 
 INF = float("inf")
 
@@ -30,7 +30,7 @@ def search_cost(blocks: DataFrame, by: Sequence[str] = ("player_id",)) -> DataFr
     )
     samples = blocks.select(*by, F.explode("decision_seconds").alias("s"))
     q = O.exact_quantiles(samples, by, "s", {"p50": 0.5, "p95": 0.95})
-    out = totals.join(q, list(by), "left")
+    out = join_back(totals, q, by, "left")
     return out.select(
         *by, "decisions", "seconds", "simulations", "cap_hits", "max_depth_max",
         E.rate("seconds", "decisions").alias("mean_seconds_per_decision"),
@@ -87,7 +87,7 @@ def isolated_profile(samples: DataFrame, by: Sequence[str] = ("player_id",)) ->
         F.min("baseline_rss_bytes").alias("__base"),
     )
     q = O.exact_quantiles(samples, by, "latency_seconds", {"p50_seconds": 0.5, "p95_seconds": 0.95})
-    return t.join(q, list(by), "left").select(
+    return join_back(t, q, by, "left").select(
         *by, "samples", "elapsed", "p50_seconds", "p95_seconds",
         E.rate("samples", "elapsed", INF).alias("decisions_per_second"),
         E.rate("__sims", "elapsed", None).alias("simulations_per_second"),
@@ -226,7 +226,7 @@ def root_stability(searches: DataFrame, seeds: Sequence[int]) -> DataFrame:
         F.avg("max_depth").alias("mean_max_depth"),
         F.sum("cap_hits").alias("cap_hits"),
     )
-    return per.join(pair_stats, "budget", "left").join(median, "budget", "left")
+    return join_back(join_back(per, pair_stats, ["budget"], "left"), median, ["budget"], "left")
 
 
 def mechanism_contrast(primary: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -323,7 +323,7 @@ def cell_summary(
         repeat, ["cell_id"], "root_latency",
         {f"root_latency_seconds_p{p}": p / 100 for p in (50, 95, 99)}, "nearest_rank",
     )
-    return out.join(q, "cell_id", "left").withColumns(
+    return join_back(out, q, ["cell_id"], "left").withColumns(
         {
             "simulations_per_second": E.rate("simulations", "barrier_wall_seconds"),
             "transitions_per_second": E.rate("transitions", "barrier_wall_seconds"),
@@ -339,7 +339,7 @@ def latency_summary(samples: DataFrame, by: Sequence[str], value: str) -> DataFr
         F.bround(F.avg(E.dbl(value)), 0).alias("mean"),
     )
     q = O.exact_quantiles(samples, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "nearest_rank")
-    return s.join(q, list(by), "left")
+    return join_back(s, q, by, "left")
 
 
 def workload_summary(
@@ -356,7 +356,7 @@ def workload_summary(
         F.avg("duration_ms").alias("mean_ms"),
     )
     q = O.exact_quantiles(commands, [by], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    out = head.join(lat, by, "left").join(q, by, "left").withColumns(
+    out = join_back(join_back(head, lat, [by], "left"), q, [by], "left").withColumns(
         {
             "steps_per_second": E.rate("commands", "seconds"),
             "games_per_second": E.rate("games", "seconds"),
@@ -412,7 +412,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
         F.min("seconds").alias("min"), F.max("seconds").alias("max"), F.avg("seconds").alias("mean"),
     )
     q = O.exact_quantiles(spans, ["path"], "seconds", {"p5": 0.05, "p95": 0.95})
-    s = s.join(q, "path")
+    s = join_back(s, q, ["path"])
     is_root = ~F.contains(F.col("path"), F.lit("/"))
     overall = s.filter(is_root).agg(F.sum("total_time").alias("__all"))
     parents = s.select(F.col("path").alias("__pp"), F.col("total_time").alias("__pt"))
@@ -791,11 +791,13 @@ def belief_player_cost(rows: DataFrame, series: Sequence[str], by: Sequence[str]
     ``rows`` has one row per sampled world (key ``world_index``) with the latencies of its
     decision on exactly one row and NULL elsewhere.
     """
-    q = None
-    for s in series:
-        one = O.exact_quantiles(rows, by, s, {f"p50_{s}": 0.5, f"p95_{s}": 0.95})
-        one = one.select(*by, (F.col(f"p50_{s}") * 1000).alias(f"p50_{s}_ms"), (F.col(f"p95_{s}") * 1000).alias(f"p95_{s}_ms"))
-        q = one if q is None else q.join(one, list(by), "full_outer")
+    # All series in one pass, one row per series and latency.
+    entries = F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("seconds")) for s in series])
+    stacked = rows.select(*by, F.explode(entries).alias("__e")).select(*by, F.col("__e.series").alias("__series"), F.col("__e.seconds").alias("__seconds"))
+    each = O.exact_quantiles(stacked, [*by, "__series"], "__seconds", {"p50": 0.5, "p95": 0.95})
+    q = each.groupBy(*by).agg(*[
+        (F.max(F.when(F.col("__series") == s, F.col(p))) * 1000).alias(f"{p}_{s}_ms") for s in series for p in ("p50", "p95")
+    ])
     unique = (
         rows.groupBy(*by, "decision", "world_index").agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*by).agg(F.sum("n").alias("sampled_worlds"), F.count(F.lit(1)).alias("unique_sampled_worlds"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
-from scoreloom.functions.joins import attach_row
+from scoreloom.functions.joins import attach_row, join_back
 from scoreloom.session import cut_lineage
 
 # Fixed values of the rating scale: Elo points per unit of log odds, anchor rating, limits.
@@ -601,7 +601,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     ry = O.value_ranks(pairs, by, "__vy").select(
         *by, "__vy", (F.col("below") + (F.col("n") - 1) / 2.0 - (F.col("total") - 1) / 2.0).alias("__ry")
     )
-    j = joint.join(rx, [*by, "__vx"]).join(ry, [*by, "__vy"])
+    j = join_back(join_back(joint, rx, [*by, "__vx"]), ry, [*by, "__vy"])
     c = F.col("__c")
     g = j.groupBy(*by).agg(
         F.sum(c).alias("n"), F.sum(c * F.col("__rx") * F.col("__ry")).alias("xy"),

@@ -329,7 +329,7 @@ def world_rank(beliefs: DataFrame, keys: Sequence[str], p: str = "p") -> DataFra
         *keys, F.col(p).alias("__p"), (F.col("total") - F.col("below") - F.col("n") + 1).alias("rank")
     )
     b = beliefs.withColumn("__p", F.when(F.col(p) > 0, F.col(p).cast("double")))
-    return b.join(ranks, [*keys, "__p"], "left").drop("__p")
+    return join_back(b, ranks, [*keys, "__p"], "left").drop("__p")
 
 
 def top_worlds(df: DataFrame, keys: Sequence[str], k: int, weight: str = "weight", index: str = "world_index") -> DataFrame:

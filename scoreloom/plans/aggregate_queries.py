@@ -82,6 +82,15 @@ def a03(t):
     return rounded(out, ["mean", "min", "max", "median", "p95", "ci95_lower", "ci95_upper"])
 
 
+@query(
+    "A03_null_group",
+    _dist_sql("SELECT nullif(l_returnflag, 'N') AS flag, 'quantity' AS metric, l_quantity AS value FROM lineitem", ["flag", "metric"]),
+)
+def a03_null(t):
+    li = t.lineitem.withColumn("flag", F.nullif(F.col("l_returnflag"), F.lit("N")))
+    return rounded(A.distribution(li, {"quantity": "l_quantity"}, ["flag"]), ["mean", "min", "max", "median", "p95", "ci95_lower", "ci95_upper"])
+
+
 @query(
     "A03_distribution_overall",
     _dist_sql(

@@ -98,6 +98,20 @@ def j05(t):
     return X.continuation(t.sql(f"WITH {_CONT} SELECT * FROM de"), t.sql(f"WITH {_CONT} SELECT * FROM ee"))
 
 
+_TIED = _CONT.replace("event_id AS cursor", "event_id - event_id % 50 AS cursor")
+
+
+@query(
+    "J05_tied_cursor",
+    f"""WITH {_TIED}, m AS (SELECT replay_id, viewer, cursor, MAX(ordinal) AS last, MIN(ordinal) AS lowest FROM de GROUP BY 1, 2, 3),
+    i AS (SELECT *, lead(cursor) OVER w AS hi, row_number() OVER w AS place FROM m WINDOW w AS (PARTITION BY replay_id, viewer ORDER BY cursor))
+    SELECT i.replay_id, i.viewer, CASE WHEN e.seq < i.cursor THEN i.lowest ELSE i.last END AS ordinal, e.seq FROM i JOIN ee e ON e.replay_id=i.replay_id AND e.viewer=i.viewer
+      AND ((e.seq>=i.cursor AND (hi IS NULL OR e.seq<hi)) OR (place=1 AND e.seq<i.cursor))""",
+)
+def j05_tied(t):
+    return X.continuation(t.sql(f"WITH {_TIED} SELECT * FROM de"), t.sql(f"WITH {_TIED} SELECT * FROM ee"))
+
+
 _SC = """sl AS (SELECT l_orderkey AS root, l_linenumber AS action, MIN(l_linenumber) AS position, AVG(l_discount) AS probability,
    CASE WHEN MIN(l_tax)=0 THEN NULL ELSE AVG(l_tax) END AS q, AVG(l_quantity) AS robustness, CASE WHEN MAX(l_quantity)>45 THEN NULL ELSE AVG(l_quantity) END AS uncertainty
    FROM lineitem WHERE l_linestatus='O' GROUP BY 1, 2),
@@ -501,6 +515,18 @@ def d12(t):
     return X.logical_diff(v, "variant", ["k"], ["n", "f"])
 
 
+@query(
+    "D12_nullable",
+    """WITH v AS (SELECT l_linestatus AS variant, l_orderkey AS k, nullif(CAST(COUNT(*) AS BIGINT), 2) AS n, nullif(MAX(l_returnflag), 'R') AS f FROM lineitem GROUP BY 1, 2)
+    SELECT 'logical_mismatch' AS rule, CAST(k AS VARCHAR) AS key, CAST(COUNT(DISTINCT coalesce(CAST(n AS VARCHAR), '?') || '/' || coalesce(f, '?')) AS VARCHAR) || ':' || CAST(COUNT(DISTINCT variant) AS VARCHAR) AS detail
+    FROM v GROUP BY k HAVING COUNT(DISTINCT coalesce(CAST(n AS VARCHAR), '?') || '/' || coalesce(f, '?'))>1 OR COUNT(DISTINCT variant)<>2""",
+)
+def d12_nullable(t):
+    v = t.lineitem.groupBy(F.col("l_linestatus").alias("variant"), F.col("l_orderkey").alias("k")).agg(
+        F.nullif(F.count(F.lit(1)), F.lit(2)).alias("n"), F.nullif(F.max("l_returnflag"), F.lit("R")).alias("f"))
+    return X.logical_diff(v, "variant", ["k"], ["n", "f"])
+
+
 # ------------------------------------------------------------------ P
 
 

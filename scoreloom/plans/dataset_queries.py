@@ -328,6 +328,16 @@ def f02(t):
     return K.canonical_sha256(t.orders, ["o_orderstatus", "o_custkey", "o_orderpriority"]).select("o_orderkey", "digest")
 
 
+@query(
+    "F02_nullable",
+    """SELECT o_orderkey, sha256('{"large":' || CAST(o_orderkey + 9007199254740992 AS VARCHAR) || ',"maybe":'
+      || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE CAST(o_custkey AS VARCHAR) END || '}') AS digest FROM orders""",
+)
+def f02_nullable(t):
+    o = t.orders.select("o_orderkey", (F.col("o_orderkey") + 9007199254740992).alias("large"), F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")).alias("maybe"))
+    return K.canonical_sha256(o, ["large", "maybe"]).select("o_orderkey", "digest")
+
+
 @query(
     "F04_divergences",
     f"""WITH {EMB}, m AS (SELECT vec_id, -SUM(CASE WHEN p>0 THEN p*ln(p) ELSE 0 END) AS ent, SUM(CASE WHEN p>0 THEN p*ln(p/prior) ELSE 0 END) AS kl,

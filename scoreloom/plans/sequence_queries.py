@@ -292,6 +292,16 @@ def w13(t):
     return rounded(S.normalise(t.events, "value", ["event_type"]).select("event_id", "value_normalised"))
 
 
+@query(
+    "W13_null_group",
+    f"""SELECT event_id, {r6('(value-AVG(value) OVER w)/(stddev_samp(value) OVER w + 1e-8)')} AS value_normalised FROM events
+    WINDOW w AS (PARTITION BY nullif(event_type, 'click'))""",
+)
+def w13_null(t):
+    e = t.events.withColumn("kind", F.nullif(F.col("event_type"), F.lit("click")))
+    return rounded(S.normalise(e, "value", ["kind"]).select("event_id", "value_normalised"))
+
+
 @query(
     "W14_progress_reward",
     f"""WITH p AS (SELECT event_id, k, value, lag(k) OVER w AS pk, lag(value) OVER w AS pv FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))

@@ -196,6 +196,18 @@ def b06b(t):
     return B.update(B.prior(w), impossible(w), 0.1)[1]
 
 
+def invalid(rows, key="space_id"):
+    """One likelihood of every space with an odd id is out of range."""
+    return rows.withColumn("likelihood", F.when((F.col(key) % 2 == 1) & (F.col("world_index") == 0), 1.5).otherwise(F.col("likelihood")))
+
+
+@query("B06_invalid_space_stops", f"WITH {L} SELECT space_id, world_index, {r6('pu')} AS p FROM up WHERE space_id % 2 = 0")
+def b06_stops(t):
+    w = worlds(pools(t))
+    out, _ = B.update(B.prior(w), invalid(likelihoods(w)), 0.1)
+    return rounded(out.select("space_id", "world_index", F.exp("log_p").alias("p")))
+
+
 @query("B07_draw", f"WITH {L}, {_draw_cte('up', 'pu')} SELECT space_id, hand_key, {r6('m')} AS p FROM dr")
 def b07(t):
     pl = pools(t)
@@ -311,7 +323,7 @@ def b14(t):
     return out.withColumns({c: keep(c) for c in ("posterior_log_loss", "prior_log_loss", "improvement", "mass_ratio")})
 
 
-def _tracking(t):
+def _tracking(t, spoil=lambda rows: rows):
     """Two transitions per game: an opponent commitment in the first space, then one hidden draw."""
     pl = pools(t)
     spaces = pl.unionByName(_next(t))
@@ -324,7 +336,7 @@ def _tracking(t):
                        sid.alias("before_space"), (-1 - sid).alias("after_space"), F.lit(1).alias("acting"), F.lit(None).cast("string").alias("commitment_kind"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
     starts = pl.select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(10).alias("revision"), sid.alias("space_id"))
     lik = likelihoods(w.filter("space_id >= 0")).select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(0).cast("bigint").alias("sequence"), "world_index", "likelihood", "legal", "matching")
-    return B.track(first.unionByName(second), starts, spaces, w, lik, 0.1)
+    return B.track(first.unionByName(second), starts, spaces, w, spoil(lik), 0.1)
 
 
 @query(
@@ -347,6 +359,17 @@ def b15b(t):
     return rounded(records.select("game", "sequence", "action_update", "hidden_draws", "support_size", "positive_support", "effective_size"))
 
 
+@query(
+    "B15_stops_on_violation",
+    f"""WITH {L}, {_draw_cte('up', 'pu')}, {_worlds_cte(4, 'w4')}, f AS (SELECT w4.space_id, COALESCE(m,0) AS m FROM w4 JOIN (SELECT DISTINCT space_id FROM dr) s ON s.space_id=w4.space_id LEFT JOIN dr ON dr.space_id=w4.space_id AND dr.hand_key=w4.hand_key)
+    SELECT space_id AS game, 0 AS sequence, COUNT(*) AS support_size FROM up WHERE space_id % 2 = 0 GROUP BY 1
+    UNION ALL SELECT space_id, 1, COUNT(*) FROM f WHERE space_id % 2 = 0 GROUP BY 1""",
+)
+def b15_stops(t):
+    records, _, _ = _tracking(t, lambda rows: invalid(rows, "game"))
+    return records.select("game", "sequence", "support_size")
+
+
 def _offers(t):
     li = t.lineitem
     kind = F.when(F.col("l_returnflag") == "R", "cast").when(F.col("l_returnflag") == "A", "play_land").otherwise("pass_priority")
