@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     )
     lowest = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
     found = linked.join(lowest, "label").select("node", "links", "class_id")
-    per_node = nodes.select("node", "rep", "copies").join(found, "node", "left")
+    # Written, so that the join below shuffles both sides itself and can split a text with very many copies.
+    per_node = written(nodes.select("node", "rep", "copies").join(found, "node", "left"))
     return signed.select("doc_id", "node").join(per_node, "node", "left").select(
         "doc_id",
         F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
