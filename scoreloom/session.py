@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,29 @@ def get_spark(app: str = "scoreloom", master: str | None = None, **conf: str) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors' Python path, once per application.
+
+    Not needed where the package is installed on all machines or was passed with ``--py-files``.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_scoreloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="scoreloom-src-"), "scoreloom-src.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(archive)
+    context._scoreloom_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
