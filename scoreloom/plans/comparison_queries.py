@@ -19,8 +19,8 @@ def rounded(df, digits=6):
 # ------------------------------------------------------------------ J
 
 
-_AG = """al AS (SELECT o_orderkey AS root_id, CAST(o_custkey % 3 AS INT) AS action, o_orderstatus AS action_space_kind, CAST(o_custkey % 2 + 1 AS INT) AS legal_action_count FROM orders WHERE o_totalprice > 5000),
-  ar AS (SELECT o_orderkey AS root_id, CAST(o_orderkey % 3 AS INT) AS action FROM orders WHERE o_totalprice < 490000)"""
+_AG = """al AS (SELECT CASE WHEN o_totalprice > 5000 THEN o_orderkey ELSE -o_orderkey END AS root_id, CAST(o_custkey % 3 AS INT) AS action, o_orderstatus AS action_space_kind, CAST(o_custkey % 2 + 1 AS INT) AS legal_action_count FROM orders),
+  ar AS (SELECT CASE WHEN o_totalprice < 490000 THEN o_orderkey ELSE -o_orderkey END AS root_id, CAST(o_orderkey % 3 AS INT) AS action FROM orders)"""
 
 
 def _ag(t):
@@ -46,9 +46,9 @@ def j02b(t):
     return _ag(t)[1]
 
 
-# Candidate arms are the nations of two regions, anchors those of a third.
-_CAND = """cd AS (SELECT n_name AS player, CASE WHEN n_regionkey=0 THEN 'chosen' ELSE 'visit' END AS arm, n_nationkey % 2 AS seed FROM nation WHERE n_regionkey IN (0, 1)),
-  an AS (SELECT n_name AS player FROM nation WHERE n_regionkey=2)"""
+# Candidate arms are the nations of three regions, anchors those of the two others.
+_CAND = """cd AS (SELECT n_name AS player, CASE n_regionkey WHEN 0 THEN 'chosen' WHEN 1 THEN 'visit' ELSE 'other' END AS arm, n_nationkey % 2 AS seed FROM nation WHERE n_regionkey IN (0, 1, 3)),
+  an AS (SELECT n_name AS player FROM nation WHERE n_regionkey NOT IN (0, 1, 3))"""
 _AC = f"""{_CAND}, sd AS (SELECT player_a AS me, player_b AS opponent, deal_block, leg, score_a AS score FROM v_matches
    UNION ALL SELECT player_b, player_a, deal_block, leg, 1-score_a FROM v_matches),
   ce AS (SELECT arm, opponent, deal_block, leg, AVG(score) AS score FROM sd JOIN cd ON cd.player=sd.me WHERE opponent IN (SELECT player FROM an) GROUP BY 1, 2, 3, 4)"""
@@ -67,7 +67,8 @@ def j03(t):
 @query(
     "J03_anchor_cell_violations",
     f"""WITH {_AC} SELECT 'incomplete_cell' AS rule, opponent || '/' || CAST(deal_block AS VARCHAR) || '/' || CAST(leg AS VARCHAR) AS key,
-    CASE WHEN MIN(arm)='chosen' THEN 'visit' ELSE 'chosen' END AS detail FROM ce GROUP BY opponent, deal_block, leg HAVING COUNT(DISTINCT arm)=1""",
+    concat_ws(',', CASE WHEN NOT bool_or(arm='chosen') THEN 'chosen' END, CASE WHEN NOT bool_or(arm='other') THEN 'other' END, CASE WHEN NOT bool_or(arm='visit') THEN 'visit' END) AS detail
+    FROM ce GROUP BY opponent, deal_block, leg HAVING COUNT(DISTINCT arm)<3""",
 )
 def j03b(t):
     return _cells(t)[1]
@@ -169,7 +170,7 @@ def _observations(t):
             F.collect_list(F.when(F.col("l_returnflag") == "N", F.struct((F.col("l_suppkey") % 2).alias("kind"), F.col("l_partkey").alias("source"))))
         ).alias("stack_objects"),
     )
-    catalog = t.part.filter(F.col("p_size") < 48).select(F.col("p_partkey").alias("registry_key"), F.col("p_size").alias("definition_row"))
+    catalog = t.part.select(F.when(F.col("p_size") < 48, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("registry_key"), F.col("p_size").alias("definition_row"))
     return d, catalog
 
 
@@ -336,14 +337,14 @@ def d02(t):
 
 @query(
     "D03_key_gaps",
-    """WITH l AS (SELECT o_custkey AS c, COUNT(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS c, COUNT(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1),
+    """WITH l AS (SELECT o_custkey AS c, COUNT(*) AS n FROM orders GROUP BY 1), r AS (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS c, COUNT(*) AS n FROM customer GROUP BY 1),
     j AS (SELECT COALESCE(l.c,r.c) AS c, l.n AS nl, r.n AS nr FROM l FULL JOIN r ON l.c=r.c),
     x AS (SELECT CAST(c AS VARCHAR) AS key, CAST(COALESCE(nl,0) AS VARCHAR) || ':' || CAST(COALESCE(nr,0) AS VARCHAR) AS detail, nl, nr FROM j)
     SELECT 'missing' AS rule, key, detail FROM x WHERE nr IS NULL UNION ALL SELECT 'unknown', key, detail FROM x WHERE nl IS NULL
     UNION ALL SELECT 'duplicate_left', key, detail FROM x WHERE nl>1 UNION ALL SELECT 'duplicate_right', key, detail FROM x WHERE nr>1""",
 )
 def d03(t):
-    return X.key_gaps(t.orders.select(F.col("o_custkey").alias("c")), t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("c")), ["c"])
+    return X.key_gaps(t.orders.select(F.col("o_custkey").alias("c")), t.customer.select(F.expr("CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS c")), ["c"])
 
 
 def _families(t):
@@ -444,21 +445,21 @@ def d08(t):
 
 @query(
     "D09_receipt_diff",
-    """WITH e AS (SELECT url AS path, MAX(length(html)) AS b, MAX(sha256(html)) AS s FROM pages WHERE length(html) > 3000 GROUP BY 1),
-    a AS (SELECT url AS path, MAX(length(html)) + CASE WHEN MAX(page_id) % 7 = 0 THEN 1 ELSE 0 END AS b, MAX(sha256(html)) AS s FROM pages WHERE length(html) < 20000 GROUP BY 1)
+    """WITH e AS (SELECT CASE WHEN length(html) > 3000 THEN '' ELSE 'short ' END || url AS path, MAX(length(html)) AS b, MAX(sha256(html)) AS s FROM pages GROUP BY 1),
+    a AS (SELECT CASE WHEN length(html) < 20000 THEN '' ELSE 'long ' END || url AS path, MAX(length(html)) + CASE WHEN MAX(page_id) % 7 = 0 THEN 1 ELSE 0 END AS b, MAX(sha256(html)) AS s FROM pages GROUP BY 1)
     SELECT CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'extra' ELSE 'changed' END AS rule, COALESCE(e.path,a.path) AS key, '' AS detail
     FROM e FULL JOIN a ON e.path=a.path WHERE a.path IS NULL OR e.path IS NULL OR e.b<>a.b OR e.s<>a.s""",
 )
 def d09(t):
     p = t.pages.select("page_id", F.col("url").alias("path"), F.length("html").alias("b"), F.sha2("html", 256).alias("s"))
-    e = p.filter("b > 3000").groupBy("path").agg(F.max("b").alias("bytes"), F.max("s").alias("sha256"))
-    a = p.filter("b < 20000").groupBy("path").agg(
+    e = p.withColumn("path", F.expr("CASE WHEN b > 3000 THEN '' ELSE 'short ' END || path")).groupBy("path").agg(F.max("b").alias("bytes"), F.max("s").alias("sha256"))
+    a = p.withColumn("path", F.expr("CASE WHEN b < 20000 THEN '' ELSE 'long ' END || path")).groupBy("path").agg(
         (F.max("b") + F.when(F.max("page_id") % 7 == 0, 1).otherwise(0)).alias("bytes"), F.max("s").alias("sha256")
     )
     return X.receipt_diff(e, a)
 
 
-_PAR = """pe AS (SELECT o_orderpriority AS surface, o_custkey AS seed, o_orderkey AS revision, o_orderstatus AS st, CAST(floor(o_totalprice) AS BIGINT) AS total FROM orders WHERE o_totalprice > 10000),
+_PAR = """pe AS (SELECT o_orderpriority AS surface, o_custkey AS seed, CASE WHEN o_totalprice > 10000 THEN o_orderkey ELSE -o_orderkey END AS revision, o_orderstatus AS st, CAST(floor(o_totalprice) AS BIGINT) AS total FROM orders),
   pa AS (SELECT o_orderpriority AS surface, o_custkey AS seed, o_orderkey AS revision, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END AS st,
     CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS total FROM orders)"""
 _PARM = f"""{_PAR}, pm AS (SELECT COALESCE(pe.surface,pa.surface) AS surface, COALESCE(pe.seed,pa.seed) AS seed, COALESCE(pe.revision,pa.revision) AS revision, f.field, f.i,
@@ -485,7 +486,8 @@ def d10b(t):
 
 
 def _seen(t):
-    led = t.lineitem.filter("l_quantity > 5").groupBy(F.col("l_orderkey").alias("revision")).agg(F.collect_set("l_partkey").alias("definitions"))
+    led = t.lineitem.groupBy(F.col("l_orderkey").alias("revision")).agg(
+        F.collect_set(F.when(F.col("l_quantity") > 5, F.col("l_partkey")).otherwise(-100 - F.col("l_partkey"))).alias("definitions"))
     prog = t.part.select(F.col("p_brand").alias("program"), F.col("p_partkey").alias("definition")).unionByName(
         t.region.select(F.col("r_name").alias("program"), F.lit(-1).cast("bigint").alias("definition"))
     )
@@ -497,7 +499,11 @@ def d11(t):
     return _seen(t)[0]
 
 
-@query("D11_never_seen", "SELECT r_name AS program FROM region")
+@query(
+    "D11_never_seen",
+    """WITH p AS (SELECT p_brand AS program, p_partkey AS d FROM part UNION ALL SELECT r_name, -1 FROM region)
+    SELECT DISTINCT program FROM p WHERE program NOT IN (SELECT program FROM p JOIN lineitem ON l_partkey=d WHERE l_quantity>5)""",
+)
 def d11b(t):
     return _seen(t)[1]
 

@@ -188,38 +188,43 @@ def _manifest(t):
         F.when(F.col("num_games") == 3, "other").otherwise("run").alias("run_fingerprint"),
     )
     files = t.customer.select(
-        F.concat(F.lit("shard_"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_nationkey").cast("bigint").alias("bytes"),
+        F.concat(F.lit("shard_"), F.expr("CASE WHEN c_nationkey <> 7 THEN c_custkey ELSE -c_custkey END").cast("string")).alias("path"), F.col("c_nationkey").cast("bigint").alias("bytes"),
         F.when(F.col("c_acctbal") < 0, "x").otherwise(F.sha2(F.concat(F.lit("shard_"), F.col("c_custkey").cast("string")), 256)).alias("sha256"),
-    ).filter("c_nationkey <> 7")
+    )
     return m, files
 
 
+def _last(t):
+    """The prefix asked for is all of it: one more than the largest index."""
+    return t.orders.agg(F.max("o_custkey")).first()[0] + 1
+
+
 _MF = """mf AS (SELECT o_custkey AS idx, COUNT(*) AS g, CAST(SUM(o_orderkey) AS BIGINT) AS d FROM orders GROUP BY 1),
-  fl AS (SELECT c_custkey AS idx, c_nationkey AS b, c_acctbal<0 AS broken FROM customer WHERE c_nationkey<>7)"""
+  fl AS (SELECT CASE WHEN c_nationkey<>7 THEN c_custkey ELSE -c_custkey END AS idx, c_nationkey AS b, c_acctbal<0 AS broken FROM customer)"""
 
 
 @query(
     "X13_freeze_prefix_totals",
-    f"WITH {_MF} SELECT COUNT(*) AS shards, CAST(SUM(g) AS BIGINT) AS games, CAST(SUM(d) AS BIGINT) AS decisions, CAST(SUM(b) AS BIGINT) AS bytes FROM mf LEFT JOIN fl ON fl.idx=mf.idx WHERE mf.idx<1000",
+    f"WITH {_MF} SELECT COUNT(*) AS shards, CAST(SUM(g) AS BIGINT) AS games, CAST(SUM(d) AS BIGINT) AS decisions, CAST(SUM(b) AS BIGINT) AS bytes FROM mf LEFT JOIN fl ON fl.idx=mf.idx",
 )
 def x13(t):
-    return D.freeze_prefix(*_manifest(t), 1000, "run")[1]
+    return D.freeze_prefix(*_manifest(t), _last(t), "run")[1]
 
 
 @query(
     "X13_freeze_prefix_violations",
-    f"""WITH {_MF} SELECT 'missing_index' AS rule, CAST(r.i AS VARCHAR) AS key, '' AS detail FROM range(1000) r(i) ANTI JOIN mf ON mf.idx=r.i
-    UNION ALL SELECT 'missing_file', CAST(mf.idx AS VARCHAR), 'shard_' || CAST(mf.idx AS VARCHAR) FROM mf ANTI JOIN fl ON fl.idx=mf.idx WHERE mf.idx<1000
-    UNION ALL SELECT 'digest_mismatch', CAST(mf.idx AS VARCHAR), 'shard_' || CAST(mf.idx AS VARCHAR) FROM mf JOIN fl ON fl.idx=mf.idx WHERE broken AND mf.idx<1000
-    UNION ALL SELECT 'provenance_mismatch', CAST(mf.idx AS VARCHAR), 'shard_' || CAST(mf.idx AS VARCHAR) FROM mf WHERE g=3 AND mf.idx<1000""",
+    f"""WITH {_MF} SELECT 'missing_index' AS rule, CAST(r.i AS VARCHAR) AS key, '' AS detail FROM range((SELECT MAX(o_custkey) + 1 FROM orders)) r(i) ANTI JOIN mf ON mf.idx=r.i
+    UNION ALL SELECT 'missing_file', CAST(mf.idx AS VARCHAR), 'shard_' || CAST(mf.idx AS VARCHAR) FROM mf ANTI JOIN fl ON fl.idx=mf.idx 
+    UNION ALL SELECT 'digest_mismatch', CAST(mf.idx AS VARCHAR), 'shard_' || CAST(mf.idx AS VARCHAR) FROM mf JOIN fl ON fl.idx=mf.idx WHERE broken
+    UNION ALL SELECT 'provenance_mismatch', CAST(mf.idx AS VARCHAR), 'shard_' || CAST(mf.idx AS VARCHAR) FROM mf WHERE g=3""",
 )
 def x13b(t):
-    return D.freeze_prefix(*_manifest(t), 1000, "run")[2]
+    return D.freeze_prefix(*_manifest(t), _last(t), "run")[2]
 
 
 @query(
     "X14_verify_snapshot",
-    """WITH m AS (SELECT DISTINCT o_custkey AS idx FROM orders), f AS (SELECT c_custkey AS idx, c_acctbal<0 AS broken FROM customer WHERE c_nationkey<>7)
+    """WITH m AS (SELECT DISTINCT o_custkey AS idx FROM orders), f AS (SELECT CASE WHEN c_nationkey<>7 THEN c_custkey ELSE -c_custkey END AS idx, c_acctbal<0 AS broken FROM customer)
     SELECT CASE WHEN f.idx IS NULL THEN 'missing' WHEN m.idx IS NULL THEN 'extra' ELSE 'changed' END AS rule, 'shard_' || CAST(COALESCE(m.idx,f.idx) AS VARCHAR) AS key, '' AS detail
     FROM m FULL JOIN f ON f.idx=m.idx WHERE f.idx IS NULL OR m.idx IS NULL OR broken""",
 )

@@ -110,8 +110,8 @@ def r04(t):
 
 # Paired outcomes: one answer per (scenario, seed) of two players.
 _PAIR = """pl AS (SELECT o_orderpriority AS scenario, o_orderkey AS run_seed, CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS correct FROM orders),
-  pr AS (SELECT o_orderpriority AS scenario, o_orderkey AS run_seed, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS correct FROM orders
-    WHERE o_orderstatus <> 'P' OR o_totalprice > 100000)"""
+  pr AS (SELECT o_orderpriority AS scenario, CASE WHEN o_orderstatus <> 'P' OR o_totalprice > 100000 THEN o_orderkey ELSE -o_orderkey END AS run_seed,
+    CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS correct FROM orders)"""
 
 
 def _pair(t):
@@ -131,7 +131,8 @@ def j01(t):
 @query(
     "J01_paired_join_violations",
     f"""WITH {_PAIR} SELECT 'unpaired_key' AS rule, pl.scenario || '/' || CAST(pl.run_seed AS VARCHAR) AS key, '1:0' AS detail
-    FROM pl ANTI JOIN pr ON pl.scenario=pr.scenario AND pl.run_seed=pr.run_seed""",
+    FROM pl ANTI JOIN pr ON pl.scenario=pr.scenario AND pl.run_seed=pr.run_seed
+    UNION ALL SELECT 'unpaired_key', pr.scenario || '/' || CAST(pr.run_seed AS VARCHAR), '0:1' FROM pr ANTI JOIN pl ON pl.scenario=pr.scenario AND pl.run_seed=pr.run_seed""",
 )
 def j01b(t):
     return _pair(t)[1]
