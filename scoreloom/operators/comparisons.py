@@ -476,13 +476,19 @@ def definition_atoms(document: dict) -> set[str]:
 
 
 def atoms(definitions: DataFrame, key: str = "definition", document: str = "document") -> DataFrame:
-    """D-06: distinct (definition, atom) from nested JSON documents, walked in Arrow batches."""
+    """D-06: distinct (definition, atom) from nested JSON documents, walked in Arrow batches.
+
+    A document that is no JSON object of the declared shape gives the single atom ``invalid_document``.
+    """
 
     def run(batches):
         for pdf in batches:
             keys, found = [], []
             for k, text in zip(pdf[key], pdf[document]):
-                out = definition_atoms(json.loads(text))
+                try:
+                    out = definition_atoms(json.loads(text))
+                except (ValueError, TypeError, KeyError, AttributeError):
+                    out = {"invalid_document"}
                 keys += [k] * len(out)
                 found += sorted(out)
             yield pd.DataFrame({key: keys, "atom": found})

@@ -666,15 +666,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def expected_pairs(players: DataFrame, player: str = "player") -> DataFrame:
+def expected_pairs(players: DataFrame, player: str = "player", blocks: int = 16) -> DataFrame:
     """Every unordered pair of the roster: its size is the square of the roster, as declared.
 
-    Built by exploding the sorted roster next to each of its members (no join).
+    Players are dealt to blocks, and pairs of blocks are joined by equality, so blocks × blocks tasks share the pairs.
     """
-    roster = players.agg(F.array_sort(F.collect_set(player)).alias("__roster"))
-    return roster.select(F.posexplode("__roster").alias("i", "a"), "__roster").select(
-        "a", F.explode(F.slice("__roster", F.col("i") + 2, F.greatest(F.size("__roster") - F.col("i") - 1, F.lit(0)))).alias("b")
-    )
+    roster = players.select(F.col(player).alias("__p")).distinct().filter("__p IS NOT NULL")
+    dealt = roster.withColumn("__own", F.pmod(F.xxhash64("__p"), F.lit(blocks)).cast("int")).withColumn(
+        "__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = dealt.select(F.col("__p").alias("a"), F.col("__own").alias("__x"), F.col("__other").alias("__y"))
+    second = dealt.select(F.col("__p").alias("b"), F.col("__other").alias("__x"), F.col("__own").alias("__y"))
+    return first.join(second, ["__x", "__y"]).filter("a < b").select("a", "b")
 
 
 def connectivity(players: DataFrame, edges: DataFrame, anchor: str) -> tuple[DataFrame, DataFrame]:

@@ -205,7 +205,7 @@ def violations_calibration_points(points: DataFrame, key: str = "point_id") -> D
 
 
 def contains_forbidden_key(document: Column, forbidden: Sequence[str]) -> Column:
-    """V-11: whether a key occurs anywhere in a nested JSON document."""
+    """V-11: whether a key occurs anywhere in a nested JSON document; NULL if it is not JSON."""
     names = frozenset(forbidden)
 
     def walk(value) -> bool:
@@ -220,15 +220,24 @@ def contains_forbidden_key(document: Column, forbidden: Sequence[str]) -> Column
                 stack.extend(v)
         return False
 
+    def found(text):
+        try:
+            return None if text is None else walk(json.loads(text))
+        except ValueError:
+            return None
+
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else walk(json.loads(t)))
+        return texts.map(found)
 
     return run(document)
 
 
 def violations_forbidden_keys(df: DataFrame, key: str, document: str, forbidden: Sequence[str]) -> DataFrame:
-    return df.filter(contains_forbidden_key(F.col(document), forbidden)).select(*violation("forbidden_key", F.col(key)))
+    hit = df.select(F.col(key).alias("__key"), document, contains_forbidden_key(F.col(document), forbidden).alias("__hit"))
+    bad = hit.filter("__hit").select(*violation("forbidden_key", F.col("__key")))
+    broken = hit.filter(F.col("__hit").isNull() & F.col(document).isNotNull()).select(*violation("invalid_document", F.col("__key")))
+    return bad.unionByName(broken)
 
 
 def violations_probe_rows(rows: DataFrame, run: str, position: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -405,11 +405,12 @@ def inclusion(beliefs: DataFrame, pools: DataFrame, keys: Sequence[str] = ("spac
     return spine.join(held, [*keys, "card"], "left").select(*keys, "card", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
-def sample_worlds(beliefs: DataFrame, uniforms: DataFrame, keys: Sequence[str] = ("space_id",), buckets: int = 64) -> DataFrame:
+def sample_worlds(beliefs: DataFrame, uniforms: DataFrame, keys: Sequence[str] = ("space_id",), buckets: int = 64, salts: int = 32) -> DataFrame:
     """B-12: inverse-CDF samples of every belief with shared uniforms (draw, u).
 
     Intervals [previous, cumulative) are cut into buckets of the unit interval, so the range
-    condition becomes an equi-join on the bucket; the last interval of a belief ends at 1.
+    condition becomes an equi-join on the bucket; the last interval of a belief ends at 1. The uniforms are repeated
+    for ``salts`` parts of the spaces, so that buckets × parts tasks can share the work.
     """
     cum = O.running(beliefs.withColumn("__p", F.exp("log_p")), keys, "world_index", {"__hi": "__p"})
     last = beliefs.groupBy(*keys).agg(F.max("world_index").alias("__last"))
@@ -420,9 +421,10 @@ def sample_worlds(beliefs: DataFrame, uniforms: DataFrame, keys: Sequence[str] =
         {"__lo": F.coalesce("__prev", F.lit(0.0)), "__hi": F.when(F.col("world_index") == F.col("__last"), F.lit(1.0)).otherwise(F.col("__hi"))}
     ).filter(F.col("__hi") > F.col("__lo"))
     cell = lambda c: F.greatest(F.least(F.floor(c * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
-    spread = cum.select(*keys, "world_index", "__lo", "__hi", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))).alias("__b"))
-    u = uniforms.select("draw", "u", cell(F.col("u")).alias("__b"))
-    return spread.join(u, "__b").filter((F.col("u") >= F.col("__lo")) & (F.col("u") < F.col("__hi"))).select(*keys, "draw", "world_index")
+    part = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("__part")
+    spread = cum.select(*keys, "world_index", "__lo", "__hi", part, F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))).alias("__b"))
+    u = uniforms.select("draw", "u", cell(F.col("u")).alias("__b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__part"))
+    return spread.join(u, ["__b", "__part"]).filter((F.col("u") >= F.col("__lo")) & (F.col("u") < F.col("__hi"))).select(*keys, "draw", "world_index")
 
 
 def shared_uniforms(spark, count: int, seed: int) -> DataFrame:

@@ -320,14 +320,20 @@ def _flatten(value, prefix: str, out: list[tuple[str, str]], sep: str) -> None:
 
 
 def flatten_config(df: DataFrame, key: str = "run_id", document: str = "document", sep: str = "/") -> DataFrame:
-    """S-14: nested configuration documents to rows (key, path, value); lists stay values."""
+    """S-14: nested configuration documents to rows (key, path, value); lists stay values.
+
+    A document that is no JSON object gives one row with the path ``invalid_document`` and no value.
+    """
 
     def run(batches):
         for pdf in batches:
             keys, paths, values = [], [], []
             for k, text in zip(pdf[key], pdf[document]):
                 rows: list[tuple[str, str]] = []
-                _flatten(json.loads(text), "", rows, sep)
+                try:
+                    _flatten(json.loads(text), "", rows, sep)
+                except (ValueError, TypeError, AttributeError):
+                    rows = [("invalid_document", None)]
                 keys += [k] * len(rows)
                 paths += [p for p, _ in rows]
                 values += [v for _, v in rows]
