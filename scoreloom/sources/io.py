@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -114,9 +115,11 @@ def load_shards(spark: SparkSession, paths: Sequence[str], rounds: Sequence[int]
     """S-04: union of Parquet shards; an optional column stays only if every shard has it.
 
     ``round`` comes from ``rounds`` (one per path), else from ``provenance`` (shard, round), else -1.
-    Only file footers are inspected on the driver; shards of equal schema are read together.
+    Only file footers are inspected on the driver, several at a time; shards of equal schema are read together. A winner
+    of -1 becomes NULL.
     """
-    columns = {p: spark.read.parquet(p).columns for p in paths}
+    with ThreadPoolExecutor(16) as pool:
+        columns = dict(zip(paths, pool.map(lambda p: spark.read.parquet(p).columns, paths)))
     common = set.intersection(*[set(c) for c in columns.values()])
     lost = {c for cols in columns.values() for c in cols} - common - set(OPTIONAL_COLUMNS)
     if lost:
@@ -129,6 +132,8 @@ def load_shards(spark: SparkSession, paths: Sequence[str], rounds: Sequence[int]
     for members in groups.values():
         part = spark.read.parquet(*members).select(*keep, F.col("_metadata.file_path").alias("__file"))
         out = part if out is None else out.unionByName(part)
+    if "winner" in keep:
+        out = out.withColumn("winner", F.when(F.col("winner") >= 0, F.col("winner")))
     out = out.withColumn("shard", F.regexp_extract("__file", r"([^/]+?)(\.parquet)?(/part-[^/]*)?$", 1)).drop("__file")
     if rounds is not None:
         names = [p.rstrip("/").split("/")[-1].removesuffix(".parquet") for p in paths]
@@ -141,15 +146,21 @@ def load_shards(spark: SparkSession, paths: Sequence[str], rounds: Sequence[int]
 
 NPZ_SCHEMA = (
     "shard string, ordinal int, game_index bigint, seat int, action int, num_valid int, winner int, "
-    "actions_valid array<float>, scores array<float>, visit_counts array<float>, root_value float, provenance string"
+    "actions_valid array<float>, scores array<float>, visit_counts array<float>, root_value float, provenance string, "
+    "tensors map<string,array<float>>"
 )
 
 
 def read_npz_shards(spark: SparkSession, path: str) -> DataFrame:
-    """S-04 for NumPy archives: one row per decision, one file per task; -1 winners become NULL."""
+    """S-04 for NumPy archives: one row per decision, one file per task; -1 winners become NULL.
+
+    Every other array with one entry per decision (observation tensors, condition columns) comes in ``tensors``, by its name,
+    flattened per decision.
+    """
 
     def decode(batches):
         scalars = ("game_index", "seat", "action", "num_valid", "winner")
+        named = {*scalars, "actions_valid", "scores", "visit_counts", "root_value", "provenance"}
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
                 z = np.load(io.BytesIO(content), allow_pickle=False)
@@ -162,6 +173,9 @@ def read_npz_shards(spark: SparkSession, path: str) -> DataFrame:
                     out[c] = list(z[c].astype(np.float32)) if c in z else [None] * n
                 out["root_value"] = z["root_value"].astype(np.float32) if "root_value" in z else np.full(n, np.nan, np.float32)
                 out["provenance"] = str(z["provenance"]) if "provenance" in z else None
+                rest = {k: z[k] for k in z.files if k not in named}
+                rest = {k: v.reshape(n, -1).astype(np.float32) for k, v in rest.items() if v.ndim and len(v) == n and v.dtype.kind in "biuf"}
+                out["tensors"] = [{k: v[i] for k, v in rest.items()} for i in range(n)]
                 yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")

@@ -55,10 +55,12 @@ def test_shards_keep_only_common_optional_columns_and_offset_games(spark, tmp_pa
 
 def test_npz_shards(spark, tmp_path):
     np.savez(tmp_path / "s0.npz", action=np.array([1, 0], np.int16), game_index=np.array([5, 6]), seat=np.array([0, 1]), num_valid=np.array([2, 1]),
-             winner=np.array([-1, 1], np.int8), actions_valid=np.ones((2, 3), np.float32), visit_counts=np.eye(2, 3, dtype=np.float32), provenance=np.array('{"round": 3}'))
+             winner=np.array([-1, 1], np.int8), actions_valid=np.ones((2, 3), np.float32), visit_counts=np.eye(2, 3, dtype=np.float32), provenance=np.array('{"round": 3}'),
+             board=np.arange(12, dtype=np.int8).reshape(2, 2, 3), condition_weight=np.array([0.25, 0.75]), other=np.zeros(5))
     rows = S.read_npz_shards(spark, str(tmp_path)).orderBy("ordinal").collect()
     assert [r.winner for r in rows] == [None, 1] and rows[0].scores is None and rows[1].visit_counts == [0.0, 1.0, 0.0]
     assert json.loads(rows[0].provenance)["round"] == 3
+    assert rows[1].tensors == {"board": [6.0, 7.0, 8.0, 9.0, 10.0, 11.0], "condition_weight": [0.75]}
 
 
 def test_store_round_trip(spark, tmp_path):
