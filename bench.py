@@ -30,6 +30,10 @@ HEADLINE = {
     "advantages": "W12_gae",
     "continuation_join": "J05_continuation",
     "split_by_game": "X01_split_by_game",
+    "rating_residuals": "R02_rating_residuals",
+    "latency_series": "A43_belief_player_cost",
+    "belief_tracking": "B15_track_records",
+    "live_beliefs": "Z01_live_beliefs",
 }
 
 

@@ -473,6 +473,25 @@ def s10b(t):
     return m.select("evaluation_id", "scope", F.size("counts").cast("bigint").alias("choice_sets"), E.array_sum(F.map_values("counts")).alias("total"))
 
 
+@query("S10_get_actions", "SELECT event_id AS id, k AS game_index, event_type AS action_type FROM v_events WHERE user_id=7")
+def s10c(t):
+    a = t.v_events.select(F.col("user_id").alias("evaluation_id"), F.col("k").alias("game_index"), F.col("k").alias("step"), F.col("event_id").alias("id"), F.col("event_type").alias("action_type"))
+    return S.get_actions(a, 7).select("id", "game_index", "action_type")
+
+
+@query("S10_get_reports", "SELECT event_id AS id, event_type AS report_kind FROM v_events WHERE user_id=7")
+def s10d(t):
+    r = t.v_events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("id"), F.col("event_type").alias("report_kind"))
+    return S.get_reports(r, 7).drop("run_id")
+
+
+@query("S10_get_run_configs", "SELECT c_custkey AS run_id, CAST(c_nationkey AS INT) AS seed, c_mktsegment AS label FROM customer WHERE c_custkey=7")
+def s10e(t):
+    text = F.concat(F.lit('{"seed":'), F.col("c_nationkey").cast("string"), F.lit(',"n":{"label":"'), F.col("c_mktsegment"), F.lit('"}}'))
+    c = t.customer.select(F.col("c_custkey").alias("run_id"), *[text.alias(f"{f}_json") for f in S.RUN_CONFIG_FIELDS])
+    return S.get_run_configs(c, 7, {"train": "seed int, n struct<label:string>"}).select("run_id", "train.seed", "train.n.label")
+
+
 @query("S11_parse_spans", f"SELECT event_id, {r6('value')} AS total_time, k AS count FROM v_events WHERE event_type<>'error'")
 def s11(t):
     stat = F.when(F.col("event_type") == "error", "total=broken, count=x").otherwise(F.format_string("total=%.2fs, count=%d", "value", "k"))

@@ -10,7 +10,7 @@ from scoreloom.operators import decisions as G
 from scoreloom.operators import validation as V
 from scoreloom.operators.aggregates import evaluation_metrics
 from scoreloom.operators.ratings import payoff_matrix
-from scoreloom.plans.registry import query
+from scoreloom.plans.registry import ORACLES, query
 from scoreloom.plans.sqltext import ct, r6
 from scoreloom.sources.io import REPORT_METRICS, scratch_folder
 from scoreloom.streaming import incremental as Z
@@ -417,6 +417,18 @@ def z03(t):
     return _run_to_end(Z.running_health(s, ["errors", "large"], ["run"]), "complete")
 
 
+@query("Z03_running_metrics")
+def z03_metrics(t):
+    """The decision log as a stream of files, in complete mode."""
+    path = scratch_folder(t.spark, "decision-log")
+    t.v_log.write.parquet(path)
+    out = _run_to_end(Z.running_metrics(t.spark.readStream.schema(t.v_log.schema).parquet(path)), "complete")
+    return rounded(out)
+
+
+ORACLES["Z03_running_metrics"] = ORACLES["A06_evaluation_metrics"]
+
+
 @query(
     "Z02_ledger_stream",
     """SELECT conv_id AS ledger_id, turn AS ordinal, CASE WHEN turn=0 THEN CAST(NULL AS VARCHAR) ELSE 'chain_mismatch' END AS violation FROM conversations
