@@ -14,8 +14,10 @@ buckets, and only bucket totals are accumulated per key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,63 +144,100 @@ def islands(
     return running(flagged, keys, seq, {name: "__new"}, width).select(*df.columns, name)
 
 
+def _starts(marks: np.ndarray, last: int | None) -> np.ndarray:
+    """Rows of a sorted batch that begin a group; ``last`` is the mark of the row before the batch."""
+    new = np.ones(len(marks), dtype=bool)
+    new[1:] = marks[1:] != marks[:-1]
+    if len(marks) and last is not None:
+        new[0] = marks[0] != last
+    return np.flatnonzero(new)
+
+
+def _fold_maps(keys: list[str]):
+    """Each group's composed map (m, a) with x before the group = a + m·(x after it); rows come last first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head, m, a = None, None, 1.0, 0.0
+        names = [*keys, "__m", "__a"]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*head.columns, pa.array([m]), pa.array([a])], names)
+
+        for batch in batches:
+            marks = batch.column("__g").to_numpy()
+            ms, gains = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("__m", "__a"))
+            starts = set(_starts(marks, last).tolist())
+            for i in range(len(ms)):
+                if i in starts:
+                    if head is not None:
+                        yield out()
+                    head, m, a = batch.select(keys).slice(i, 1), 1.0, 0.0
+                a = gains[i] + ms[i] * a
+                m = ms[i] * m
+            if len(marks):
+                last = marks[-1]
+        if head is not None:
+            yield out()
+
+    return run
+
+
+def _solve(columns: list[str], name: str):
+    """Rows come last first; each group begins with its ``__entry``, the value after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, 0.0
+        for batch in batches:
+            marks = batch.column("__g").to_numpy()
+            ms, gains, entry = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("__m", "__a", "__entry"))
+            starts = set(_starts(marks, last).tolist())
+            values = np.empty(len(ms))
+            for i in range(len(ms)):
+                if i in starts:
+                    x = entry[i]
+                x = gains[i] + ms[i] * x
+                values[i] = x
+            if len(marks):
+                last = marks[-1]
+            yield pa.RecordBatch.from_arrays([*batch.select(columns).columns, pa.array(values, mask=np.isnan(values))], [*columns, name])
+
+    return run
+
+
 def affine_scan_back(
     df: DataFrame, keys: Sequence[str], seq: str, mult: str, add: str, name: str,
-    width: int = 1024,
+    width: int = 1 << 20,
 ) -> DataFrame:
-    """Solve x[t] = add[t] + mult[t]·x[t+1] backwards over ``seq``, with x after the end = 0.
+    """Solve x[t] = add[t] + mult[t]·x[t+1] backwards over ``seq``, with x after the end = 0; NULL where an input is missing.
 
-    Affine maps compose, so each chunk is folded into one map, the chunk maps are
-    solved by the same function, and the chunk results enter as boundary values.
-    ``seq`` is integral, unique and non-negative per key, so a folded chunk never has
-    more than ``width`` rows.
+    Affine maps compose, so each chunk of ``width`` sequence numbers is folded into one map, the maps of a key's
+    chunks give the value after each chunk, and the chunks are then solved side by side. Rows are
+    streamed in order, one Arrow batch at a time; ``seq`` is integral and unique in its key.
     """
-    slim = df.select(*keys, seq, F.col(mult).alias("__m"), F.col(add).alias("__a"))
-    d = _chunked(slim, seq, width)
-    packed = d.groupBy(*keys, "__chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), "__m", "__a")), asc=False)
-        .alias("__rows")
-    )
-    folded = packed.withColumn(
-        "__map",
-        F.aggregate(
-            "__rows",
-            F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("a")),
-            lambda acc, r: F.struct(
-                (r["__m"] * acc["m"]).alias("m"),
-                (r["__a"] + r["__m"] * acc["a"]).alias("a"),
-            ),
-        ),
-    )
-    maps = folded.select(
-        *keys, F.col("__chunk").alias("__seq"), F.col("__map.m").alias("__cm"),
-        F.col("__map.a").alias("__ca"),
+    group = [*keys, "__chunk"]
+    d = df.withColumns({"__chunk": F.floor(F.col(seq) / F.lit(width)), "__m": F.col(mult).cast("double"), "__a": F.col(add).cast("double")})
+    d = d.withColumn("__g", F.xxhash64(*group))
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+
+    def schema(columns: Sequence[str], *more: str) -> str:
+        return ", ".join([*(f"`{c}` {types[c]}" for c in columns), *more])
+
+    maps = (
+        d.select(*group, seq, "__m", "__a", "__g").repartition(*group).sortWithinPartitions("__g", *group, F.col(seq).desc())
+        .mapInArrow(_fold_maps(group), schema(group, "__m double", "__a double"))
     )
-    top = df.agg(F.max(F.col(seq)).alias("m")).first()["m"]
-    if top is None or top < width:
-        entry = maps.select(*keys, F.col("__seq").alias("__chunk"), F.lit(0.0).alias("__entry"))
-    else:
-        solved = affine_scan_back(maps, keys, "__seq", "__cm", "__ca", "__x", width)
-        entry = neighbour(solved, keys, "__seq", {"__entry": "__x"}, "lead").select(
-            *keys, F.col("__seq").alias("__chunk"), F.coalesce("__entry", F.lit(0.0)).alias("__entry")
-        )
-    start = F.struct(
-        F.col("__entry").alias("x"),
-        F.array().cast("array<struct<s:bigint,x:double>>").alias("out"),
+    # The value before a chunk is the value after the one before it.
+    chained = (
+        maps.withColumn("__g", F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")).withColumn("__entry", F.lit(0.0))
+        .repartition(*(keys or ["__g"])).sortWithinPartitions("__g", *keys, F.col("__chunk").desc())
+        .mapInArrow(_solve(group, "__before"), schema(group, "__before double"))
     )
-    def step(acc, r):
-        x = r["__a"] + r["__m"] * acc["x"]
-        return F.struct(
-            x.alias("x"),
-            F.concat(acc["out"], F.array(F.struct(r["s"].cast("bigint").alias("s"), x.alias("x"))))
-            .alias("out"),
-        )
-    solved_rows = (
-        packed.join(entry, [*keys, "__chunk"])
-        .select(*keys, F.explode(F.aggregate("__rows", start, step, lambda acc: acc["out"])).alias("r"))
-        .select(*keys, F.col("r.s").alias(seq), F.col("r.x").alias(name))
+    later = W.partitionBy(*keys).orderBy("__chunk") if keys else W.partitionBy(F.lit(0)).orderBy("__chunk")
+    entry = chained.select(*group, F.coalesce(F.lead("__before").over(later), F.lit(0.0)).alias("__entry"))
+    return (
+        join_back(d, entry, group, "left").repartition(*group).sortWithinPartitions("__g", *group, F.col(seq).desc())
+        .mapInArrow(_solve(df.columns, name), schema(df.columns, f"`{name}` double"))
     )
-    return df.join(solved_rows, [*keys, seq], "left")
 
 
 # ---------------------------------------------------------------- ranks and quantiles

@@ -228,7 +228,11 @@ def fit_ratings(
 
 
 def split_fit(fit: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ratings: player, rating), (seat effect: one row seat0_elo) of an ungrouped fit."""
+    """(ratings: player, rating), (seat effect: one row seat0_elo) of an ungrouped fit.
+
+    The fit, one row per player, is written first: both parts are read several times.
+    """
+    fit = cut_lineage(fit)
     ratings = fit.filter("kind = 'rating'").select(F.col("name").alias("player"), F.col("value").alias("rating"))
     seat = fit.agg(F.max(F.when((F.col("kind") == "fit") & (F.col("name") == "seat0_elo"), F.col("value"))).alias("seat0_elo"))
     return ratings, seat
