@@ -219,10 +219,16 @@ def _verify(threshold: float):
             shared = overlaps(sets)
             own = np.diag(shared)
             like = shared / (own[:, None] + own[None, :] - shared) >= threshold
-            like &= _facing(block, t.column("i")[0].as_py(), t.column("j")[0].as_py())
-            links = like @ copies
+            np.fill_diagonal(like, False)
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            links = (like & _facing(block, i, j)) @ copies
             to = _lowest(like)
+            if i != j:
+                # The blocks' own pairs tie each text to the first one of its part of the block; here those are tied to each other.
+                inside = _lowest(like & (block[:, None] == block[None, :]))
+                to = np.where(inside == np.arange(len(node)), to, np.arange(len(node)))
             some = links > 0
+            some |= to != np.arange(len(node))
             if some.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[some]), pa.array(node[to[some]]), pa.array(links[some].astype(np.int64))], ["node", "other", "links"]
