@@ -93,6 +93,41 @@ def r02(t):
     return R.rating_residuals(t.v_region_matches, *R.split_fit(fit))
 
 
+# Declared ratings: one per region, and a seat effect.
+_GIVEN = f"""g AS (SELECT r_name AS player, 1000.0E0 + 35.0E0*r_regionkey AS rating FROM region),
+  e AS (SELECT m.*, 1/(1+exp(-(ga.rating - gb.rating + CASE WHEN player_a_seat=0 THEN -20.0E0 ELSE 20.0E0 END)*ln(10.0E0)/400)) AS p
+    FROM v_region_matches m JOIN g ga ON ga.player=player_a JOIN g gb ON gb.player=player_b WHERE {_KEPT}),
+  x AS (SELECT *, 2*(CASE WHEN score_a>0 THEN score_a*ln(score_a/p) ELSE 0 END + CASE WHEN score_a<1 THEN (1-score_a)*ln((1-score_a)/(1-p)) ELSE 0 END) AS dev FROM e)"""
+
+
+def _given(t):
+    ratings = t.region.select(F.col("r_name").alias("player"), (1000.0 + 35.0 * F.col("r_regionkey")).alias("rating"))
+    seat = t.region.agg(F.lit(-20.0).alias("seat0_elo"))
+    return R.rating_residuals(t.v_region_matches, ratings, seat)
+
+
+@query(
+    "R02_given_ratings",
+    f"""WITH {_GIVEN} SELECT player_a, player_b, deal_block, player_a_seat, score_a, {r6('p')} AS predicted_score_a, {r6('score_a-p')} AS raw_residual,
+    {r6('(score_a-p)/sqrt(p*(1-p))')} AS pearson_residual, {r6('dev')} AS deviance FROM x""",
+)
+def r02_given(t):
+    return rounded(_given(t).drop("truncated", "termination_reason"))
+
+
+@query(
+    "A19_expected_given_ratings",
+    f"""WITH {_GIVEN}, o AS (SELECT least(player_a, player_b) AS a, greatest(player_a, player_b) AS b, CASE WHEN player_a>player_b THEN 1-score_a ELSE score_a END AS s,
+      CASE WHEN player_a>player_b THEN 1-p ELSE p END AS p, dev FROM x)
+    SELECT a || '__' || b AS cell_id, COUNT(*) AS games, {r6('SUM(p)')} AS expected_score_a, {r6('SUM(p)/COUNT(*)')} AS expected_mean_score_a,
+    {r6('100*(SUM(s)-SUM(p))/COUNT(*)')} AS raw_residual_percentage_points, {r6('(SUM(s)-SUM(p))/sqrt(SUM(p*(1-p)))')} AS pearson_residual, {r6('SUM(dev)')} AS cell_deviance
+    FROM o GROUP BY a, b""",
+)
+def a19_given(t):
+    m = R.payoff_matrix(_given(t), predicted=True)
+    return rounded(m.select("cell_id", "games", "expected_score_a", "expected_mean_score_a", "raw_residual_percentage_points", "pearson_residual", "cell_deviance"))
+
+
 @query("R03_bootstrap_ratings")
 def r03(t):
     return R.bootstrap_ratings(t.v_region_matches, "AFRICA", replicates=200, seed=63001)
