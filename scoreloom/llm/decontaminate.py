@@ -120,7 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     probes = prints.select("content", "print", F.posexplode(_blocks("print")).alias("b", "v")).select(
         "content", "print", F.expr(f"b * {1 << (64 // _BLOCKS)} + v").alias("slot"))
     near = (
-        probes.join(_index(item_prints, block_radius), "slot")
+        # The index is thousands of rows per item, which the planner cannot foresee; it is shuffled, never broadcast.
+        probes.join(_index(item_prints, block_radius).hint("merge"), "slot")
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select("content", "item").distinct()
     )
     shared = F.size(F.array_intersect("bag", "item_bag"))
