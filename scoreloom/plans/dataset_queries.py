@@ -510,6 +510,15 @@ def s12(t):
     return S.file_receipts(t.spark, t.sf_dir, "*.parquet")
 
 
+@query("S12_receipts_of_written_files", "SELECT n_nationkey AS nation, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def s12_written(t):
+    """One text file per nation, written by Spark and read back by its bytes."""
+    root = S.scratch_folder(t.spark, "receipts")
+    t.nation.select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(root)
+    found = S.file_receipts(t.spark, root, "part-*")
+    return found.select(F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("bigint").alias("nation"), "bytes", "sha256")
+
+
 _EVR = """er AS (SELECT user_id AS run_id, event_id AS id, k AS step, CASE event_type WHEN 'click' THEN 'baseline' WHEN 'view' THEN 'final' ELSE 'checkpoint' END AS kind, value/1000 AS win_rate, k/128.0E0 AS cast_when_able FROM v_events)"""
 
 
