@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes handled at a time; bounds the memory of the intermediate arrays.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -107,7 +107,7 @@ def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
     return value
 
 
-def text_batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[int, int, list[bytes | None]]]:
+def text_batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes | None]]]:
     """Row ranges of an Arrow batch with their texts as bytes, about ``limit`` bytes at a time."""
     texts = batch.column(column).cast(pa.large_binary()).to_pylist()
     low, size = 0, 0

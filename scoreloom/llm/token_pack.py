@@ -43,7 +43,7 @@ BLOCK_IDS = 1 << 20
 # A pair becomes a rule from this count on; rules of one round; rounds at most.
 LEAST_COUNT, ROUND_RULES, ROUNDS = 8, 4096, 4
 # Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 
 SCHEMA = (
     "shard int, block int, first_doc long, n_ids long, doc_ids array<long>, doc_lens array<long>, "
@@ -53,7 +53,7 @@ SCHEMA = (
 # ASCII capitals are folded and the three other separators become spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
-_PIECE = 1 << 22
+_PIECE = 1 << 21
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 # Byte-level vocabularies name a byte by its Latin-1 character if that is visible, else by the next free one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
