@@ -49,7 +49,7 @@ def hash_runs(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if (longest := int(length.max())) > len(_POWERS):
         _POWERS = _powers(2 * longest)
     at = np.concatenate(([0], np.cumsum(length)[:-1]))
-    position = np.arange(int(length.sum())) - np.repeat(at, length)
+    position = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
     terms = (raw[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[position]
     return mix(np.add.reduceat(terms, at) + length.astype(np.uint64)), first, length
 

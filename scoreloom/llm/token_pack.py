@@ -43,7 +43,7 @@ BLOCK_IDS = 1 << 20
 # A pair becomes a rule from this count on; rules of one round; rounds at most.
 LEAST_COUNT, ROUND_RULES, ROUNDS = 8, 4096, 4
 # Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 
 SCHEMA = (
     "shard int, block int, first_doc long, n_ids long, doc_ids array<long>, doc_lens array<long>, "
@@ -139,13 +139,19 @@ class WordEncoder:
         """First byte and number of ids of every word, and all ids."""
         view = np.frombuffer(raw, dtype=np.uint8)
         hashes, first, length = hash_runs(view, view != 32)
-        keys, place, which = np.unique(hashes, return_index=True, return_inverse=True)
-        found = self._known(keys, raw, first[place], length[place])
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.ones(len(ordered), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        which = np.empty(len(ordered), dtype=np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        place = order[new]  # one place of each distinct word
+        found = self._known(ordered[new], raw, first[place], length[place])
         flat = np.frombuffer(b"".join(found), dtype="<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin, own = (np.cumsum(size) - size)[which], size[which]
-        shift = np.repeat(begin - (np.cumsum(own) - own), own)
-        shift += np.arange(len(shift))
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begin, own = (np.cumsum(size, dtype=np.int32) - size)[which], size[which]
+        shift = np.repeat(begin - (np.cumsum(own, dtype=np.int32) - own), own)
+        shift += np.arange(len(shift), dtype=np.int32)
         return first, own, flat[shift]
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
