@@ -1,190 +1,130 @@
 """Cross-entropy difference of documents between two matched bigram models.
 
-The target model counts the documents marked as target, the background model all documents. Both share one vocabulary (the most
-frequent words of all documents, the rest is one unknown word), one table layout, and one smoothing; the background's counts are
-scaled to the target's number of tokens, so that both have the same weight against the smoothing. A document's own counts are taken
-out of both before it is scored. The score is the mean over tokens of target loss minus background loss: the lower, the more like the target.
-
-Every document is counted. Word counts are summed exactly in Spark. Bigrams of vocabulary words are summed into a fixed number of slots by
-hash, never more in a context than the context itself was seen; so the model that goes to the scoring tasks has a size that
-follows from the parameters alone: 8 bytes a slot and 32 bytes a word of the vocabulary.
+The target model counts the documents marked as target, the background model all documents. Both share one vocabulary (every word
+of the documents, and one unknown word) and one smoothing; the background's counts are scaled to the target's number of tokens, so
+that both have the same weight against the smoothing. A document's own counts are taken out of both before it is scored. The
+score is the mean over tokens of target loss minus background loss: the lower, the more like the target.
+
+Every document, word and bigram is counted exactly, at every size; words are told apart by a 64-bit digest. The counts are tables
+in Spark that grow with the documents, and only the number of words and tokens reaches the driver. A row per distinct bigram,
+with the counts of the bigram, its word and its context, meets the distinct bigrams of each document; all of these are
+joins of two shuffled sides, in which a frequent word or bigram can be split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.tables import written
-from scoreloom.llm.textwords import mix, text_batches, words_of
+from scoreloom.llm.textwords import text_batches, words_of
 
-VOCABULARY = 65_534
-SLOTS = 1 << 21
 SMOOTHING = 20.0
 
-_PAGE = 4096
+# Digests of the unknown word and of the start of a text.
+_UNKNOWN, _START = np.uint64(0), np.uint64(1)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task's words; what is held is bounded by flushing."""
-
-    def out(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
-
-    words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """Partial counts of a task's words, a piece of text at a time."""
     for batch in batches:
         for _, _, texts in text_batches(batch, "text"):
-            hashes, _ = words_of(texts)
-            more, n = np.unique(hashes, return_counts=True)
-            merged, at = np.unique(np.concatenate((words, more)), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate((counts, n)), minlength=len(merged)).astype(np.int64)
-            words = merged
-            if len(words) > 2_000_000:
-                yield out(words, counts)
-                words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(words):
-        yield out(words, counts)
-
-
-def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+            words, counts = np.unique(words_of(texts)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
+
+
+def learn_vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of the ``size`` most frequent words of all documents, ties to the smaller hash."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts, "word long, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     return np.sort(top.column("word").to_numpy().view(np.uint64))
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Ids of words and slots of bigrams. Ids: vocabulary, then the unknown word; one more context is the start of a text."""
-
-    vocabulary: np.ndarray
-    slots: int
+def _tokens(texts: list[bytes | None], vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the distinct words (the start of a text first), ids of the tokens and of those before them, and text offsets."""
+    hashes, at = words_of(texts)
+    if vocabulary is not None:
+        hashes = np.where(np.isin(hashes, vocabulary), hashes, _UNKNOWN)
+    words, ids = np.unique(hashes, return_inverse=True)
+    ids = ids.astype(np.int64) + 1
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[at[:-1][np.diff(at) > 0]] = 0
+    return np.concatenate(([_START], words)), ids, before, at
 
-    @property
-    def size(self) -> int:
-        return len(self.vocabulary) + 1
 
-    def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, ids before them, slots of both, and text offsets."""
-        hashes, at = words_of(texts)
-        unknown = len(self.vocabulary)
-        if unknown:
-            ids = np.minimum(np.searchsorted(self.vocabulary, hashes), unknown - 1)
-            ids[self.vocabulary[ids] != hashes] = unknown
-        else:
-            ids = np.full(len(hashes), unknown)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[at[:-1][np.diff(at) > 0]] = self.size
-        slot = (mix(before.astype(np.uint64) * np.uint64(self.size + 1) + ids.astype(np.uint64)) % np.uint64(self.slots)).astype(np.int64)
-        return ids, before, slot, at
-
-
-def _count(layout: Layout):
-    """A task's counts as pages of the three tables (words, contexts, slots), each for all and for target documents."""
-    offsets = np.cumsum([0, layout.size, layout.size + 1, layout.slots])
+def _bigrams(vocabulary: np.ndarray | None):
+    """Counts of the bigrams of a piece of text in all and in target documents: context, word, seen, seen_target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, -(-int(offsets[-1]) // _PAGE) * _PAGE), dtype=np.int64)
         for batch in batches:
             for low, high, texts in text_batches(batch, "text"):
-                ids, before, slot, at = layout.tokens(texts)
+                words, ids, before, at = _tokens(texts, vocabulary)
                 target = batch.column("target").slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
-                wanted = np.repeat(target, np.diff(at))
-                for k, values in enumerate((ids, before, slot)):
-                    n = int(offsets[k + 1] - offsets[k])
-                    total[0, offsets[k] : offsets[k + 1]] += np.bincount(values, minlength=n)
-                    total[1, offsets[k] : offsets[k + 1]] += np.bincount(values[wanted], minlength=n)
-        pages = total.reshape(2, -1, _PAGE)
-        used = np.flatnonzero(pages.any(axis=(0, 2)))
-        for low in range(0, len(used), 64):
-            part = used[low : low + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int64)), pa.array([pages[0, p].tobytes() for p in part], pa.binary()), pa.array([pages[1, p].tobytes() for p in part], pa.binary())],
-                ["page", "seen", "target"],
-            )
+                pairs, which = np.unique(before * len(words) + ids, return_inverse=True)
+                seen = np.bincount(which, minlength=len(pairs))
+                wanted = np.bincount(which[np.repeat(target, np.diff(at))], minlength=len(pairs))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(words[k].view(np.int64)) for k in np.divmod(pairs, len(words))), pa.array(seen.astype(np.int64)), pa.array(wanted.astype(np.int64))],
+                    ["context", "word", "seen", "seen_target"],
+                )
 
     return run
 
 
-def _add_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a partition sorted by page; one page is held at a time."""
+def _own(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """How often each token's value occurs in the token's own text."""
+    _, at, count = np.unique(owner * size + values, return_inverse=True, return_counts=True)
+    return count[at]
+
 
-    def out(page: int, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([sums[0].tobytes()], pa.binary()), pa.array([sums[1].tobytes()], pa.binary())], ["page", "seen", "target"])
+_OWN = "row long, target boolean, length long, context long, word long, own long, own_word long, own_context long"
 
-    last, sums = None, np.zeros((2, _PAGE), dtype=np.int64)
-    for batch in batches:
-        for page, seen, target in zip(*(batch.column(n).to_pylist() for n in ("page", "seen", "target"))):
-            if last is not None and page != last:
-                yield out(last, sums)
-                sums = np.zeros((2, _PAGE), dtype=np.int64)
-            last = page
-            sums[0] += np.frombuffer(seen, dtype=np.int64)
-            sums[1] += np.frombuffer(target, dtype=np.int64)
-    if last is not None:
-        yield out(last, sums)
-
-
-@dataclass(frozen=True)
-class Models:
-    """Counts of both models. ``word``, ``context``, ``slot``: arrays [all documents, target documents]."""
-
-    layout: Layout
-    word: np.ndarray
-    context: np.ndarray
-    slot: np.ndarray
-    smoothing: float
-
-    def losses(self, texts: list[bytes | None], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and summed target and background losses of each text."""
-        ids, before, slot, at = self.layout.tokens(texts)
-        n = np.diff(at)
-        owner = np.repeat(np.arange(len(texts)), n)
-        own_word, own_context, own_slot = (_own(owner, v, m) for v, m in ((ids, self.layout.size), (before, self.layout.size + 1), (slot, self.layout.slots)))
-        length = n[owner]
-        all_tokens, target_tokens = self.word.sum(axis=1)
-        matched = target_tokens / all_tokens if all_tokens else 0.0
-        sums = []
-        for which, scale, mine in ((1, 1.0, target[owner].astype(np.float64)), (0, matched, np.ones(len(ids)))):
-            word = (self.word[which][ids] - mine * own_word) * scale
-            context = (self.context[which][before] - mine * own_context) * scale
-            pair = np.minimum((self.slot[which][slot] - mine * own_slot) * scale, context)
-            tokens = (self.word[which].sum() - mine * length) * scale
-            single = (word + 1.0) / (tokens + self.layout.size)
-            loss = -np.log((pair + self.smoothing * single) / (context + self.smoothing))
-            sums.append(np.bincount(owner, weights=loss, minlength=len(texts)))
-        return n, sums[0], sums[1]
 
+def _own_bigrams(vocabulary: np.ndarray | None):
+    """The distinct bigrams of each text with its own counts of the bigram, its word and its context."""
 
-def _own(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """How often each token's value occurs in the token's own text."""
-    if not len(values):
-        return np.empty(0)
-    _, at, count = np.unique(owner * size + values, return_inverse=True, return_counts=True)
-    return count[at].astype(np.float64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, texts in text_batches(batch, "text"):
+                part = batch.slice(low, high - low)
+                words, ids, before, at = _tokens(texts, vocabulary)
+                n = np.diff(at)
+                owner = np.repeat(np.arange(len(texts)), n)
+                local = before * len(words) + ids
+                if len(texts) * len(words) ** 2 < 1 << 63:
+                    _, first, own = np.unique(owner * len(words) ** 2 + local, return_index=True, return_counts=True)
+                else:
+                    pairs, local = np.unique(local, return_inverse=True)
+                    _, first, own = np.unique(owner * len(pairs) + local, return_index=True, return_counts=True)
+                own_word, own_context = (_own(owner, v, len(words))[first] for v in (ids, before))
+                whose = pa.array(owner[first])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("row").take(whose), part.column("target").take(whose), pa.array(n[owner[first]].astype(np.int64)),
+                        *(pa.array(words[v[first]].view(np.int64)) for v in (before, ids)), *(pa.array(v.astype(np.int64)) for v in (own, own_word, own_context)),
+                    ],
+                    ["row", "target", "length", "context", "word", "own", "own_word", "own_context"],
+                )
 
+    return run
 
-def train_models(docs: DataFrame, size: int = VOCABULARY, slots: int = SLOTS, smoothing: float = SMOOTHING) -> Models:
-    """Both models from ``docs`` (text, target boolean). What reaches the driver is bounded by ``size`` and ``slots``."""
-    layout = Layout(learn_vocabulary(docs, size), slots)
-    schema = "page long, seen binary, target binary"
-    pages = (
-        docs.select("text", "target").mapInArrow(_count(layout), schema)
-        .repartition("page").sortWithinPartitions("page").mapInArrow(_add_pages, schema).toArrow()
-    )
-    offsets = np.cumsum([0, layout.size, layout.size + 1, layout.slots])
-    total = np.zeros((2, -(-int(offsets[-1]) // _PAGE), _PAGE), dtype=np.float32)
-    for page, seen, target in zip(*(pages.column(n).to_pylist() for n in ("page", "seen", "target"))):
-        total[0, page], total[1, page] = np.frombuffer(seen, dtype=np.int64), np.frombuffer(target, dtype=np.int64)
-    total = total.reshape(2, -1)
-    word, context, slot = (total[:, offsets[k] : offsets[k + 1]] for k in range(3))
-    return Models(layout, word.astype(np.float64), context.astype(np.float64), np.ascontiguousarray(slot), smoothing)
+
+def bigram_counts(marked: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """(context, word, seen, seen_target) of every distinct bigram of ``marked`` (text, target boolean)."""
+    parts = marked.select("text", "target").mapInArrow(_bigrams(vocabulary), "context long, word long, seen long, seen_target long")
+    return parts.groupBy("context", "word").agg(F.sum("seen").alias("seen"), F.sum("seen_target").alias("seen_target"))
+
+
+def _loss(scale: float, mine: Column, kind: str, tokens: int, size: int, smoothing: float) -> Column:
+    """A bigram's loss in one model, without the counts of its own document where ``mine`` is 1."""
+    left = lambda seen, own: (F.col(seen + kind) - mine * F.col(own)) * scale
+    single = (left("word_seen", "own_word") + 1.0) / ((F.lit(tokens) - mine * F.col("length")) * scale + size)
+    return -F.log((left("seen", "own") + smoothing * single) / (left("context_seen", "own_context") + smoothing))
 
 
 def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,26 +144,36 @@ def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, slots: int = SLOTS, smoothing: float = SMOOTHING) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | None = None, slots: int | None = None, smoothing: float = SMOOTHING) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row of ``docs`` (doc_id, text).
 
     Losses are means over tokens in nats; the score is their difference. Null, empty and wordless texts have no tokens and null
     losses and score. Repeated rows each get a row and all count in the background. Without target rows the target model is the
-    uniform one of the smoothing. An empty table gives no rows.
+    uniform one of the smoothing. An empty table gives no rows. ``size`` keeps only the most frequent words and reads the
+    others as the unknown word; by default none are dropped. ``slots`` has no effect: bigrams are always counted exactly.
     """
-    marked = written(mark_target(docs, labels))
-    models = marked.sparkSession.sparkContext.broadcast(train_models(marked, size, slots, smoothing))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, texts in text_batches(batch, "text"):
-                part = batch.slice(low, high - low)
-                n, wanted, other = models.value.losses(texts, part.column("target").to_numpy(zero_copy_only=False).astype(bool))
-                none = n == 0
-                n = np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.where(none, 0, n), pa.int64()), *(pa.array(v / n, pa.float64(), mask=none) for v in (wanted, other, wanted - other))],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return marked.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    marked = written(mark_target(docs, labels).withColumn("row", F.monotonically_increasing_id()))
+    vocabulary = None if size is None else learn_vocabulary(marked, size)
+    pairs = written(bigram_counts(marked, vocabulary))
+    totals = lambda key: pairs.groupBy(F.col(key).alias("key")).agg(F.sum("seen").alias(f"{key}_seen"), F.sum("seen_target").alias(f"{key}_seen_target"))
+    words, contexts = written(totals("word")), totals("context")
+    every = words.agg(F.count(F.lit(1)).alias("n"), F.sum("word_seen").alias("all"), F.sum("word_seen_target").alias("target")).first()
+    n_words = every["n"] if vocabulary is None else len(vocabulary)
+    all_tokens, target_tokens = every["all"] or 0, every["target"] or 0
+    model = (
+        pairs.join(words.hint("merge"), F.col("word") == F.col("key")).drop("key")
+        .join(contexts.hint("merge"), F.col("context") == F.col("key")).drop("key")
+    )
+    own = marked.select("row", "text", "target").mapInArrow(_own_bigrams(vocabulary), _OWN)
+    met = own.join(model.hint("merge"), ["context", "word"])
+    target = F.col("target").cast("int")
+    losses = (
+        _loss(1.0, target, "_target", target_tokens, n_words + 1, smoothing),
+        _loss(target_tokens / all_tokens if all_tokens else 0.0, F.lit(1), "", all_tokens, n_words + 1, smoothing),
+    )
+    sums = met.groupBy("row").agg(F.sum("own").alias("n"), *(F.sum(F.col("own") * v).alias(k) for k, v in zip(("target_sum", "background_sum"), losses)))
+    return (
+        marked.select("row", "doc_id").join(sums.hint("merge"), "row", "left")
+        .select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), (F.col("target_sum") / F.col("n")).alias("target_loss"), (F.col("background_sum") / F.col("n")).alias("background_loss"))
+        .withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    )

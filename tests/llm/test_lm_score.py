@@ -84,3 +84,27 @@ def test_few_slots_stay_bounded(spark):
     docs, labels = frames(spark, DOCS, LABELS)
     for r in L.cross_entropy_difference(docs, labels, slots=3).collect():
         assert r.score is None or math.isfinite(r.score)
+
+
+def test_every_word_and_bigram_counts_of_its_own(spark):
+    """More words than the former vocabulary held, and more bigrams than fit its slots without sharing them."""
+    docs = [(k, " ".join(f"n{k}x{j % 1_000}" for j in range(1_500))) for k in range(80)] + [(900, GOOD), (901, GOOD + " z"), (902, BAD)]
+    frame, labels = frames(spark, docs, [(900, 1, 0), (3, 1, 0)])
+    pairs = L.bigram_counts(L.mark_target(frame, labels)).collect()
+    exact = Counter(pair for _, t in docs for pair in zip(["<s>", *words(t)], words(t)))
+    assert sorted(r.seen for r in pairs) == sorted(exact.values())
+    assert len({r.word for r in pairs}) == len({w for _, t in docs for w in words(t)}) > 65_534
+    got = {r.doc_id: r for r in L.cross_entropy_difference(frame, labels).collect()}
+    lists, v = {i: words(t) for i, t in docs}, len({w for _, t in docs for w in words(t)}) + 1
+    share = sum(len(lists[i]) for i in (900, 3)) / sum(map(len, lists.values()))
+    for i in (3, 7, 901):
+        for name, which, scale in (("target_loss", {900, 3} - {i}, 1.0), ("background_loss", set(lists) - {i}, share)):
+            single, context, pair = Counter(), Counter(), Counter()
+            for j in which:
+                single.update(lists[j])
+                context.update(["<s>", *lists[j]][:-1])
+                pair.update(zip(["<s>", *lists[j]], lists[j]))
+            n, loss = sum(single.values()) * scale + v, 0.0
+            for a, b in zip(["<s>", *lists[i]], lists[i]):
+                loss -= math.log((pair[a, b] * scale + L.SMOOTHING * (single[b] * scale + 1) / n) / (context[a] * scale + L.SMOOTHING))
+            assert got[i][name] == pytest.approx(loss / len(lists[i]))
