@@ -97,6 +97,20 @@ def test_blocks_meet_everything_within_the_radius(spark):
     assert probes.join(decontaminate._index(items, 3), "slot").select("content").distinct().count() == 300
 
 
+def test_recall_just_above_the_threshold(spark):
+    docs, items = [], []
+    near = [(m, k) for m in range(9, 56) for k in range(1, 7) if 0.8 <= (m - k) / (m + k) <= 0.85]
+    for i in range(1_000):
+        m, k = near[i % len(near)]
+        w = [f"i{i}w{j}" for j in range(m + 4)]
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([*w[: m + 4 - k], *(f"c{i}w{j}" for j in range(k))])))
+    docs, items = frames(spark, docs, items)
+    got = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1_000)}
+    assert all(0.8 <= r.similarity for r in got)
+
+
 def test_query_equals_sql(spark):
     from scoreloom.llm.queries import QUERIES
 
