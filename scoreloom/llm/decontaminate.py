@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.tables import written
+from scoreloom.llm.tables import row_key, written
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -96,6 +96,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     at one by one and reported under their id. Empty tables give no rows. A pair is missed only if its fingerprints differ in more
     than 4 * (block_radius + 1) - 1 bits: by default about 1 of 100,000 pairs at the threshold, fewer above it.
     """
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "first", "length"))
+    return (
+        _matches(docs, benchmark, threshold, block_radius, shingles_at_once).groupBy("doc_id", "item_id").agg(best.alias("b"))
+        .select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.first").cast("long").alias("first_word"), F.col("b.length").cast("long").alias("n_words"))
+    )
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_radius: int = BLOCK_RADIUS,
+             shingles_at_once: int = SHINGLES_AT_ONCE) -> DataFrame:
+    """(doc_id, version, first, length, item_id, similarity) of every window that matches; ``version`` is a digest of its text."""
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("words")).distinct()
         .select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words")
@@ -106,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         .select(_shingle("words", "offset").alias("shingle"), "offset", F.size("words").alias("length")).distinct()
     )
     rounds = max(1, math.ceil(places.count() / shingles_at_once))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), _words("text").alias("words"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), _words("text").alias("words"))
     shingles = texts.select("doc_id", "version", "words", F.explode(_starts("words")).alias("at")).withColumn("shingle", _shingle("words", "at"))
     hits = None
     for part in range(rounds):
@@ -138,18 +148,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         .where(F.col("similarity") >= threshold)
         .join(items.select("item", "item_id"), "item").select("content", "item_id", "similarity")
     )
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "first", "length"))
-    return (
-        windows.select("doc_id", "first", "length", "content").join(written(verified), "content")
-        .groupBy("doc_id", "item_id").agg(best.alias("b"))
-        .select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.first").cast("long").alias("first_word"), F.col("b.length").cast("long").alias("n_words"))
-    )
+    return windows.select("doc_id", "version", "first", "length", "content").join(written(verified), "content").drop("content")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id has no match."""
-    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__doc_id")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("__doc_id"), "left_anti")
+    """The rows of ``docs``, with all their columns, whose doc_id has no match. Rows without an id are judged by their own text."""
+    bad = written(_matches(docs, benchmark, **options).select(
+        F.coalesce("doc_id", "version").alias("__key"), F.col("doc_id").isNull().alias("__no_id")).distinct())
+    return docs.select("*", *row_key()).join(bad, ["__key", "__no_id"], "left_anti").select(*docs.columns)
 
 
 ORACLE = """

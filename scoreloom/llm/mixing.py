@@ -115,14 +115,14 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken."""
+    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken. Rows without an id count as one id."""
     counts = (
         mix_counts(docs, **options).where("times > 0")
         .groupBy("doc_id", "source", "size").agg(F.max("times").alias("__times"))
         .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times")
     )
     sized = docs.withColumn("__words", text_size())
-    match = (sized["doc_id"] == counts["__id"]) & (sized["__words"] == counts["__size"]) & sized["source"].eqNullSafe(counts["__source"])
+    match = sized["doc_id"].eqNullSafe(counts["__id"]) & (sized["__words"] == counts["__size"]) & sized["source"].eqNullSafe(counts["__source"])
     return (
         sized.join(counts, match).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times"))))
         .select(*[sized[c] for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import connected_components
-from scoreloom.llm.tables import written
+from scoreloom.llm.tables import row_key, written
 from scoreloom.llm.textwords import mix, shingles_of, text_batches, words_of
 
 SIZE = 5
@@ -30,7 +30,7 @@ ROWS = 8
 SKETCH = 128
 BLOCK = 256
 
-_SIGNED = "doc_id long, node long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, key long, no_id boolean, node long, bands array<long>, sketch binary"
 
 
 def band_count(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -80,8 +80,8 @@ def _sign(size: int, bands: int, rows: int, sketch: int):
                     k, s = minhash(np.unique(shingles_of(words[a:b], size)))
                     nodes.append(_node(words[a:b])), keys.append(k), short.append(s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                    ["doc_id", "node", "bands", "sketch"],
+                    [*(batch.column(c).slice(low, high - low) for c in ("doc_id", "key", "no_id")), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                    ["doc_id", "key", "no_id", "node", "bands", "sketch"],
                 )
 
     return run
@@ -253,16 +253,21 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     Returns doc_id, class_id (smallest doc_id of the class), n_links (other rows whose n-gram Jaccard
     similarity is at least ``threshold``), copies (rows with equal words, itself included). Texts with fewer
     than ``size`` words are one n-gram of all their words. Null, empty and wordless texts link to nothing
-    and are classes of their own. Repeated rows are copies of each other. Texts count as equal when their words are,
+    and are classes of their own. Rows without an id take part as all others; a class without any id has a null class_id. Repeated rows are copies of each other. Texts count as equal when their words are,
     compared by a 64-bit digest. Pairs at the threshold are found with probability ``recall``, more similar
     ones more surely; a link that is reported is exact.
     """
+    return _classed(docs, size, threshold, recall, rows, block).select("doc_id", F.when(~F.col("first.no_id"), F.col("first.key")).alias("class_id"), "n_links", "copies")
+
+
+def _classed(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id, key, no_id, first (no_id and key of the class's first row: the smallest id, or digest if none has an id), n_links, copies."""
     bands = band_count(threshold, recall, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key("key", "no_id"))
     signed = written(texts.mapInArrow(_sign(size, bands, rows, SKETCH), _SIGNED))
     nodes = written(
         signed.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+            F.min(F.struct("no_id", "key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     band = nodes.select("node", F.explode("bands").alias("bucket"))
     crowd = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
@@ -283,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     extent = family.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     wanted = family.join(extent, "label").join(nodes.select("node", "rep", "copies"), "node")
     sets = (
-        texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
+        texts.join(wanted.select("node", "copies", "label", "blocks", "rep.key", "rep.no_id"), ["key", "no_id"])
         .select("node", "copies", "label", "blocks", "text")
         .mapInArrow(_grams(size), "node long, copies long, label long, blocks long, grams array<long>")
     )
@@ -295,13 +300,13 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     linked = (
         links.groupBy("node").agg(F.sum("links").alias("links")).join(label, "node").join(nodes.select("node", "rep"), "node")
     )
-    lowest = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
-    found = linked.join(lowest, "label").select("node", "links", "class_id")
+    lowest = linked.groupBy("label").agg(F.min("rep").alias("first"))
+    found = linked.join(lowest, "label").select("node", "links", "first")
     # Written, so that the join below shuffles both sides itself and can split a text with very many copies.
     per_node = written(nodes.select("node", "rep", "copies").join(found, "node", "left"))
-    return signed.select("doc_id", "node").join(per_node, "node", "left").select(
-        "doc_id",
-        F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
+    return signed.select("doc_id", "key", "no_id", "node").join(per_node, "node", "left").select(
+        "doc_id", "key", "no_id",
+        F.coalesce("first", "rep", F.struct("no_id", "key")).alias("first"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )
@@ -310,18 +315,20 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
 def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` (all columns) for each class: the one with the class's smallest doc_id.
 
-    Rows that share an id share its fate; of equal rows one stays.
+    Rows that share an id share its fate; of equal rows one stays. Rows without an id come after those with one, in order of
+    a digest of their text.
     """
+    keys = ["__key", "__no_id"]
     classes = written(
-        near_duplicates(docs, **options).groupBy("doc_id")
-        .agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("not first or n > 1").select(F.col("doc_id").alias("__doc_id"), "first")
+        _classed(docs, **options).groupBy("key", "no_id")
+        .agg(F.max(F.struct("no_id", "key") == F.col("first")).alias("__first"), F.count(F.lit(1)).alias("n"))
+        .where("not __first or n > 1").select(F.col("key").alias("__key"), F.col("no_id").alias("__no_id"), "__first")
     )
-    gone, again = classes.where("not first"), classes.where("first")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__doc_id"), "left_anti")
-    single = kept.join(again, F.col("doc_id") == F.col("__doc_id"), "left_anti")
-    repeated = kept.join(again, F.col("doc_id") == F.col("__doc_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated)
+    gone, again = classes.where("not __first").drop("__first"), classes.where("__first").drop("__first")
+    kept = docs.select("*", *row_key()).join(gone, keys, "left_anti")
+    single = kept.join(again, keys, "left_anti")
+    repeated = kept.join(again, keys, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 ORACLE = """

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -27,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+def row_key(key: str = "__key", no_id: str = "__no_id") -> list[Column]:
+    """Two columns without nulls that tell rows (doc_id, text) apart for joins: the id, or where there is none a digest of the text."""
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.xxhash64(F.col("text").cast("string"))).alias(key), doc_id.isNull().alias(no_id)]
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
