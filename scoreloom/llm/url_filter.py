@@ -15,10 +15,16 @@ from scoreloom.llm.tables import written
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
-ROUNDS = 10
-# Distrust / (trust + distrust) from which a host is blocked, and the rank it needs to be judged at all.
+# Ranks have settled when their changes in a round add up to less than this part of a seed's share. Changes shrink by the damping at
+# least, so that this takes some 205 rounds at most for a million seeds; ROUNDS only ends what rounding errors keep moving. It is looked at
+# every LOOK rounds.
+TOLERANCE = 1e-8
+ROUNDS = 300
+LOOK = 5
+# Distrust / (trust + distrust) from which a host is blocked.
 BLOCK_SHARE = 0.5
-LEAST_RANK = 1e-12
+# Rounds that the SQL below is written for; it is the same as long as there are no links between hosts.
+_SQL_ROUNDS = 10
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -83,7 +89,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
 
     ``edges``: kind, src, dst, links; ``seeds``: kind, host. A kind's rank starts evenly at its seeds; each round a host
     passes ``damping`` of its rank along its links in proportion to their number, and the seeds share the rest, with what
-    hosts without links hold. A kind without seeds has no rank. Each round is written to the shared folder.
+    hosts without links hold, until every kind has settled (``TOLERANCE``), ``rounds`` at most. A kind without seeds has no rank.
+    Each round is written to the shared folder.
     """
     seeds = seeds.distinct()
     total = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -93,7 +100,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     rank = start.select("kind", "host", F.col("seed").alias("rank"))
     if flow.isEmpty():
         return rank  # without links every round gives the seeds back
-    for _ in range(rounds):
+    for k in range(rounds):
+        last = rank
         passed = (
             rank.withColumnRenamed("host", "src").join(flow, ["kind", "src"])
             .groupBy("kind", "dst").agg((F.sum(F.col("rank") * F.col("part")) * damping).alias("came")).withColumnRenamed("dst", "host")
@@ -102,6 +110,11 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
         rest = start.select("kind").distinct().join(passed.groupBy("kind").agg(F.sum("came").alias("moved")), "kind", "left")
         back = start.join(rest, "kind").select("kind", "host", (F.col("seed") * (1.0 - F.coalesce("moved", F.lit(0.0)))).alias("came"))
         rank = written(passed.unionByName(back).groupBy("kind", "host").agg(F.sum("came").alias("rank")))
+        if (k + 1) % LOOK == 0:
+            moved = rank.unionByName(last.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("by"))
+            unsettled = moved.groupBy("kind").agg(F.sum("by").alias("by")).join(total, "kind").where(F.col("by") * F.col("n") >= TOLERANCE)
+            if unsettled.isEmpty():
+                break
     return rank
 
 
@@ -125,7 +138,7 @@ def host_verdicts(hosts: DataFrame, edges: DataFrame, rules: DataFrame, damping:
     side = rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    blocked = (F.col("distrust") >= LEAST_RANK) & (F.col("distrust") >= block_share * (F.col("trust") + F.col("distrust")))
+    blocked = (F.col("distrust") > 0) & (F.col("distrust") >= block_share * (F.col("trust") + F.col("distrust")))
     return side.withColumn("method_verdict", F.when(blocked, "block").otherwise("allow"))
 
 
@@ -178,8 +191,8 @@ seeds AS (
     SELECT DISTINCT CASE WHEN verdict = 'block' THEN 'distrust' ELSE 'trust' END AS kind, h.host FROM hosts h
     JOIN rules r ON h.host = r.host OR h.host LIKE '%.' || r.host WHERE verdict = 'block' OR path = '/'),
 start AS MATERIALIZED (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM seeds),
-r0 AS (SELECT kind, host, seed AS rank FROM start),""" + _rounds_sql(ROUNDS) + r""",
-side AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS distrust FROM r""" + str(ROUNDS) + r""" GROUP BY host),
+r0 AS (SELECT kind, host, seed AS rank FROM start),""" + _rounds_sql(_SQL_ROUNDS) + r""",
+side AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS distrust FROM r""" + str(_SQL_ROUNDS) + r""" GROUP BY host),
 fit AS (
     SELECT page_id, r.host || r.path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) AS k
     FROM u JOIN rules r ON (u.host = r.host OR u.host LIKE '%.' || r.host) AND starts_with(u.path, r.path))

@@ -61,6 +61,21 @@ def test_trust_follows_links_and_distrust_runs_back(spark):
     assert {i: got[i].verdict for i in got} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def chain(spark, n, damping):
+    link = lambda host: f'<a href="http://{host}/">z</a>'
+    return judge(spark, [page(0, "http://spam.net/de/"), *(page(k, f"http://h{k}.org/", link(f"h{k - 1}.org" if k > 1 else "spam.net")) for k in range(1, n + 1))], damping=damping)
+
+
+def test_hosts_far_from_a_seed_are_reached(spark):
+    got = chain(spark, 13, 0.5)
+    assert all(got[k].distrust > 0 and got[k].verdict == "block" for k in range(14))
+
+
+def test_small_ranks_are_judged_by_their_share(spark):
+    got = chain(spark, 1, 1e-13)
+    assert 0 < got[1].distrust < 1e-12 and got[1].verdict == "block"
+
+
 def test_empty_tables(spark):
     assert judge(spark, []) == {}
     df = spark.createDataFrame([page(1, "http://a.com/")], "page_id long, url string, html string, host string, verdict string")
