@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import ann, chat_format, decontaminate, license_scan, line_quality, lm_score, mixing, ngram_join, token_pack, url_filter
+from scoreloom.llm import (
+    ann, chat_format, decontaminate, language_id, license_scan, line_quality, lm_score, mixing, ngram_join, spelling, token_pack, turn_repair, url_filter)
 from scoreloom.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,20 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.written_and_read(load(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return turn_repair.repair_summary(turn_repair.repair_conversations(turn_repair.damaged(turns)), turns)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(load(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES["op1_decontamination"] = op1_decontamination
 ORACLES["op1_decontamination"] = decontaminate.ORACLE
 QUERIES["op2_token_blocks"] = op2_token_blocks
@@ -72,3 +87,8 @@ QUERIES["op9_url_filter"] = op9_url_filter
 ORACLES["op9_url_filter"] = url_filter.ORACLE
 QUERIES["op6_ann"] = op6_ann
 QUERIES["op3_lm_scoring"] = op3_lm_scoring
+QUERIES["op11_conversation_repair"] = op11_conversation_repair
+ORACLES["op11_conversation_repair"] = turn_repair.ORACLE
+QUERIES["op12_spelling_variants"] = op12_spelling_variants
+ORACLES["op12_spelling_variants"] = spelling.ORACLE
+QUERIES["op13_language_id"] = op13_language_id
