@@ -1,8 +1,7 @@
 """Spelling variants: words one edit apart, found by pivotal grams.
 
 All bigrams of the vocabulary are ordered by how many words hold them, rarest first. A word's gram prefix is its first three
-bigrams in that order (and all that tie with the third); its pivots are the two disjoint bigrams of the prefix that are rarest
-together, chosen by dynamic programming. One edit touches at most one of two disjoint bigrams, so of two near words, the one whose
+bigrams in that order; its pivots are the two disjoint bigrams of the prefix that are rarest together, chosen by dynamic programming. One edit touches at most one of two disjoint bigrams, so of two near words, the one whose
 prefix ends earlier in the order has a pivot that stands in the other's prefix: pivots are looked up among prefixes.
 
 Position limits: an edit to the right of a word's left pivot leaves all before it as it was, at the same places; an edit to the
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.tables import written
+from scoreloom.llm.textwords import text_batches
 
 LEAST_LENGTH = 6
 LEAST_COUNT = 5
@@ -84,29 +84,35 @@ def gram_order(words: DataFrame) -> dict[str, int]:
     return {r["gram"]: k for k, r in enumerate(ordered)}
 
 
-def gram_prefix(word: str, rank: dict[str, int]) -> dict[int, int]:
-    """Places and ranks of the three rarest bigrams of ``word`` and of all that tie with the third."""
+def gram_prefix(word: str, rank: dict[str, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """The bigrams that rank no later than the third of ``word``: their first places with their ranks, and their last places.
+
+    If all up to a bigram is the same in two words, its first place is the same; if all behind it is, its last place is.
+    """
     ranks = [rank[word[i : i + 2]] for i in range(len(word) - 1)]
     last = sorted(ranks)[min(3, len(ranks)) - 1]
-    return {i: r for i, r in enumerate(ranks) if r <= last}
+    held = [(i, r) for i, r in enumerate(ranks) if r <= last]
+    first_place = {r: i for i, r in reversed(held)}
+    last_place = {r: i for i, r in held}
+    return {i: r for r, i in first_place.items()}, {i: r for r, i in last_place.items()}
 
 
-def pivots(prefix: dict[int, int]) -> tuple[int, int]:
-    """The two disjoint places of ``prefix`` with the smallest sum of ranks, the leftmost of equal ones.
+def pivots(firsts: dict[int, int], lasts: dict[int, int]) -> tuple[int, int]:
+    """The disjoint bigrams, one at a first place and one behind it at a last place, with the smallest sum of ranks; the leftmost of equal ones.
 
-    ``one``: cheapest single place so far, of those that a later bigram doesn't overlap. Three different places always
-    hold two that don't overlap.
+    Going through the places, the state is the cheapest first place that a bigram here doesn't overlap. Three places always hold
+    two that don't overlap, and moving the left one to its bigram's first place and the right one to its last keeps them apart.
     """
-    best = None
-    one: tuple[int, int] | None = None
-    waiting: list[tuple[int, int]] = []
-    for place, rank in prefix.items():
-        while waiting and waiting[0][1] <= place - 2:
-            free = waiting.pop(0)
-            one = free if one is None else min(one, free)
-        if one is not None and (best is None or (one[0] + rank, one[1], place) < best):
-            best = (one[0] + rank, one[1], place)
-        waiting.append((rank, place))
+    starts = sorted(firsts)
+    best, cheapest, passed = None, None, 0
+    for place in sorted(lasts):
+        while passed < len(starts) and starts[passed] <= place - 2:
+            free = (firsts[starts[passed]], starts[passed])
+            cheapest = free if cheapest is None else min(cheapest, free)
+            passed += 1
+        if cheapest is not None:
+            found = (cheapest[0] + lasts[place], cheapest[1], place)
+            best = found if best is None else min(best, found)
     return best[1], best[2]
 
 
@@ -141,16 +147,16 @@ class _Keys:
         return {self._key(2, kept, middle, kept, length), self._key(3, kept, 0, length - middle, length)}
 
 
-def indexed_keys(word: str, prefix: dict[int, int]) -> set[int]:
+def indexed_keys(word: str, prefix: tuple[dict[int, int], dict[int, int]]) -> set[int]:
     """What ``word`` is found under: every bigram of its prefix, as a left and as a right pivot of another word."""
     keys, size = _Keys(word), len(word)
-    return set().union(*(keys.left(i + 2, size) | keys.right(size - i, size) for i in prefix))
+    return set().union(*(keys.left(i + 2, size) for i in prefix[0]), *(keys.right(size - i, size) for i in prefix[1]))
 
 
-def lookup_keys(word: str, prefix: dict[int, int]) -> set[int]:
+def lookup_keys(word: str, prefix: tuple[dict[int, int], dict[int, int]]) -> set[int]:
     """What ``word`` looks up: its two pivots, in words as long as it or one letter longer or shorter."""
     keys, size = _Keys(word), len(word)
-    low, high = pivots(prefix)
+    low, high = pivots(*prefix)
     return set().union(*(
         (keys.left(low + 2, length) if low + 2 <= length else set()) | (keys.right(size - high, length) if size - high <= length else set())
         for length in (size - 1, size, size + 1)
@@ -160,9 +166,9 @@ def lookup_keys(word: str, prefix: dict[int, int]) -> set[int]:
 def _keyed(rank: dict[str, int], keys_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                keys = [sorted(keys_of(w, gram_prefix(w, rank))) for w in part.column("word").to_pylist()]
+            for low, high, texts in text_batches(batch, "word", 1 << 18):
+                part = batch.slice(low, high - low)
+                keys = [sorted(keys_of(w, gram_prefix(w, rank))) for w in (t.decode() for t in texts)]
                 whose = pa.array([k for k, found in enumerate(keys) for _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key for found in keys for key in found], pa.int64()), part.column("word").take(whose), part.column("n").take(whose)], ["key", "word", "n"])
