@@ -172,7 +172,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_langs: int = TRAI
     """Trees of the languages of ``docs`` (doc_id, text, lang).
 
     Learned from: whole texts of rows with an id, not held out, a language and a text. At most ``train_docs`` of them: the same
-    number for each language, by smallest hash of the id (ties by id), of the ``train_langs`` most frequent languages
+    number for each language, by the hash of the id, of the ``train_langs`` most frequent languages
     (ties to the smaller name). Repeated rows count again. Without such rows there are no languages.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -180,10 +180,17 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_langs: int = TRAI
     langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(train_langs, train_docs)).collect()]
     if not langs:
         return LanguageModel.of({})
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # The smallest hashes lie in the first of 1,024 ranges; only ranges that are needed to fill a share are ordered, so that
+    # a frequent language's ids never meet in one task.
+    share = train_docs // len(langs)
+    ranged = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("range", F.pmod("hash", F.lit(1024)))
+    held = ranged.groupBy("lang", "range").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    filled = held.withColumn("before", F.sum("ids").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
+    wanted = filled.where(F.coalesce("before", F.lit(0)) < 1.3 * share + 30).select("lang", "range")
+    order = Window.partitionBy("lang").orderBy("range", "hash", "doc_id")
     chosen = (
-        usable.where(F.col("lang").isin(langs)).select("lang", "doc_id").distinct()
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= train_docs // len(langs)).select("lang", "doc_id")
+        ranged.join(F.broadcast(wanted), ["lang", "range"]).distinct()  # at most 1,024 ranges of train_langs languages
+        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= share).select("lang", "doc_id")
     )
     sample = usable.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most train_docs keys
     counted = (

@@ -129,6 +129,19 @@ def _facing(block: np.ndarray, i: int, j: int) -> np.ndarray:
     return block[:, None] != block[None, :]
 
 
+def _tied(like: np.ndarray, block: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Index of the row that each row of the block pair (i, j) is tied to; itself if to none.
+
+    A block's own pair ties each row to the first one of its part of the block; between two blocks only those are tied to each other.
+    """
+    to = _lowest(like)
+    if i == j:
+        return to
+    inside = _lowest(like & (block[:, None] == block[None, :]))
+    rows = np.arange(len(block))
+    return np.where(inside == rows, to, rows)
+
+
 def _similar_sketches(cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -142,8 +155,8 @@ def _similar_sketches(cut: float):
             same = np.empty((len(node), len(node)), dtype=np.float32)
             for a in range(0, len(node), 32):
                 same[a : a + 32] = (sketch[a : a + 32, None, :] == sketch[None, :, :]).mean(axis=2)
-            near = ((same - 1 / 256) / (1 - 1 / 256) >= cut) & _facing(block, t.column("i")[0].as_py(), t.column("j")[0].as_py())
-            to = _lowest(near)
+            near = (same - 1 / 256) / (1 - 1 / 256) >= cut
+            to = _tied(near, block, t.column("i")[0].as_py(), t.column("j")[0].as_py())
             moved = to != np.arange(len(node))
             left.append(node[moved])
             right.append(node[to[moved]])
@@ -222,11 +235,7 @@ def _verify(threshold: float):
             np.fill_diagonal(like, False)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
             links = (like & _facing(block, i, j)) @ copies
-            to = _lowest(like)
-            if i != j:
-                # The blocks' own pairs tie each text to the first one of its part of the block; here those are tied to each other.
-                inside = _lowest(like & (block[:, None] == block[None, :]))
-                to = np.where(inside == np.arange(len(node)), to, np.arange(len(node)))
+            to = _tied(like, block, i, j)
             some = links > 0
             some |= to != np.arange(len(node))
             if some.any():
@@ -278,7 +287,8 @@ def _classed(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, re
     )
     members = couples.unionByName(band.join(crowd.where("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "node"))
     cut = threshold - 6 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    facing = _block_pairs(members.withColumn("blocks", F.ceil(F.col("n") / block)), "blocks")
+    # Powers of two, so that buckets of about the same texts are cut alike and tie them to the same ones.
+    facing = _block_pairs(members.withColumn("blocks", F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / block, F.lit(1.0))))).cast("long")), "blocks")
     edges = written(
         facing.select("node", "bucket", "i", "j", "block").join(nodes.select("node", "sketch"), "node")
         .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

@@ -82,5 +82,43 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(11)
+    for nodes, n in ((60, 30), (60, 70), (300, 260), (30, 300)):
+        edges = [(rng.randrange(nodes) - 20, rng.randrange(nodes) - 20) for _ in range(n)]
+        near = {}
+        for a, b in edges:
+            if a != b:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        want = {}
+        for a in near:
+            seen, todo = {a}, [a]
+            while todo:
+                for b in near[todo.pop()] - seen:
+                    seen.add(b)
+                    todo.append(b)
+            want[a] = min(seen)
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+        assert len(rows) == len(want) and {r.node: r.label for r in rows} == want
+
+
+def test_a_large_family_has_few_edges(spark, monkeypatch):
+    """Near copies are tied to a few of them, not each to many; the number of candidate edges is proportional to the texts."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(1500):
+        other = list(base)
+        other[rng.randrange(120)] = f"x{k}"
+        texts.append((k, " ".join(other)))
+    seen = []
+    real = ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda e, a, b: seen.append(e.where(f"{a} != {b}").select(a, b).distinct().count()) or real(e, a, b))
+    got = ngram_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), block=64).collect()
+    assert all(r.class_id == 0 for r in got) and {r.n_links for r in got} == {1499}
+    assert all(n <= 4 * len(texts) for n in seen), seen
+
+
 def test_words_of_fixture_are_not_trivial():
     assert sum(len(words(t)) > 0 for _, t in documents()) > 40
