@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import connected_components
@@ -246,6 +246,16 @@ def _verify(threshold: float):
     return run
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """(a, b) with the same components: of each text's edges the one to its first text stays, and those texts are linked in a row.
+
+    The first texts of blocks are few and the same for many texts, so their links are too. A text has at most an edge a band and
+    block, and its edges pass one by one.
+    """
+    before = F.lag("b").over(Window.partitionBy("a").orderBy("b"))
+    return edges.select(F.coalesce(before, F.col("a")).alias("a"), "b").distinct()
+
+
 def _block_pairs(df: DataFrame, blocks: str) -> DataFrame:
     """One copy of each row for every block that its own block is compared with, its own included."""
     return (
@@ -294,7 +304,7 @@ def _classed(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, re
         .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         .mapInArrow(_similar_sketches(cut), "a long, b long").distinct()
     )
-    family = connected_components(edges, "a", "b")
+    family = connected_components(_thinned(edges), "a", "b")
     extent = family.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     wanted = family.join(extent, "label").join(nodes.select("node", "rep", "copies"), "node")
     sets = (
