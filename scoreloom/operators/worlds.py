@@ -23,8 +23,6 @@ from scoreloom.session import cut_lineage
 NEG_INF = float("-inf")
 # Names expanded before the partial hands are spread over the cluster.
 SPREAD_AFTER = 3
-# Steps of the tracker fold between writes of its collected records.
-RECORD_EVERY = 16
 
 
 # ------------------------------------------------------------------ predicates
@@ -525,67 +523,3 @@ def continuity_violations(transitions: DataFrame, starts: DataFrame) -> DataFram
     ]
     text = F.concat_ws("/", F.col("game").cast("string"), F.col("viewer").cast("string"), F.col("sequence").cast("string"))
     return t.select(F.explode(F.array_compact(F.array(*rules))).alias("rule"), text.alias("key"), F.lit("").alias("detail"))
-
-
-def track(
-    transitions: DataFrame, starts: DataFrame, pools: DataFrame, worlds: DataFrame, likelihoods: DataFrame, epsilon: float
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """B-15: fold every game's transitions: condition on opponent commitments, transport, record.
-
-    (records, final beliefs, violations). ``transitions``: game, viewer, sequence (0..), before/after
-    revision, before/after space, acting, commitment_kind (NULL without a commitment), exits,
-    returns, hidden_draws. ``likelihoods``: game, viewer, sequence, world_index, likelihood, legal,
-    matching. The fold goes by sequence number over all games together, each step a distributed
-    update and transport; a key that meets a violation stops there. Its length is the longest
-    game, not the number of games.
-    """
-    key = ["game", "viewer"]
-    bad = continuity_violations(transitions, starts)
-    broken = transitions.join(
-        bad.select("key").distinct(), F.concat_ws("/", F.col("game").cast("string"), F.col("viewer").cast("string"), F.col("sequence").cast("string")) == F.col("key"), "left_semi"
-    ).groupBy(*key).agg(F.min("sequence").alias("__stop"))
-    live = cut_lineage(
-        transitions.join(broken, key, "left").filter(F.col("__stop").isNull() | (F.col("sequence") < F.col("__stop"))).drop("__stop")
-    )
-    # A tracked state is its own space for the operators: the id carries the game and viewer.
-    sid = F.concat_ws("|", F.col("game").cast("string"), F.col("viewer").cast("string"))
-    base = prior(worlds.join(starts.select("space_id").distinct(), "space_id", "left_semi"))
-    state = starts.select(*key, F.col("space_id").alias("at")).join(base.withColumnRenamed("space_id", "at"), "at").select(
-        sid.alias("space_id"), F.col("at").alias("real_space"), "world_index", "hand", "hand_key", "log_p"
-    )
-    state = cut_lineage(state)
-    longest = live.agg(F.max("sequence").alias("n")).first()["n"]
-    records: DataFrame | None = None
-    violations = bad
-    for s in range(0 if longest is None else longest + 1):
-        # A key that met a violation has no state any more, and its later transitions are left out.
-        alive = state.select(F.col("space_id").alias("sid")).distinct()
-        step = live.filter(F.col("sequence") == s).withColumn("sid", sid).join(alive, "sid", "left_semi")
-        acting = state.join(step.select(F.col("sid").alias("space_id")), "space_id", "left_semi")
-        resting = state.join(step.select(F.col("sid").alias("space_id")), "space_id", "left_anti")
-        committed = step.filter(F.col("commitment_kind").isNotNull() & (F.col("acting") != F.col("viewer"))).select(F.col("sid").alias("space_id"))
-        lik = likelihoods.filter(F.col("sequence") == s).select(sid.alias("space_id"), "world_index", "likelihood", "legal", "matching")
-        told, v1 = update(acting.join(committed, "space_id", "left_semi"), lik, epsilon)
-        current = told.unionByName(acting.join(committed, "space_id", "left_anti"))
-        own_pools = step.select(F.col("sid").alias("space_id"), F.col("before_space").alias("real")).join(
-            pools.withColumnRenamed("space_id", "real"), "real").select("space_id", "pool", "hand_size")
-        facts = step.select(F.col("sid").alias("space_id"), F.col("sid").alias("next_space_id"), "exits", "returns", "hidden_draws")
-        target = step.select(F.col("sid").alias("space_id"), F.col("after_space").alias("real")).join(
-            worlds.withColumnRenamed("space_id", "real"), "real").select("space_id", "world_index", "hand", "hand_key")
-        moved, v2 = transport(current.select("space_id", "world_index", "hand", "hand_key", "log_p"), own_pools, facts, target)
-        after = step.select(F.col("sid").alias("space_id"), F.col("after_space").alias("real_space"))
-        moved = cut_lineage(moved.join(after, "space_id").select(*state.columns))
-        stats = belief_stats(moved)
-        rec = step.select(
-            *key, "sequence", "before_space", "after_space", F.size("exits").alias("known_exits"), F.size("returns").alias("known_returns"),
-            "hidden_draws", (F.col("commitment_kind").isNotNull() & (F.col("acting") != F.col("viewer"))).alias("action_update"), F.col("sid").alias("space_id"),
-        ).join(stats, "space_id").drop("space_id")
-        records = rec if records is None else records.unionByName(rec)
-        violations = violations.unionByName(v1).unionByName(v2)
-        if s % RECORD_EVERY == RECORD_EVERY - 1:
-            # Long games: keep the plan of the collected rows short.
-            records, violations = cut_lineage(records), cut_lineage(violations)
-        state = cut_lineage(resting.unionByName(moved))
-    if records is None:
-        records = live.select(*key, "sequence")
-    return records, state, violations

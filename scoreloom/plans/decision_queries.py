@@ -391,19 +391,22 @@ def v13(t):
 # ------------------------------------------------------------------ Z and U
 
 
-def _run_to_end(stream, mode="append"):
+def _run_to_end(stream):
     """Run a stream over all available input into a table of files and read it back."""
     spark = stream.sparkSession
     path = scratch_folder(spark, "stream-out")
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch_folder(spark, "stream-state"))
-    if mode == "append":
-        q = writer.format("parquet").option("path", path).start()
-    else:
-        q = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
-    q.awaitTermination()
+    writer = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", scratch_folder(spark, "stream-state"))
+    writer.format("parquet").option("path", path).start().awaitTermination()
     return spark.read.parquet(path)
 
 
+def _kept(t, stream, keys):
+    """Run a stream in update mode into a keyed table and read it back."""
+    table = Z.KeyedTable(scratch_folder(t.spark, "keyed"), tuple(keys), buckets=16)
+    table.start(stream, scratch_folder(t.spark, "stream-state"), availableNow=True).awaitTermination()
+    return table.read(t.spark)
+
+
 def _file_stream(t, name):
     return t.spark.readStream.schema(t.base(name).schema).parquet(t.sf_dir, pathGlobFilter=f"{name}.parquet")
 
@@ -414,15 +417,15 @@ def _file_stream(t, name):
 )
 def z03(t):
     s = _file_stream(t, "events").select(F.col("user_id").alias("run"), (F.col("event_type") == "error").alias("errors"), (F.col("value") > 100).alias("large"), "ts")
-    return _run_to_end(Z.running_health(s, ["errors", "large"], ["run"]), "complete")
+    return _kept(t, Z.running_health(s, ["errors", "large"], ["run"]), ["run"])
 
 
 @query("Z03_running_metrics")
 def z03_metrics(t):
-    """The decision log as a stream of files, in complete mode."""
+    """The decision log as a stream of files; each batch merges the evaluations that changed."""
     path = scratch_folder(t.spark, "decision-log")
     t.v_log.write.parquet(path)
-    out = _run_to_end(Z.running_metrics(t.spark.readStream.schema(t.v_log.schema).parquet(path)), "complete")
+    out = _kept(t, Z.running_metrics(t.spark.readStream.schema(t.v_log.schema).parquet(path)), ["evaluation_id"])
     return rounded(out)
 
 
@@ -456,11 +459,12 @@ def z01(t):
     from scoreloom.functions import ordered as O
 
     seq = O.row_numbers(t.v_events, ["user_id"], "event_id", "rn").withColumn("sequence", F.col("rn") - 1)
-    link = lambda tgt, src, f: F.struct(F.lit(tgt).cast("bigint").alias("target"), F.lit(src).cast("bigint").alias("source"), F.lit(f).alias("factor"))
+    worlds = F.array(F.lit(0), F.lit(1)).cast("array<bigint>")
     rows = seq.select(
         F.col("user_id").cast("string").alias("game"), F.lit(0).alias("viewer"), "sequence",
         F.when((F.col("sequence") > 0) & (F.col("k") == 13), F.col("sequence") + 10).otherwise(F.col("sequence")).alias("before_revision"), (F.col("sequence") + 1).alias("after_revision"),
-        (F.col("sequence") == 0).alias("reset"), F.array(link(0, 0, 0.5), link(1, 1, 0.25)).alias("links"),
+        (F.col("sequence") == 0).alias("reset"), worlds.alias("sources"), worlds.alias("targets"), F.array(F.lit(0.5), F.lit(0.25)).alias("factors"),
+        F.lit(None).cast("array<bigint>").alias("evidence_worlds"), F.lit(None).cast("array<double>").alias("evidence"),
     )
     path = scratch_folder(t.spark, "transitions")
     rows.write.parquet(path)

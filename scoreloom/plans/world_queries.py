@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
+from scoreloom.operators import tracking as T
 from scoreloom.operators import worlds as B
 from scoreloom.plans.registry import query
 from scoreloom.plans.sqltext import ct, r6
@@ -253,6 +254,22 @@ def b09(t):
     return rounded(out.select("space_id", "hand_key", F.exp("log_p").alias("p")))
 
 
+@query(
+    "B09_transition_links",
+    f"""WITH {W}, {_worlds_cte(5, 'w5')} SELECT ww.space_id, ww.world_index AS source, w5.world_index AS target,
+    {r6(" * ".join(f"CASE w5.k{i}-ww.k{i} WHEN 0 THEN 1 WHEN 1 THEN ww.n{i}-ww.k{i} ELSE (ww.n{i}-ww.k{i})*(ww.n{i}-ww.k{i}-1)/2 END" for i in IDX) + " / ((ww.pool_size-3)*(ww.pool_size-4)/2)")} AS factor
+    FROM ww JOIN w5 ON w5.space_id=ww.space_id AND {" AND ".join(f"w5.k{i}>=ww.k{i}" for i in IDX)}""",
+)
+def b09_links(t):
+    """Two hidden draws from every world of every space."""
+    pl = pools(t)
+    after = pools(t, 5).withColumn("space_id", -1 - F.col("space_id"))
+    none = F.array().cast("array<string>")
+    facts = T.with_move_id(pl.select(F.col("space_id").alias("before_space"), (-1 - F.col("space_id")).alias("after_space"), none.alias("exits"), none.alias("returns"), F.lit(2).alias("hidden_draws")))
+    links = T.transition_links(T.moves(facts), pl, worlds(pl.unionByName(after)))
+    return rounded(links.join(facts.select("move_id", F.col("before_space").alias("space_id")), "move_id").select("space_id", "source", "target", "factor"))
+
+
 @query(
     "B10_belief_stats",
     f"""WITH {L} SELECT space_id, COUNT(*) AS support_size, {ct('pu>0')} AS positive_support, 0.0 AS normalisation_error, {r6('1/SUM(pu*pu)')} AS effective_size, {r6('MAX(pu)')} AS top_mass FROM up GROUP BY 1""",
@@ -336,7 +353,7 @@ def _tracking(t, spoil=lambda rows: rows):
                        sid.alias("before_space"), (-1 - sid).alias("after_space"), F.lit(1).alias("acting"), F.lit(None).cast("string").alias("commitment_kind"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
     starts = pl.select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(10).alias("revision"), sid.alias("space_id"))
     lik = likelihoods(w.filter("space_id >= 0")).select(sid.alias("game"), F.lit(0).alias("viewer"), F.lit(0).cast("bigint").alias("sequence"), "world_index", "likelihood", "legal", "matching")
-    return B.track(first.unionByName(second), starts, spaces, w, spoil(lik), 0.1)
+    return T.track(first.unionByName(second), starts, spaces, w, spoil(lik), 0.1)
 
 
 @query(

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.operators import tracking as T
 from scoreloom.operators import worlds as B
 
 POOL = {"a": 3, "b": 4, "c": 2}
@@ -128,7 +129,7 @@ def test_tracker_stops_at_a_revision_gap(spark):
          ("h", 0, 0, 1, 2, "s", "s", 1, None, [], [], 0), ("h", 0, 1, 7, 8, "s", "t", 1, None, [], [], 1)], cols)
     starts = spark.createDataFrame([("g", 0, 1, "s"), ("h", 0, 1, "s")], "game string, viewer int, revision bigint, space_id string")
     none = spark.createDataFrame([], "game string, viewer int, sequence bigint, world_index bigint, likelihood double, legal int, matching int")
-    records, state, bad = B.track(tr, starts, spaces, w, none, 0.0)
+    records, state, bad = T.track(tr, starts, spaces, w, none, 0.0)
     assert {(r.game, r.sequence) for r in records.collect()} == {("g", 0), ("g", 1), ("h", 0)}
     assert [r.rule for r in bad.collect()] == ["revision_gap"]
     final = {r.real_space for r in state.collect()}
