@@ -13,7 +13,7 @@ from scoreloom.functions import exprs as E
 from scoreloom.functions import ordered as O
 from scoreloom.functions.canonical import canonical_sha256
 from scoreloom.functions.joins import attach_row
-from scoreloom.operators.ratings import expected_pairs
+from scoreloom.operators.ratings import missing_pairs
 from scoreloom.operators.sequences import violation
 
 
@@ -180,21 +180,22 @@ def join_support(rows: DataFrame, target: DataFrame, keys: Sequence[str] = ("spa
 def schedule_gaps(matches: DataFrame, players: DataFrame, blocks: int, legs: int = 2) -> DataFrame:
     """J-10: missing, unexpected and duplicate (pair, block, leg) rows against the complete schedule.
 
-    The schedule itself is the contract; it is generated by exploding sequences, spread
-    over the cluster by the join key.
+    The schedule isn't listed: a player's partners of a block and leg are counted, and only those of an incomplete count are looked through.
     """
-    want = expected_pairs(players).select(
-        F.concat_ws("__", "a", "b").alias("cell_id"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("deal_block")
-    ).select("cell_id", F.col("deal_block").cast("bigint").alias("deal_block"), F.explode(F.sequence(F.lit(0), F.lit(legs - 1))).alias("leg"))
-    cell = ["cell_id", "deal_block", "leg"]
+    cell, slot = ["cell_id", "deal_block", "leg"], ["deal_block", "leg"]
+    roster = players.select("player").distinct().filter("player IS NOT NULL")
+    spine = roster.select("player", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("deal_block")).select(
+        "player", "deal_block", F.explode(F.sequence(F.lit(0), F.lit(legs - 1))).alias("leg"))
     have = matches.select(
-        F.concat_ws("__", F.least("player_a", "player_b"), F.greatest("player_a", "player_b")).alias("cell_id"),
-        F.col("deal_block").cast("bigint").alias("deal_block"), F.col("leg").cast("int").alias("leg"),
-    ).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    j = want.withColumn("__w", F.lit(True)).join(have, cell, "full_outer")
-    rule = F.when(F.col("n").isNull(), "missing").when(F.col("__w").isNull(), "unexpected").when(F.col("n") > 1, "duplicate")
-    return j.withColumn("rule", rule).filter("rule IS NOT NULL").select(
-        "rule", _text(cell).alias("key"), F.coalesce("n", F.lit(0)).cast("string").alias("detail")
+        F.least("player_a", "player_b").alias("a"), F.greatest("player_a", "player_b").alias("b"), F.col("deal_block").cast("bigint").alias("deal_block"), F.col("leg").cast("int").alias("leg"),
+    ).groupBy("a", "b", *slot).agg(F.count(F.lit(1)).alias("n"))
+    known = lambda c: roster.select(F.col("player").alias(c), F.lit(True).alias(f"__{c}"))
+    due = F.col("__a").isNotNull() & F.col("__b").isNotNull() & (F.col("a") < F.col("b")) & F.col("deal_block").between(0, blocks - 1) & F.col("leg").between(0, legs - 1)
+    rule = F.when(~F.coalesce(due, F.lit(False)), "unexpected").when(F.col("n") > 1, "duplicate")
+    odd = have.join(known("a"), "a", "left").join(known("b"), "b", "left").withColumn("rule", rule).filter("rule IS NOT NULL")
+    lost = missing_pairs(spine, have.select("a", "b", *slot), slot).withColumns({"rule": F.lit("missing"), "n": F.lit(0).cast("bigint")})
+    return odd.select("rule", "a", "b", *slot, "n").unionByName(lost.select("rule", "a", "b", *slot, "n")).withColumn("cell_id", F.concat_ws("__", "a", "b")).select(
+        "rule", _text(cell).alias("key"), F.col("n").cast("string").alias("detail")
     )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
@@ -683,15 +683,40 @@ def expected_pairs(players: DataFrame, player: str = "player", blocks: int = 16)
     return first.join(second, ["__x", "__y"]).filter("a < b").select("a", "b")
 
 
+def missing_pairs(spine: DataFrame, seen: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b): the pairs a < b of a roster that ``seen`` (keys, a, b) lacks, without listing the roster's square.
+
+    ``spine``: the roster (player) for each value of ``keys``. Players are numbered in order. One whose number of later
+    partners is full costs a count; of the others, partners pass in order, and only the numbers between two of them are listed.
+    """
+    keys = list(keys)
+    placed = spine.select("player").distinct().filter("player IS NOT NULL").repartitionByRange("player").sortWithinPartitions("player")
+    placed = cut_lineage(placed.withColumn("__pos", F.monotonically_increasing_id()))
+    roster = cut_lineage(O.row_numbers(placed, [], "__pos", "__i").select("player", "__i"))
+    names = lambda name, number: roster.select(F.col("player").alias(name), F.col("__i").alias(number))
+    inside = seen.select(*keys, "a", "b").distinct().join(names("a", "__x"), "a").join(names("b", "__y"), "b").filter("__x < __y").select(*keys, "__x", "__y")
+    held = inside.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    size = roster.agg(F.count(F.lit(1)).alias("__size"))
+    every = attach_row(spine.select(*keys, F.col("player")).distinct().join(names("player", "__x"), "player").drop("player"), size)
+    short = every.join(held, [*keys, "__x"], "left").filter(F.coalesce("__n", F.lit(0)) < F.col("__size") - F.col("__x"))
+    ends = short.select(*keys, "__x", (F.col("__size") + 1).alias("__y"))
+    partners = inside.join(short.select(*keys, "__x"), [*keys, "__x"], "left_semi").unionByName(ends)
+    before = F.coalesce(F.lag("__y").over(Window.partitionBy(*keys, "__x").orderBy("__y")), F.col("__x"))
+    gaps = partners.withColumn("__before", before).filter("__y > __before + 1")
+    return gaps.select(*keys, "__x", F.explode(F.sequence(F.col("__before") + 1, F.col("__y") - 1)).alias("__y")).join(
+        names("a", "__x"), "__x").join(names("b", "__y"), "__y").select(*keys, "a", "b")
+
+
 def connectivity(players: DataFrame, edges: DataFrame, anchor: str) -> tuple[DataFrame, DataFrame]:
     """R-16: (one summary row, violations for missing and unexpected edges).
 
     ``players``: column player. ``edges``: columns a < b (observed pairs, any multiplicity).
     """
     seen = edges.select("a", "b").distinct()
-    want = expected_pairs(players)
-    missing = want.join(seen, ["a", "b"], "left_anti").withColumn("rule", F.lit("missing_edge"))
-    extra = seen.join(want, ["a", "b"], "left_anti").withColumn("rule", F.lit("unexpected_edge"))
+    missing = missing_pairs(players, seen).withColumn("rule", F.lit("missing_edge"))
+    roster = lambda c: players.select(F.col("player").alias(c), F.lit(True).alias(f"__{c}")).distinct()
+    extra = seen.join(roster("a"), "a", "left").join(roster("b"), "b", "left").filter("__a IS NULL OR __b IS NULL OR NOT a < b").select(
+        "a", "b").withColumn("rule", F.lit("unexpected_edge"))
     gaps = missing.unionByName(extra).select(
         "rule", F.concat_ws("__", "a", "b").alias("key"), F.lit("").alias("detail")
     )
@@ -730,13 +755,16 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def uncertainty(bootstrap: DataFrame, players: DataFrame, replicates: int) -> tuple[DataFrame, DataFrame]:
     """R-17: (intervals, violations): each player and each pairwise difference present, no failure."""
     want_r = players.select(F.lit("rating").alias("kind"), F.col("player").alias("name"))
-    pairs = expected_pairs(players).select(
+    # A difference is named by its two players; a name that doesn't fall apart into them matches none.
+    named = bootstrap.filter("kind = 'difference'").select(
+        F.substring_index("name", "__minus__", 1).alias("a"), F.substring_index("name", "__minus__", -1).alias("b"), "name")
+    pairs = missing_pairs(players, named.filter(F.concat_ws("__minus__", "a", "b") == F.col("name"))).select(
         F.lit("difference").alias("kind"), F.concat_ws("__minus__", "a", "b").alias("name")
     )
-    want = want_r.unionByName(pairs).unionByName(
+    want = want_r.unionByName(
         players.limit(1).select(F.lit("seat").alias("kind"), F.lit("seat0_elo").alias("name"))
     )
-    missing = want.join(bootstrap.select("kind", "name"), ["kind", "name"], "left_anti").select(
+    missing = want.join(bootstrap.select("kind", "name"), ["kind", "name"], "left_anti").unionByName(pairs).select(
         F.lit("missing_interval").alias("rule"), F.concat_ws("/", "kind", "name").alias("key"), F.lit("").alias("detail")
     )
     failed = bootstrap.filter((F.col("kind") == "failure") | (F.col("fits") != replicates)).select(

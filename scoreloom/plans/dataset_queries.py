@@ -510,13 +510,28 @@ def s12(t):
     return S.file_receipts(t.spark, t.sf_dir, "*.parquet")
 
 
-@query("S12_receipts_of_written_files", "SELECT n_nationkey AS nation, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation")
+@query(
+    "S12_receipts_of_written_files",
+    """SELECT doc_id // 50 AS part, SUM(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id, text)) AS sha256
+    FROM documents GROUP BY 1""",
+)
 def s12_written(t):
-    """One text file per nation, written by Spark and read back by its bytes."""
+    """The documents as text files of fifty, written by Spark and read back by their bytes, a few at a time."""
     root = S.scratch_folder(t.spark, "receipts")
-    t.nation.select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(root)
-    found = S.file_receipts(t.spark, root, "part-*")
-    return found.select(F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("bigint").alias("nation"), "bytes", "sha256")
+    lines = t.documents.select(F.coalesce("text", F.lit("")).alias("value"), F.expr("doc_id div 50").alias("part"), "doc_id", "text")
+    lines.repartition("part").sortWithinPartitions("part", "doc_id", "text").select("value", "part").write.partitionBy("part").text(root)
+    found = S.file_receipts(t.spark, root, "part-*", chunk=1 << 16)
+    return found.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part"), "bytes", "sha256")
+
+
+@query("S08_repeated_append", f"SELECT user_id AS run_id, event_id AS id, {r6('value')} AS win_rate FROM events")
+def s08_repeated(t):
+    """Every evaluation appended twice, half of them with another value: the first copy of each stays."""
+    root = S.scratch_folder(t.spark, "store")
+    ev = t.v_events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("id"), F.col("value").alias("win_rate"))
+    S.append_table(ev, root, "evaluations")
+    S.append_table(ev.withColumn("win_rate", F.when(F.col("id") % 2 == 0, F.col("win_rate") + 1).otherwise(F.col("win_rate"))), root, "evaluations")
+    return rounded(S.read_store(t.spark, root, "evaluations").select("run_id", "id", "win_rate"))
 
 
 _EVR = """er AS (SELECT user_id AS run_id, event_id AS id, k AS step, CASE event_type WHEN 'click' THEN 'baseline' WHEN 'view' THEN 'final' ELSE 'checkpoint' END AS kind, value/1000 AS win_rate, k/128.0E0 AS cast_when_able FROM v_events)"""

@@ -376,19 +376,20 @@ def r17(t):
     return R.uncertainty(boot, t.region.select(F.col("r_name").alias("player")), 50)[1]
 
 
-_DECLARED = """iv AS (SELECT 'rating' AS kind, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 49 ELSE 50 END AS fits FROM nation WHERE n_regionkey <> 3
-    UNION ALL SELECT 'difference', a.n_name || '__minus__' || b.n_name, 50 FROM nation a JOIN nation b ON a.n_name < b.n_name WHERE a.n_regionkey <> b.n_regionkey
+_DECLARED = """p AS (SELECT s_suppkey, s_name AS name, s_nationkey FROM supplier),
+    iv AS (SELECT 'rating' AS kind, name, CASE WHEN s_suppkey % 5 = 0 THEN 49 ELSE 50 END AS fits FROM p WHERE s_nationkey <> 3
+    UNION ALL SELECT 'difference', a.name || '__minus__' || b.name, 50 FROM p a JOIN p b ON a.name < b.name WHERE (a.s_suppkey + b.s_suppkey) % 7 <> 0
     UNION ALL SELECT 'failure', '', 2 FROM region WHERE r_regionkey = 0)"""
 
 
 @query(
     "R17_declared_intervals",
-    f"""WITH {_DECLARED}, want AS (SELECT 'rating' AS kind, n_name AS name FROM nation UNION ALL SELECT 'seat', 'seat0_elo'
-      UNION ALL SELECT 'difference', a.n_name || '__minus__' || b.n_name FROM nation a JOIN nation b ON a.n_name < b.n_name)
+    f"""WITH {_DECLARED}, want AS (SELECT 'rating' AS kind, name FROM p UNION ALL SELECT 'seat', 'seat0_elo'
+      UNION ALL SELECT 'difference', a.name || '__minus__' || b.name FROM p a JOIN p b ON a.name < b.name)
     SELECT 'missing_interval' AS rule, kind || '/' || name AS key, '' AS detail FROM want ANTI JOIN iv USING (kind, name)
     UNION ALL SELECT 'failed_replicates', kind || '/' || name, CAST(fits AS VARCHAR) FROM iv WHERE kind = 'failure' OR fits <> 50""",
 )
 def r17_declared(t):
-    """Intervals with gaps: a region without ratings, no differences inside a region, no seat effect, short and failed replicates."""
+    """Intervals of all suppliers with gaps: a nation without ratings, some differences, no seat effect, short and failed replicates."""
     intervals = t.sql(f"WITH {_DECLARED} SELECT * FROM iv")
-    return R.uncertainty(intervals, t.nation.select(F.col("n_name").alias("player")), 50)[1]
+    return R.uncertainty(intervals, t.supplier.select(F.col("s_name").alias("player")), 50)[1]

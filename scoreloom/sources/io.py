@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions.canonical import canonical_json
 from scoreloom.operators.sequences import run_phases, violation
+from scoreloom.session import cut_lineage
 
 LATENCY = "map<string,struct<count:bigint,seconds:double,p50:double,p95:double>>"
 MATCH_SCHEMA = (
@@ -199,17 +204,38 @@ def load_conditional(spark: SparkSession, paths: Sequence[str], provenance: Data
     return load_shards(spark, paths, provenance=provenance), conditional_violations(provenance, schema_digest)
 
 
-def file_receipts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def _digests(chunk: int):
+    """SHA-256 of the files of a listing, read ``chunk`` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column("path").to_pylist():
+                scheme, _, rest = path.partition(":")
+                store, name = (fs.LocalFileSystem(), rest) if scheme == "file" else fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, buffer_size=0) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], ["path", "length", "sha256"])
+
+    return run
+
+
+def file_receipts(spark: SparkSession, root: str, pattern: str = "*", chunk: int = 1 << 22) -> DataFrame:
     """S-12: relative path, bytes and SHA-256 of every file under ``root``.
 
-    Files are hashed in parallel, one at a time per task; a single file must fit in a task's memory.
+    Spark lists the files (their contents are not part of its rows); tasks read them ``chunk`` bytes at a time, so a file
+    may have any size. Files are read by Arrow's file systems (local, HDFS, object stores).
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
     )
     base = "/" + root.rstrip("/").split(":")[-1].lstrip("/") + "/"
-    return files.select(
-        F.substring_index("path", base, -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    spread = files.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    return spread.mapInArrow(_digests(chunk), "path string, length long, sha256 string").select(
+        F.substring_index("path", base, -1).alias("path"), F.col("length").alias("bytes"), "sha256"
     )
 
 
@@ -223,31 +249,64 @@ def null_non_finite(df: DataFrame) -> DataFrame:
     )
 
 
-def append_table(df: DataFrame, root: str, table: str) -> None:
-    """Append rows to one table of the store, partitioned by run so that lookups prune files."""
-    null_non_finite(df).write.mode("append").partitionBy("run_id").parquet(f"{root}/{table}")
+# Fixed: what identifies a row of each table of the store.
+STORE_KEYS = {
+    "runs": ("run_id",), "run_configs": ("run_id",), "evaluations": ("run_id", "id"), "evaluation_choice_sets": ("run_id", "evaluation_id", "scope", "choice_set"),
+    "evaluation_actions": ("run_id", "id"), "reports": ("run_id", "id"), "run_status": ("run_id", "seq"),
+}
+
+
+def append_table(df: DataFrame, root: str, table: str) -> DataFrame:
+    """Add rows to one table of the store, partitioned by run, by their keys; returns the key clashes (rule, key, detail).
+
+    Only the partitions of the runs that are added to are read and, by dynamic partition overwrite, written. A row that is there already changes nothing, so
+    a repeated append leaves one copy. A row whose key is there with other values clashes: the stored one stays.
+    """
+    spark, keys = df.sparkSession, list(STORE_KEYS[table])
+    path = f"{root}/{table}"
+    fresh = cut_lineage(null_non_finite(df).withColumn("__new", F.lit(True)))
+    rows = fresh
+    if _has_files(spark, path):
+        held = spark.read.parquet(path).withColumn("__new", F.lit(False))
+        rows = held.join(fresh.select("run_id").distinct(), "run_id", "left_semi").unionByName(fresh, allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in (*keys, "__new")]
+    text = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")
+    merged = cut_lineage(
+        rows.withColumn("__text", text).groupBy(*keys).agg(F.min(F.struct("__new", "__text", *rest)).alias("__r"), F.min("__text").alias("__lo"), F.max("__text").alias("__hi"))
+    )
+    merged.select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest)).repartition("run_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return merged.filter("__lo <> __hi").select(
+        F.lit("key_clash").alias("rule"), F.concat_ws("/", F.lit(table), *[F.col(k).cast("string") for k in keys]).alias("key"), F.lit("").alias("detail"))
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
-def append_run(runs: DataFrame, configs: DataFrame, root: str) -> None:
-    """S-08: new runs (ids chosen by the caller) with their six configuration documents."""
-    append_table(runs, root, "runs")
-    append_table(configs, root, "run_configs")
+def append_run(runs: DataFrame, configs: DataFrame, root: str) -> DataFrame:
+    """S-08: new runs (ids chosen by the caller) with their six configuration documents; the key clashes."""
+    return append_table(runs, root, "runs").unionByName(append_table(configs, root, "run_configs"))
 
 
-def append_evaluation(evaluations: DataFrame, choice_sets: DataFrame, actions: DataFrame | None, root: str) -> None:
-    """S-08: evaluations, their choice-set counts and, if kept, their actions. All carry run_id."""
-    append_table(evaluations, root, "evaluations")
-    append_table(choice_sets, root, "evaluation_choice_sets")
-    if actions is not None:
-        append_table(actions, root, "evaluation_actions")
+def append_evaluation(evaluations: DataFrame, choice_sets: DataFrame, actions: DataFrame | None, root: str) -> DataFrame:
+    """S-08: evaluations, their choice-set counts and, if kept, their actions; the key clashes. All carry run_id."""
+    clashes = append_table(evaluations, root, "evaluations").unionByName(append_table(choice_sets, root, "evaluation_choice_sets"))
+    return clashes if actions is None else clashes.unionByName(append_table(actions, root, "evaluation_actions"))
 
 
-def append_report(reports: DataFrame, root: str) -> None:
-    append_table(reports, root, "reports")
+def append_report(reports: DataFrame, root: str) -> DataFrame:
+    return append_table(reports, root, "reports")
 
 
-def append_status(events: DataFrame, root: str) -> None:
-    append_table(events, root, "run_status")
+def append_status(events: DataFrame, root: str) -> DataFrame:
+    return append_table(events, root, "run_status")
 
 
 def read_store(spark: SparkSession, root: str, table: str) -> DataFrame:
