@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -249,14 +250,62 @@ def violations_probe_rows(rows: DataFrame, run: str, position: Sequence[str], co
     return check_rows(attach_row(g, n), text, {"identical_row": F.col("lo") == F.col("hi"), "in_every_run": F.col("rows") == F.col("__n")})
 
 
+def multiset_digest(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """(by, rows, digest) of the rows of a table, whatever their order or partitioning.
+
+    Rows become texts (columns by name, null as ``\\N``, doubles rounded to ``digits``), texts MD5 digests, and the four words of these are added up
+    modulo 2^64 each. Sums are partial aggregates, so two tables are compared whole without a join of their keys. Repeated rows
+    count as often as they occur. An empty table gives one row of zeros, or none with ``by``.
+    """
+    kinds = dict(df.dtypes)
+    shown = lambda c: (F.round(c, digits) + F.lit(0.0)) if kinds[c] in ("double", "float") else F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c)
+    named = sorted(c for c in columns or df.columns if c not in by)
+    text = F.concat_ws(chr(31), *[F.coalesce(shown(c).cast("string"), F.lit("\\N")) for c in named])
+    d = df.select(*by, F.md5(text.cast("binary")).alias("__h"))
+    words = [F.sum(F.conv(F.substring("__h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(4)]
+    wrapped = lambda c: F.lpad(F.lower(F.conv(F.pmod(F.coalesce(c, F.lit(0)), F.expr("18446744073709551616BD")).cast("decimal(20,0)").cast("string"), 10, 16)), 16, "0")
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *[w.alias(f"__w{k}") for k, w in enumerate(words)])
+    return g.select(*by, "rows", F.concat(*[wrapped(F.col(f"__w{k}")) for k in range(4)]).alias("digest"))
+
+
+def violations_artifacts(artifacts: Mapping[str, tuple[DataFrame, DataFrame]], digits: int = 9) -> DataFrame:
+    """V-13: stored artifacts against their recomputation, each compared whole by its multiset digest.
+
+    ``artifacts``: name -> (stored, recomputed). Only the columns of the recomputed table count; one that is not stored is a violation too.
+    """
+    found = []
+    for name, (stored, again) in sorted(artifacts.items()):
+        lacking = sorted(set(again.columns) - set(stored.columns))
+        if lacking:
+            found.append(again.limit(1).select(*violation("artifact_columns", F.lit(name), F.lit(",".join(lacking)))).distinct())
+            continue
+        typed = stored.select(*[F.col(c).cast(t).alias(c) for c, t in again.dtypes])
+        both = attach_row(multiset_digest(typed, digits=digits), multiset_digest(again, digits=digits).withColumnsRenamed({"rows": "__rows", "digest": "__digest"}))
+        counts = F.concat_ws("/", F.col("rows").cast("string"), F.col("__rows").cast("string"))
+        found.append(both.filter("digest <> __digest OR rows <> __rows").select(*violation("artifact_mismatch", F.lit(name), counts)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def violations_digests(kind: str, declared: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """V-13: declared digests (key, digest) against actual ones: missing, undeclared and different."""
+    j = declared.select(F.col(key).cast("string").alias("__k"), F.col("digest").alias("__d")).join(
+        actual.select(F.col(key).cast("string").alias("__a"), F.col("digest").alias("__e")), F.col("__k").eqNullSafe(F.col("__a")), "full_outer")
+    rule = F.when(F.col("__e").isNull(), "missing").when(F.col("__d").isNull(), "undeclared").when(F.col("__d") != F.col("__e"), "digest")
+    return j.withColumn("__rule", rule).filter("__rule IS NOT NULL").select(
+        F.concat(F.lit(f"{kind}_"), "__rule").alias("rule"), F.coalesce("__k", "__a").alias("key"), F.lit("").alias("detail"))
+
+
 def violations_bundle(
     matches: DataFrame, registrations: DataFrame, traces: DataFrame, players: DataFrame, blocks: int, deal_seed_of_block: DataFrame,
-    stored_payoff: DataFrame | None = None,
+    stored_payoff: DataFrame | None = None, artifacts: Mapping[str, tuple[DataFrame, DataFrame]] | None = None,
+    digests: Mapping[str, tuple[DataFrame, DataFrame, str]] | None = None,
 ) -> DataFrame:
     """V-13: an evidence bundle: unique trace digests, complete schedule, block to seed mapping, bindings of
-    rows to traces and registrations, and stored payoff cells equal to recomputation.
+    rows to traces and registrations, stored payoff cells equal to recomputation, and whole artifacts and declared digests.
 
-    ``traces``: game_trace_sha256, match_id; ``registrations``: player_id; ``deal_seed_of_block``: deal_block, deal_seed.
+    ``traces``: game_trace_sha256, match_id; ``registrations``: player_id; ``deal_seed_of_block``: deal_block, deal_seed. ``artifacts``: name -> (stored,
+    recomputed), such as rating, payoff, competency, cost, root and decision tables; ``digests``: kind -> (declared, actual, key column) of registrations, trace
+    shards (``multiset_digest`` by shard) or the seed set.
     """
     from scoreloom.operators.comparisons import schedule_gaps
     from scoreloom.operators.ratings import payoff_matrix
@@ -280,4 +329,8 @@ def violations_bundle(
         cols = ["games", "score_a", "wins_a", "draws", "wins_b", "sweeps_a", "splits", "sweeps_b", "draw_or_mixed"]
         again = violations_rederived(stored_payoff, payoff_matrix(matches), ["cell_id"], cols, 1e-9)
         out = out.unionByName(again.withColumn("rule", F.concat(F.lit("payoff_"), "rule")))
+    if artifacts:
+        out = out.unionByName(violations_artifacts(artifacts))
+    for kind, (declared, actual, key) in sorted((digests or {}).items()):
+        out = out.unionByName(violations_digests(kind, declared, actual, key))
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
+from scoreloom.functions.joins import attach_row
 from scoreloom.functions.scoring import score_batches
 from scoreloom.operators import decisions as G
 from scoreloom.operators import validation as V
@@ -388,6 +389,33 @@ def v13(t):
     return _bundle(t)
 
 
+_WORD = lambda k: f"lpad(lower(to_hex((SUM(('0x' || substr(h, {1 + 8 * k}, 8))::HUGEINT) % 18446744073709551616)::UBIGINT)), 16, '0')"
+
+
+@query(
+    "V13_table_digests",
+    f"""SELECT shard, COUNT(*) AS rows, {" || ".join(_WORD(k) for k in range(4))} AS digest FROM (
+      SELECT o_orderkey % 16 AS shard, md5(concat_ws(chr(31), coalesce(o_custkey::VARCHAR, '\\N'), coalesce(o_orderkey::VARCHAR, '\\N'), coalesce(o_orderpriority, '\\N'))) AS h FROM orders) GROUP BY 1""",
+)
+def v13_digests(t):
+    """The orders as sixteen shards, each with the digest of its rows."""
+    d = t.orders.select((F.col("o_orderkey") % 16).alias("shard"), "o_orderkey", "o_custkey", "o_orderpriority")
+    return V.multiset_digest(d, by=["shard"])
+
+
+@query(
+    "V13_artifacts",
+    "SELECT 'artifact_mismatch' AS rule, 'payoff' AS key, COUNT(*)::VARCHAR || '/' || COUNT(*)::VARCHAR AS detail FROM (SELECT DISTINCT least(player_a,player_b), greatest(player_a,player_b) FROM v_matches WHERE NOT truncated AND termination_reason<>'truncated')",
+)
+def v13_artifacts(t):
+    """Payoff cells with one changed, and untouched costs, as stored artifacts."""
+    payoff = payoff_matrix(t.v_matches)
+    first = payoff.agg(F.min("cell_id").alias("c"))
+    changed = attach_row(payoff, first).withColumn("draws", F.when(F.col("cell_id") == F.col("c"), F.col("draws") + 1).otherwise(F.col("draws"))).drop("c")
+    cost = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    return V.violations_artifacts({"payoff": (changed, payoff), "cost": (cost.repartition(7), cost)})
+
+
 # ------------------------------------------------------------------ Z and U
 
 

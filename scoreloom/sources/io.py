@@ -227,7 +227,7 @@ def file_receipts(spark: SparkSession, root: str, pattern: str = "*", chunk: int
     """S-12: relative path, bytes and SHA-256 of every file under ``root``.
 
     Spark lists the files (their contents are not part of its rows); tasks read them ``chunk`` bytes at a time, so a file
-    may have any size. Files are read by Arrow's file systems (local, HDFS, object stores).
+    may have any size; Spark's listing leaves out empty ones. Files are read by Arrow's file systems (local, HDFS, object stores).
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
