@@ -342,8 +342,8 @@ def b14(t):
 
 def _tracking(t, spoil=lambda rows: rows):
     """Two transitions per game: an opponent commitment in the first space, then one hidden draw."""
-    pl = pools(t)
-    spaces = pl.unionByName(_next(t))
+    pl = cut_lineage(pools(t))
+    spaces = cut_lineage(pl.unionByName(pl.withColumns({"space_id": -1 - F.col("space_id"), "hand_size": F.lit(4)})))
     w = worlds(spaces)
     none = F.array().cast("array<string>")
     sid = F.col("space_id")
