@@ -342,21 +342,36 @@ def latency_summary(samples: DataFrame, by: Sequence[str], value: str) -> DataFr
     return join_back(s, q, by, "left")
 
 
+def _series(rows: DataFrame, by: str, value: str, prefix: str = "", unit: str = "_ms") -> DataFrame:
+    """Per level of ``by``: min, max, mean, median and 95th percentile of a series of durations."""
+    name = lambda part: f"{prefix}{part}{unit}"
+    plain = rows.groupBy(by).agg(F.min(value).alias(name("min")), F.max(value).alias(name("max")), F.avg(value).alias(name("mean")))
+    return join_back(plain, O.exact_quantiles(rows, [by], value, {name("p50"): 0.5, name("p95"): 0.95}), [by], "left")
+
+
+_SERIES = ("min", "max", "mean", "p50", "p95")
+
+
 def workload_summary(
-    games: DataFrame, commands: DataFrame, expected_counters: Sequence[str], by: str = "surface"
+    games: DataFrame, commands: DataFrame, expected_counters: Sequence[str], by: str = "surface", inner: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A-27: (rates and latency distribution per surface, counter sums, counter key violations)."""
+    """A-27: (rates and latency distribution per surface, counter sums, counter key violations).
+
+    ``inner``: durations of the commands inside a protocol command. A surface without any has no such layer, so
+    its inner series is that of its commands.
+    """
     head = games.groupBy(by).agg(
         F.count(F.lit(1)).alias("games"),
         F.sum("commands").alias("commands"),
         F.sum("game_seconds").alias("seconds"),
     )
-    lat = commands.groupBy(by).agg(
-        F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
-        F.avg("duration_ms").alias("mean_ms"),
-    )
-    q = O.exact_quantiles(commands, [by], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    out = join_back(join_back(head, lat, [by], "left"), q, [by], "left").withColumns(
+    out = join_back(head, _series(commands, by, "duration_ms"), [by], "left")
+    if inner is not None:
+        out = join_back(out, _series(inner, by, "duration_ms", "__inner_"), [by], "left")
+        out = out.withColumns(
+            {f"inner_{n}_ms": F.when(F.col("__inner_min_ms").isNull(), F.col(f"{n}_ms")).otherwise(F.col(f"__inner_{n}_ms")) for n in _SERIES}
+        ).drop(*[f"__inner_{n}_ms" for n in _SERIES])
+    out = out.withColumns(
         {
             "steps_per_second": E.rate("commands", "seconds"),
             "games_per_second": E.rate("games", "seconds"),
@@ -380,6 +395,72 @@ def workload_summary(
     return out, long, bad
 
 
+def workload_identity(games: DataFrame, expected: str | None = None, by: str = "surface") -> tuple[DataFrame, DataFrame]:
+    """A-27: (terminal and trace digest of every surface, violations).
+
+    Repetitions of a surface must end in one state by one trace, all surfaces in the same, and in ``expected`` where
+    that is given. A surface that disagrees with itself has no digest.
+    """
+    names = ("terminal_state_sha256", "logical_trace_sha256")
+    spread = games.groupBy(by).agg(
+        *[F.min(F.coalesce(n, F.lit(""))).alias(f"__low_{n}") for n in names], *[F.max(F.coalesce(n, F.lit(""))).alias(f"__high_{n}") for n in names],
+        F.count(F.lit(1)).alias("games"),
+    )
+    same = lambda n: F.col(f"__low_{n}") == F.col(f"__high_{n}")
+    out = spread.select(by, "games", *[F.when(same(n), F.nullif(F.col(f"__low_{n}"), F.lit(""))).alias(n) for n in names])
+    rule = lambda cond, rows, name, key, detail: rows.filter(cond).select(F.lit(name).alias("rule"), key.alias("key"), detail.alias("detail"))
+    surface = F.col(by).cast("string")
+    bad = [rule(~same(n), spread, f"nondeterministic_{n}", surface, F.col("games").cast("string")) for n in names]
+    if expected is not None:
+        drifted = games.filter(~F.col(names[0]).eqNullSafe(F.lit(expected))).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+        bad.append(rule(F.lit(True), drifted, "terminal_state_drift", surface, F.col("n").cast("string")))
+    across = spread.agg(*[f(F.col(f"__{side}_{n}")).alias(f"__{side}_{n}") for n in names for f, side in ((F.min, "low"), (F.max, "high"))])
+    for n in names:
+        bad.append(rule(~same(n), across, f"surfaces_differ_in_{n}", F.lit("all"), F.lit("")))
+    violations = bad[0]
+    for more in bad[1:]:
+        violations = violations.unionByName(more)
+    return out, violations
+
+
+def training_summary(
+    games: DataFrame, rows: DataFrame, clock: DataFrame, simulations: int, max_decisions: int, by: str = "run"
+) -> tuple[DataFrame, DataFrame]:
+    """A-27: (training half of the workload summary per run, violations).
+
+    ``games``: run, game, decisions, traversals, cpu_seconds, terminal. ``rows``: one per decision, with run, game,
+    puct_ms, command_ms, native_actions. ``clock``: run, wall_seconds. A game must have ended, its decisions lie in
+    1..``max_decisions`` and have a row each, and its traversals be ``simulations`` a decision.
+    """
+    head = games.groupBy(by).agg(
+        F.count(F.lit(1)).alias("games"), F.sum("decisions").alias("decisions"), F.sum("traversals").alias("traversals"),
+        F.sum("cpu_seconds").alias("worker_cpu_seconds"),
+    )
+    native = rows.groupBy(by).agg(E.count_true(~F.col("native_actions").eqNullSafe(F.lit(1))).alias("native_apply_mismatches"))
+    out = head
+    for part in (_series(rows, by, "puct_ms", "puct_"), _series(rows, by, "command_ms", "command_"), native, clock.select(by, "wall_seconds")):
+        out = join_back(out, part, [by], "left")
+    out = out.withColumns(
+        {
+            "native_apply_mismatches": F.coalesce("native_apply_mismatches", F.lit(0)),
+            "steps_per_second": E.rate("decisions", "wall_seconds", None),
+            "traversals_per_second": E.rate("traversals", "wall_seconds", None),
+            "games_per_second": E.rate("games", "wall_seconds", None),
+        }
+    )
+    held = rows.groupBy(by, "game").agg(F.count(F.lit(1)).alias("__rows"))
+    j = join_back(games, held, [by, "game"], "left").withColumn("__rows", F.coalesce("__rows", F.lit(0)))
+    checks = F.array(
+        F.when(~F.coalesce("terminal", F.lit(False)), F.lit("nonterminal_game")),
+        F.when(~F.coalesce(F.col("decisions").between(1, max_decisions), F.lit(False)), F.lit("decision_count")),
+        F.when(~F.col("decisions").eqNullSafe(F.col("__rows")), F.lit("decision_rows")),
+        F.when(~F.col("traversals").eqNullSafe(F.col("decisions") * simulations), F.lit("traversal_count")),
+    )
+    bad = j.select(F.explode(F.array_compact(checks)).alias("rule"), F.concat_ws("/", F.col(by).cast("string"), F.col("game").cast("string")).alias("key"),
+                   F.concat_ws(":", F.col("decisions").cast("string"), F.col("__rows").cast("string"), F.col("traversals").cast("string")).alias("detail"))
+    return out, bad
+
+
 def token_census(samples: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """A-28: (distributions of two counts plus overflow sums, the row with most tokens).
 
@@ -642,6 +723,57 @@ def action_evidence(cells: DataFrame, covered: bool = True) -> DataFrame:
     )
 
 
+def root_evidence(conditions: DataFrame, worlds: DataFrame) -> DataFrame:
+    """A-45: root value and its standard error between worlds; a quantity without coverage has a reason.
+
+    ``conditions``: condition, simulations, root_value. ``worlds``: condition, world, root_value, a row per sampled world.
+    """
+    per = worlds.groupBy("condition").agg(F.count("root_value").alias("__covered"), F.stddev_samp(E.dbl("root_value")).alias("__sd"))
+    j = join_back(conditions, per, ["condition"], "left")
+    covered = F.coalesce("__covered", F.lit(0))
+    searched = F.coalesce(F.col("simulations") > 0, F.lit(False))
+    return j.select(
+        "condition", "simulations",
+        F.when(searched, E.dbl("root_value")).alias("root_value"),
+        F.when(~searched, F.lit("no_realized_simulations")).alias("root_value_reason"),
+        covered.alias("covered_worlds"),
+        F.when(covered >= 2, F.col("__sd") / F.sqrt(covered.cast("double"))).alias("root_uncertainty"),
+        F.when(covered < 2, F.lit("insufficient_world_coverage")).alias("root_uncertainty_reason"),
+    )
+
+
+def evidence_violations(conditions: DataFrame, cells: DataFrame, offers: DataFrame | None = None) -> DataFrame:
+    """A-45: what keeps a condition's evidence from being published.
+
+    The visits of a condition must be positive and equal its simulations (``policy_mass``); a visited cell must have a value
+    and visits can't be null or negative (``world_coverage``); with ``offers`` (action, offer_id), every action of the cells has
+    exactly one offer and no offer serves two actions (``offer_alignment``).
+    """
+    total = cells.groupBy("condition").agg(
+        F.sum("visits").alias("__visits"),
+        E.count_true(~F.coalesce(F.col("visits") >= 0, F.lit(False)) | ((F.col("visits") > 0) & F.col("q").isNull())).alias("__odd"),
+    )
+    j = join_back(conditions.select("condition", "simulations"), total, ["condition"], "left").withColumn("__visits", F.coalesce("__visits", F.lit(0)))
+    key = F.col("condition").cast("string")
+    whole = (F.col("__visits") > 0) & F.col("__visits").eqNullSafe(F.col("simulations"))
+    bad = j.filter(~whole).select(
+        F.lit("policy_mass").alias("rule"), key.alias("key"),
+        F.concat_ws(":", F.col("__visits").cast("string"), F.coalesce(F.col("simulations").cast("string"), F.lit("none"))).alias("detail"),
+    ).unionByName(
+        j.filter(F.col("__odd") > 0).select(F.lit("world_coverage").alias("rule"), key.alias("key"), F.col("__odd").cast("string").alias("detail"))
+    )
+    if offers is None:
+        return bad
+    named = offers.groupBy("action").agg(F.count("offer_id").alias("n"))
+    short = join_back(cells.select("action").distinct(), named, ["action"], "left").filter(F.coalesce("n", F.lit(0)) != 1)
+    shared = offers.filter("offer_id IS NOT NULL").groupBy("offer_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    misfit = lambda rows, what: rows.select(
+        F.lit("offer_alignment").alias("rule"), F.concat(F.lit(f"{what} "), F.coalesce(F.col("action" if what == "action" else "offer_id").cast("string"), F.lit("none"))).alias("key"),
+        F.coalesce("n", F.lit(0)).cast("string").alias("detail"),
+    )
+    return bad.unionByName(misfit(short, "action")).unionByName(misfit(shared, "offer"))
+
+
 def sampled_robustness(cells: DataFrame) -> DataFrame:
     """Older robustness: share of sampled worlds in which the action's value exceeds one half."""
     return cells.groupBy("condition", "action").agg(

@@ -205,7 +205,7 @@ def fit_ratings(
     if not by:
         cells = cells.withColumn("__all", F.lit(0))
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fit = solve_ratings(pdf, anchor, prior_elo_sd)
         deviance = _deviance(pdf, fit, prior_elo_sd)
         out = [("rating", p, r) for p, r in zip(fit["players"], fit["ratings"])]
@@ -379,7 +379,7 @@ def bootstrap_ratings(
     )
     cells = weighted.unionByName(empty).groupBy("replicate", *cell).agg(F.sum("weight").alias("weight"))
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             fit = solve_ratings(pdf, anchor, prior_elo_sd, diagnose=False)
         except ValueError:
@@ -420,30 +420,53 @@ def paired_join(left: DataFrame, right: DataFrame, keys: Sequence[str], value: s
     return j.filter(ok).select(*keys, "left_value", "right_value"), bad
 
 
-def _resample_means(counts: DataFrame, by: Sequence[str], replicates: int, seed: int, probs: dict[str, float]) -> DataFrame:
+def _resample_means(counts: DataFrame, by: Sequence[str], replicates: int, seed: int, probs: dict[str, float], parts: int = 256) -> DataFrame:
     """Quantiles of bootstrap means from value counts.
 
-    Drawing n values with replacement is a multinomial draw over the distinct values, so
-    each group needs its value counts only and never its rows.
+    Drawing n values with replacement is a multinomial draw over the distinct values, and a multinomial draw can be
+    made in two steps: how many of the n fall into each part of the values, then which values inside a part. A
+    group's values are dealt to ``parts`` parts by hash. Every part draws the first step from the same seed, so all
+    parts agree on it without meeting, and draws its own values a run at a time; the parts' sums add up to
+    the group's. No task holds more than one part of one group.
     """
     keys = list(by) or ["__all"]
-    c = counts if by else counts.withColumn("__all", F.lit(0))
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        n = int(pdf["n"].sum())
-        share = pdf["n"].to_numpy(dtype=float) / n
-        rng = np.random.default_rng([seed, *[abs(hash_text(str(k))) for k in key]])
-        means = rng.multinomial(n, share / share.sum(), size=replicates) @ pdf["value"].to_numpy(dtype=float) / n
-        row = list(key) + [float(np.percentile(means, 100 * q)) for q in probs.values()]
-        return pd.DataFrame([row], columns=[*keys, *probs])
+    c = (counts if by else counts.withColumn("__all", F.lit(0))).withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int"))
+    sizes = c.groupBy(*keys, "__part").agg(F.sum("n").alias("n"))
+    layout = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__part", "n"))).alias("__layout"))
+    each = layout.select(
+        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], F.posexplode("__layout.__part").alias("__at", "__of"), F.col("__layout.n").alias("__sizes")
+    )
+
+    def draw(key: tuple, values: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        values = values.sort_values("value")
+        sizes = np.asarray(plan["__sizes"].iloc[0], dtype=np.int64)
+        at, total = int(plan["__at"].iloc[0]), int(sizes.sum())
+        group = [seed, *[abs(hash_text(str(k))) for k in key[:-1]]]
+        left = np.random.default_rng(group).multinomial(total, sizes / total, size=replicates)[:, at]
+        sums = _draw_sums(values["value"].to_numpy(dtype=float), values["n"].to_numpy(dtype=np.int64), left, np.random.default_rng([*group, int(key[-1]) + 1]))
+        return pd.DataFrame([[*key[:-1], total, (sums / total).tolist()]], columns=[*keys, "total", "shares"])
 
     types = dict(c.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + ", ".join(f"{p} double" for p in probs)
-    out = c.groupBy(*keys).applyInPandas(draw, schema)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", total long, shares array<double>"
+    pieces = c.groupBy(*keys, "__part").cogroup(each.groupBy(*[f"__key_{i}" for i in range(len(keys))], "__of")).applyInPandas(draw, schema)
+    means = pieces.select(*keys, F.posexplode("shares").alias("__replicate", "share")).groupBy(*keys, "__replicate").agg(F.sum("share").alias("mean"))
+    out = means.groupBy(*keys).agg(*[F.percentile("mean", F.lit(q)).alias(name) for name, q in probs.items()])
     return out if by else out.drop("__all")
 
 
+def _draw_sums(values: np.ndarray, counts: np.ndarray, left: np.ndarray, rng: np.random.Generator, run: int = 1024) -> np.ndarray:
+    """Sums of ``left[r]`` draws from ``values`` with weights ``counts``, for every replicate r; a run of values at a time."""
+    left, sums, rest = left.copy(), np.zeros(len(left)), int(counts.sum())
+    for low in range(0, len(values), run):
+        n = counts[low : low + run]
+        size = int(n.sum())
+        here = left if size == rest else rng.binomial(left, size / rest)
+        share = n / size
+        sums += rng.multinomial(here, share / share.sum()) @ values[low : low + run]
+        left, rest = left - here, rest - size
+    return sums
+
+
 def hash_text(text: str) -> int:
     """Stable small integer of a text (Python's own hash changes between processes)."""
     value = 0
@@ -457,7 +480,7 @@ def noninferiority(
 ) -> DataFrame:
     """R-05: mean paired difference, 5th percentile of bootstrap means, pass flags.
 
-    ``pairs`` comes from ``paired_join`` with 0/1 (or few distinct) values.
+    ``pairs`` comes from ``paired_join``; its differences may all be distinct.
     """
     d = pairs.withColumn("value", E.dbl("left_value") - E.dbl("right_value"))
     counts = d.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))

@@ -381,6 +381,101 @@ def a27c(t):
     return M.workload_summary(*_workload(t), ["a", "b"])[2]
 
 
+# Orders as repetitions of a customer's workload: the status is the end state, the priority the trace.
+_REPEATS = """rp AS (SELECT o_custkey AS surface, md5(o_orderstatus) AS terminal_state_sha256, md5(o_orderpriority) AS logical_trace_sha256 FROM orders)"""
+
+
+def _repeats(t):
+    return t.sql(f"WITH {_REPEATS} SELECT * FROM rp")
+
+
+@query(
+    "A27_workload_inner",
+    f"""WITH q AS (SELECT o_orderstatus AS s, l_quantity AS x, l_tax = 0 AND o_orderstatus <> 'P' AS inside FROM lineitem JOIN orders ON o_orderkey=l_orderkey),
+    r AS (SELECT q.s, x FROM q JOIN (SELECT s, bool_or(inside) AS has_inner FROM q GROUP BY 1) u ON u.s = q.s WHERE inside = has_inner)
+    SELECT s AS surface, {r6('MIN(x)')} AS inner_min_ms, {r6('MAX(x)')} AS inner_max_ms, {r6('AVG(x)')} AS inner_mean_ms,
+    {r6('quantile_cont(x,0.5)')} AS inner_p50_ms, {r6('quantile_cont(x,0.95)')} AS inner_p95_ms FROM r GROUP BY 1""",
+)
+def a27d(t):
+    games, commands = _workload(t)
+    inner = t.sql("SELECT o_orderstatus AS surface, l_quantity AS duration_ms FROM lineitem JOIN orders ON o_orderkey=l_orderkey WHERE l_tax = 0 AND o_orderstatus <> 'P'")
+    out = M.workload_summary(games, commands, ["a", "b"], inner=inner)[0]
+    return rounded(out.select("surface", *[c for c in out.columns if c.startswith("inner_")]))
+
+
+@query(
+    "A27_workload_identity",
+    f"""WITH {_REPEATS} SELECT surface, COUNT(*) AS games,
+    CASE WHEN COUNT(DISTINCT terminal_state_sha256) = 1 THEN MIN(terminal_state_sha256) END AS terminal_state_sha256,
+    CASE WHEN COUNT(DISTINCT logical_trace_sha256) = 1 THEN MIN(logical_trace_sha256) END AS logical_trace_sha256 FROM rp GROUP BY 1""",
+)
+def a27e(t):
+    return M.workload_identity(_repeats(t))[0]
+
+
+@query(
+    "A27_workload_identity_violations",
+    f"""WITH {_REPEATS}, g AS (SELECT surface, COUNT(*) AS n, COUNT(DISTINCT terminal_state_sha256) AS t, COUNT(DISTINCT logical_trace_sha256) AS l,
+      {ct("terminal_state_sha256 <> md5('O')")} AS drift FROM rp GROUP BY 1)
+    SELECT 'nondeterministic_terminal_state_sha256' AS rule, CAST(surface AS VARCHAR) AS key, CAST(n AS VARCHAR) AS detail FROM g WHERE t > 1
+    UNION ALL SELECT 'nondeterministic_logical_trace_sha256', CAST(surface AS VARCHAR), CAST(n AS VARCHAR) FROM g WHERE l > 1
+    UNION ALL SELECT 'terminal_state_drift', CAST(surface AS VARCHAR), CAST(drift AS VARCHAR) FROM g WHERE drift > 0
+    UNION ALL SELECT 'surfaces_differ_in_terminal_state_sha256', 'all', '' FROM rp HAVING COUNT(DISTINCT terminal_state_sha256) > 1
+    UNION ALL SELECT 'surfaces_differ_in_logical_trace_sha256', 'all', '' FROM rp HAVING COUNT(DISTINCT logical_trace_sha256) > 1""",
+)
+def a27f(t):
+    import hashlib
+
+    return M.workload_identity(_repeats(t), hashlib.md5(b"O").hexdigest())[1]
+
+
+# Orders as training games and their lines as decisions, with a few games that break a rule each.
+_TRAINING = """tg AS (SELECT o_custkey % 40 AS run, o_orderkey AS game, COALESCE(n, 0) + CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE 0 END AS decisions,
+      COALESCE(n, 0) * 16 + CASE WHEN o_orderkey % 103 = 0 THEN 1 ELSE 0 END AS traversals, o_totalprice / 1000 AS cpu_seconds, o_orderkey % 107 <> 0 AS terminal
+      FROM orders LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey) x ON l_orderkey = o_orderkey),
+    tr AS (SELECT o_custkey % 40 AS run, l_orderkey AS game, l_quantity AS puct_ms, l_extendedprice / 1000 AS command_ms,
+      CASE WHEN l_tax = 0.08 THEN 0 ELSE 1 END AS native_actions FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    tc AS (SELECT o_custkey % 40 AS run, SUM(o_totalprice) / 8000 AS wall_seconds FROM orders GROUP BY o_custkey % 40)"""
+
+
+def _training(t):
+    games, rows, clock = (t.sql(f"WITH {_TRAINING} SELECT * FROM {name}") for name in ("tg", "tr", "tc"))
+    return M.training_summary(games, rows, clock, simulations=16, max_decisions=6)
+
+
+def _times(value, prefix):
+    parts = {"min": f"MIN({value})", "max": f"MAX({value})", "mean": f"AVG({value})", "p50": f"quantile_cont({value},0.5)", "p95": f"quantile_cont({value},0.95)"}
+    return ", ".join(f"{r6(e)} AS {prefix}{n}_ms" for n, e in parts.items())
+
+
+@query(
+    "A27_training_summary",
+    f"""WITH {_TRAINING}, g AS (SELECT run, COUNT(*) AS games, CAST(SUM(decisions) AS BIGINT) AS decisions, CAST(SUM(traversals) AS BIGINT) AS traversals,
+      SUM(cpu_seconds) AS cpu FROM tg GROUP BY 1),
+    r AS (SELECT run, {_times('puct_ms', 'puct_')}, {_times('command_ms', 'command_')}, {ct('native_actions <> 1')} AS native_apply_mismatches FROM tr GROUP BY 1)
+    SELECT g.run, games, decisions, traversals, {r6('cpu')} AS worker_cpu_seconds, r.* EXCLUDE (run), {r6('wall_seconds')} AS wall_seconds,
+    {r6('decisions/wall_seconds')} AS steps_per_second, {r6('traversals/wall_seconds')} AS traversals_per_second, {r6('games/wall_seconds')} AS games_per_second
+    FROM g JOIN r ON r.run = g.run JOIN tc ON tc.run = g.run""",
+)
+def a27g(t):
+    return rounded(_training(t)[0])
+
+
+@query(
+    "A27_training_violations",
+    f"""WITH {_TRAINING}, h AS (SELECT run, game, COUNT(*) AS n FROM tr GROUP BY 1, 2),
+    j AS (SELECT tg.*, COALESCE(n, 0) AS n, CAST(tg.run AS VARCHAR) || '/' || CAST(tg.game AS VARCHAR) AS key,
+      CAST(decisions AS VARCHAR) || ':' || CAST(COALESCE(n, 0) AS VARCHAR) || ':' || CAST(traversals AS VARCHAR) AS detail
+      FROM tg LEFT JOIN h ON h.run = tg.run AND h.game = tg.game)
+    SELECT 'nonterminal_game' AS rule, key, detail FROM j WHERE NOT terminal
+    UNION ALL SELECT 'decision_count', key, detail FROM j WHERE decisions < 1 OR decisions > 6
+    UNION ALL SELECT 'decision_rows', key, detail FROM j WHERE decisions <> n
+    UNION ALL SELECT 'traversal_count', key, detail FROM j WHERE traversals <> decisions * 16""",
+)
+def a27h(t):
+    return _training(t)[1]
+
+
 def _census(t):
     return t.documents.select(
         F.col("lang").alias("viewer_group"), F.col("doc_id").alias("ordinal"), F.col("source").alias("viewer"),
@@ -744,6 +839,44 @@ def a45(t):
     return rounded(M.action_evidence(t.v_cells))
 
 
+# Every user is a condition whose worlds are days; a few declare a simulation too many or too few worlds.
+_ROOTS = """rw AS (SELECT user_id AS condition, dayofyear(ts) AS world, AVG(value) AS root_value FROM v_events GROUP BY user_id, dayofyear(ts)),
+    rcell AS (SELECT user_id AS condition, dayofyear(ts) AS world, k % 8 AS action, COUNT(*) AS visits, AVG(value) AS q FROM v_events
+      GROUP BY user_id, dayofyear(ts), k % 8),
+    rc AS (SELECT user_id AS condition, CASE WHEN user_id % 50 = 0 THEN 0 ELSE COUNT(*) + CASE WHEN user_id % 50 = 1 THEN 1 ELSE 0 END END AS simulations,
+      AVG(value) AS root_value FROM v_events GROUP BY user_id)"""
+
+
+def _roots(t, *names):
+    return (t.sql(f"WITH {_ROOTS} SELECT * FROM {name}") for name in names)
+
+
+@query(
+    "A45_root_evidence",
+    f"""WITH {_ROOTS}, w AS (SELECT condition, COUNT(root_value) AS n, stddev_samp(root_value) AS sd FROM rw GROUP BY 1)
+    SELECT rc.condition, simulations, CASE WHEN simulations > 0 THEN {r6('root_value')} END AS root_value,
+    CASE WHEN simulations = 0 THEN 'no_realized_simulations' END AS root_value_reason, n AS covered_worlds,
+    CASE WHEN n >= 2 THEN {r6('sd/sqrt(n)')} END AS root_uncertainty, CASE WHEN n < 2 THEN 'insufficient_world_coverage' END AS root_uncertainty_reason
+    FROM rc JOIN w ON w.condition = rc.condition""",
+)
+def a45c(t):
+    return rounded(M.root_evidence(*_roots(t, "rc", "rw")))
+
+
+@query(
+    "A45_evidence_violations",
+    f"""WITH {_ROOTS}, v AS (SELECT condition, CAST(SUM(visits) AS BIGINT) AS visits FROM rcell GROUP BY 1)
+    SELECT 'policy_mass' AS rule, CAST(rc.condition AS VARCHAR) AS key, CAST(visits AS VARCHAR) || ':' || CAST(simulations AS VARCHAR) AS detail
+    FROM rc JOIN v ON v.condition = rc.condition WHERE visits <> simulations
+    UNION ALL SELECT 'offer_alignment', 'action ' || CAST(action AS VARCHAR), '0' FROM (SELECT DISTINCT action FROM rcell) a WHERE action = 7
+    UNION ALL SELECT 'offer_alignment', 'offer 0', '2' FROM (SELECT DISTINCT action FROM rcell WHERE action = 0 OR action = 6) b HAVING COUNT(*) = 2""",
+)
+def a45d(t):
+    conditions, cells = _roots(t, "rc", "rcell")
+    offers = cells.select("action").distinct().filter("action < 7").withColumn("offer_id", F.col("action") % 6)
+    return M.evidence_violations(conditions, cells, offers)
+
+
 @query(
     "A45_sampled_robustness",
     f"""SELECT condition, action, {r6('AVG(CASE WHEN q>0.5 THEN 1.0 ELSE 0 END)')} AS robustness FROM v_cells GROUP BY 1, 2""",
