@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.joins import attach_row
-from scoreloom.llm.tables import written
+from scoreloom.llm.tables import free_names, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -57,17 +57,28 @@ def _range_of(finish: Column) -> Column:
     return F.when(finish < 2, F.floor(finish * PARTS)).otherwise(2 * PARTS + F.floor(F.log2(finish) * 64)).cast("long")
 
 
+def _place(seed: str) -> Column:
+    """Where a row stands in its source's shuffle: a digest of its id or, where it has none, of its text."""
+    no_id = F.concat(F.lit("text-"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col("doc_id").cast("long").cast("string"), no_id)).cast("binary"))
+
+
 def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, times of every row of ``docs`` (doc_id, text, source).
 
     ``times`` (0 to ``repeats``) is how often the mix takes the row; the rows taken are those of the
     earliest finish times whose sizes together stay within the budget. Ties of the hash are ordered by doc_id. Rows without
-    words are never taken. Repeated rows finish together, after the last of them, so they are taken alike. An empty
-    table gives no rows.
+    words are never taken. Repeated rows finish together, after the last of them, so they are taken alike. Rows without a doc_id
+    are told apart by their text. An empty table gives no rows.
     """
+    return _placed_counts(docs, weights, share, repeats, seed).drop("place")
+
+
+def _placed_counts(docs: DataFrame, weights: tuple[int, ...], share: float, repeats: int, seed: str) -> DataFrame:
+    """The rows of ``mix_counts`` with their place in the shuffle."""
     rows = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size().alias("size"))
-        .withColumn("place", F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size().alias("size"), _place(seed).alias("place"))
         .withColumn("part", F.substring("place", 1, 3))
     )
     targets = source_targets(rows.select("source", "size"), weights, share, repeats)
@@ -111,22 +122,25 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         here = F.struct(finish.alias("finish"), F.col("place"), F.col("doc_id"), F.lit(turn).alias("turn"))
         taken = F.col("edge").isNull() | (at < F.col("edge")) | ((at == F.col("edge")) & F.coalesce(here <= F.col("last"), F.lit(False)))
         times = times + F.when((F.col("size") > 0) & taken, 1).otherwise(0)
-    return decided.select("doc_id", "source", "size", "source_size", "target", times.alias("times"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), "place")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken. Rows without an id count as one id."""
+def mixed(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix"
+) -> DataFrame:
+    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Rows without an id are told apart by their text. Columns of ``docs`` may have any names.
+    """
+    place, source, size, times, turn, my_place, my_source, my_size = free_names(
+        docs, "__place", "__source", "__size", "__times", "__turn", "__my_place", "__my_source", "__my_size")
     counts = (
-        mix_counts(docs, **options).where("times > 0")
-        .groupBy("doc_id", "source", "size").agg(F.max("times").alias("__times"))
-        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times")
-    )
-    sized = docs.withColumn("__words", text_size())
-    match = sized["doc_id"].eqNullSafe(counts["__id"]) & (sized["__words"] == counts["__size"]) & sized["source"].eqNullSafe(counts["__source"])
-    return (
-        sized.join(counts, match).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*[sized[c] for c in docs.columns])
+        _placed_counts(docs, weights, share, repeats, seed).where("times > 0")
+        .groupBy(F.col("place").alias(place), F.col("source").alias(source), F.col("size").alias(size)).agg(F.max("times").alias(times))
     )
+    keyed = docs.select("*", _place(seed).alias(my_place), F.col("source").cast("string").alias(my_source), text_size().alias(my_size))
+    match = (F.col(my_place) == F.col(place)) & (F.col(my_size) == F.col(size)) & F.col(my_source).eqNullSafe(F.col(source))
+    return keyed.join(counts, match).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 ORACLE = r"""

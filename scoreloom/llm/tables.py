@@ -34,6 +34,17 @@ def row_key(key: str = "__key", no_id: str = "__no_id") -> list[Column]:
     return [F.coalesce(doc_id, F.xxhash64(F.col("text").cast("string"))).alias(key), doc_id.isNull().alias(no_id)]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
