@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.llm.tables import written
 from scoreloom.llm.textwords import mix, text_batches, words_of
 
-# Bounds of the training sample: labelled documents, and consecutive lines read of each.
+# Bounds of the training sample: labelled documents, and lines of all of them together. Documents are read whole.
 TRAIN_DOCS = 6000
-TRAIN_LINES = 32
+TRAIN_LINES = 120_000
 
 # Byte classes, counted per line.
 _CLASSES = {
@@ -232,30 +233,23 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def _sample_lines(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, texts in text_batches(batch, "text"):
-                x, _, at = line_measurements(texts)
-                rows = []
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    spare = max(0, int(b - a) - most)
-                    skip = int(mix(np.array([b - a, len(texts[k] or b"")], dtype=np.uint64))[0] % np.uint64(spare + 1))
-                    rows.append(x[a + skip : min(b, a + skip + most)].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), batch.column("quality").slice(low, high - low), pa.array(rows, pa.binary())],
-                    ["doc_id", "quality", "lines"],
-                )
-
-    return run
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The measurements of all lines of every document."""
+    for batch in batches:
+        for low, high, texts in text_batches(batch, "text"):
+            x, _, at = line_measurements(texts)
+            rows = [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(low, high - low), batch.column("quality").slice(low, high - low), pa.array(rows, pa.binary())],
+                ["doc_id", "quality", "lines"],
+            )
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineModel:
-    """Fit on at most ``train_docs`` labelled, not held-out documents and ``train_lines`` consecutive lines of each.
+def train_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> DataFrame:
+    """doc_id, quality, text: at most ``train_docs`` labelled, not held-out documents of at most ``train_lines`` lines together.
 
-    The sample is the documents of smallest hash; its measurements (bounded by the two parameters) are
-    gathered and fitted in one place. Labels other than 0 and 1 are ignored; of several labels of a document the lowest
-    counts. Without labelled documents the model is neutral.
+    They are the documents of smallest hash as far as the lines reach, each of them whole; one of more than a 32nd of
+    ``train_lines`` is passed over. Equal rows count once.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -263,10 +257,28 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     )
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    order = [F.xxhash64("doc_id"), "doc_id", "mark"]
+    sizes = (
+        rows.join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "mark", "quality", (F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1).alias("lines"))
+        .where(F.col("lines") <= train_lines // 32).distinct().orderBy(*order).limit(train_docs)
+    )
+    # At most ``train_docs`` rows.
+    upto = F.sum("lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = written(sizes.withColumn("upto", upto).where(F.col("upto") <= train_lines).select("doc_id", "mark", "quality"))
+    return rows.join(F.broadcast(kept), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "quality", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineModel:
+    """Fit on the documents of ``train_sample``.
+
+    The sample's measurements (bounded by the two parameters) are gathered and fitted in one place. Labels other than 0
+    and 1 are ignored; of several labels of a document the lowest counts. Without labelled documents the model is neutral.
+    """
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-        .mapInArrow(_sample_lines(train_lines), "doc_id long, quality int, lines binary")
+        train_sample(docs, labels, train_docs, train_lines).mapInArrow(_measured, "doc_id long, quality int, lines binary")
         .toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("lines", "ascending")])
     )
     if not found.num_rows:

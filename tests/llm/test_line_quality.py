@@ -94,3 +94,18 @@ def test_one_class_only(spark):
     docs, labels, _ = labelled(spark)
     rows = Q.score(docs, Q.train(docs, labels.where("quality = 1"))).collect()
     assert all(np.isfinite(r.score) for r in rows)
+
+
+def test_sample_is_whole_documents_within_its_bounds(spark):
+    docs, labels, truth = labelled(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    every = Q.train_sample(docs, labels).collect()
+    wanted = {k for k in truth if k in texts} - {r.doc_id for r in Q.score(docs, Q.neutral_model()).where("held_out").collect()}
+    assert {r.doc_id for r in every} == wanted and all(r.text == texts[r.doc_id] and r.quality == truth[r.doc_id] for r in every)
+    some = Q.train_sample(docs, labels, train_lines=320).collect()
+    lines = sum(r.text.count("\n") + 1 for r in some)
+    assert 300 < lines <= 320 and {r.doc_id for r in some} < wanted
+    assert len(Q.train_sample(docs, labels, train_docs=17).collect()) == 17
+    long = docs.select("doc_id", Q.F.repeat(Q.F.concat("text", Q.F.lit("\n")), 200).alias("text"))
+    assert all(r.text.count("\n") + 1 <= 10_000 // 32 for r in Q.train_sample(long, labels, train_lines=10_000).collect())
+    assert len(Q.train_sample(docs.union(docs), labels).collect()) == len(wanted)
