@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.tables import row_key, written
+from scoreloom.llm.tables import free_names, row_key, written
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -153,9 +153,10 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id has no match. Rows without an id are judged by their own text."""
+    names = free_names(docs, "__key", "__no_id")
     bad = written(_matches(docs, benchmark, **options).select(
-        F.coalesce("doc_id", "version").alias("__key"), F.col("doc_id").isNull().alias("__no_id")).distinct())
-    return docs.select("*", *row_key()).join(bad, ["__key", "__no_id"], "left_anti").select(*docs.columns)
+        F.coalesce("doc_id", "version").alias(names[0]), F.col("doc_id").isNull().alias(names[1])).distinct())
+    return docs.select("*", *row_key(*names)).join(bad, names, "left_anti").select(*docs.columns)
 
 
 ORACLE = """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import connected_components
-from scoreloom.llm.tables import row_key, written
+from scoreloom.llm.tables import free_names, row_key, written
 from scoreloom.llm.textwords import mix, shingles_of, text_batches, words_of
 
 SIZE = 5
@@ -338,14 +338,15 @@ def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
     Rows that share an id share its fate; of equal rows one stays. Rows without an id come after those with one, in order of
     a digest of their text.
     """
-    keys = ["__key", "__no_id"]
+    key, no_id, first = free_names(docs, "__key", "__no_id", "__first")
+    keys = [key, no_id]
     classes = written(
         _classed(docs, **options).groupBy("key", "no_id")
-        .agg(F.max(F.struct("no_id", "key") == F.col("first")).alias("__first"), F.count(F.lit(1)).alias("n"))
-        .where("not __first or n > 1").select(F.col("key").alias("__key"), F.col("no_id").alias("__no_id"), "__first")
+        .agg(F.max(F.struct("no_id", "key") == F.col("first")).alias(first), F.count(F.lit(1)).alias("n"))
+        .where(~F.col(first) | (F.col("n") > 1)).select(F.col("key").alias(key), F.col("no_id").alias(no_id), first)
     )
-    gone, again = classes.where("not __first").drop("__first"), classes.where("__first").drop("__first")
-    kept = docs.select("*", *row_key()).join(gone, keys, "left_anti")
+    gone, again = classes.where(~F.col(first)).drop(first), classes.where(F.col(first)).drop(first)
+    kept = docs.select("*", *row_key(*keys)).join(gone, keys, "left_anti")
     single = kept.join(again, keys, "left_anti")
     repeated = kept.join(again, keys, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).select(*docs.columns)
