@@ -80,10 +80,15 @@ def test_no_targets_repeats_and_empty_table(spark):
     assert L.cross_entropy_difference(docs.limit(0), labels).collect() == []
 
 
-def test_few_slots_stay_bounded(spark):
-    docs, labels = frames(spark, DOCS, LABELS)
-    for r in L.cross_entropy_difference(docs, labels, slots=3).collect():
-        assert r.score is None or math.isfinite(r.score)
+@pytest.mark.parametrize("piece_bytes", [200, 5_000])
+def test_many_pieces_equal_one(spark, piece_bytes):
+    """Whatever the texts are dealt to, every count meets every document; rows without an id and repeated rows too."""
+    docs = spark.createDataFrame([*DOCS, (None, GOOD), (None, BAD), (None, None), (0, GOOD + " w0")], "doc_id long, text string")
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    one, many = (sorted(L.cross_entropy_difference(docs, labels, piece_bytes=b).collect(), key=repr) for b in (1 << 30, piece_bytes))
+    assert len(one) == len(many) == len(DOCS) + 4
+    for a, b in zip(one, many):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
 
 
 def test_every_word_and_bigram_counts_of_its_own(spark):
