@@ -40,8 +40,8 @@ from scoreloom.llm.textwords import hash_runs, text_batches
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-# A pair becomes a rule from this count on; rules of one round; rounds at most.
-LEAST_COUNT, ROUND_RULES, ROUNDS = 8, 4096, 4
+# A pair becomes a rule from this count on; rules of one round.
+LEAST_COUNT, ROUND_RULES = 8, 4096
 # Words whose ids a worker remembers.
 CACHE_WORDS = 600_000
 
@@ -180,28 +180,29 @@ def encoder(path: str) -> WordEncoder:
     return _TOKENIZERS[path]
 
 
-def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of the ids of consecutive documents: (alphabet, rules, rule_lens, symbols).
 
     A round counts all pairs of neighbouring symbols inside documents and makes rules of the most frequent ones; where
-    chosen pairs overlap, the more frequent one is replaced and, among equals, the left one.
+    chosen pairs overlap, the more frequent one is replaced, and every other one in a run of one symbol. Rounds go on
+    until no pair occurs ``least`` times. Symbols take four bytes only when two bytes leave no room for a round's rules.
     """
     alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
     symbol_of = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 0, dtype=np.uint32)
     symbol_of[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-    room = (1 << 16) - len(alphabet)
-    wide = room < ROUND_RULES  # two-byte symbols are kept if the alphabet leaves room for rules
-    code_type, shift, spread, high = (np.uint64, 32, 0x9E3779B97F4A7C15, 48) if wide else (np.uint32, 16, 0x9E3779B1, 16)
-    seq = symbol_of[ids].astype(code_type)
+    wide = False
+    seq = symbol_of[ids]
     last = np.zeros(len(seq), dtype=bool)
     last[np.cumsum(lens)[np.asarray(lens) > 0] - 1] = True
     size = np.ones(len(alphabet), dtype=np.int64)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
+        if not wide:
+            wide = len(alphabet) + made + ROUND_RULES > 1 << 16
+            code_type, shift, spread, high = (np.uint64, 32, 0x9E3779B97F4A7C15, 48) if wide else (np.uint32, 16, 0x9E3779B1, 16)
+            seq = seq.astype(code_type, copy=False)
         code = (seq[:-1] << code_type(shift)) | seq[1:]
         inner = ~last[:-1]
         ordered = np.sort(code[inner])
@@ -210,11 +211,10 @@ def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds
         head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(head, len(ordered)))
         often = np.flatnonzero(count >= least)
-        limit = ROUND_RULES if wide else min(ROUND_RULES, room - made)
-        if not len(often) or limit <= 0:
+        if not len(often):
             break
         pair, count = ordered[head[often]], count[often]
-        best = np.lexsort((pair, -count))[:limit]  # most frequent first
+        best = np.lexsort((pair, -count))[:ROUND_RULES]  # most frequent first
         pair = pair[best]
         # A direct-address table finds the rank of a pair; of pairs that share a slot the first keeps it.
         slots = 1 << 16
@@ -229,8 +229,9 @@ def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds
         there = np.flatnonzero((rank < none) & (pairs[rank] == code) & inner)
         rank = rank[there]
         beside = there[1:] == there[:-1] + 1
-        chosen = np.ones(len(there), dtype=bool)
-        chosen[1:] &= ~(beside & (rank[:-1] <= rank[1:]))
+        run_start = np.concatenate(([True], ~(beside & (rank[:-1] == rank[1:]))))
+        chosen = (np.arange(len(there)) - np.flatnonzero(run_start)[np.cumsum(run_start) - 1]) % 2 == 0
+        chosen[1:] &= ~(beside & (rank[:-1] < rank[1:]))
         chosen[:-1] &= ~(beside & (rank[1:] < rank[:-1]))
         take, rank = there[chosen], rank[chosen]
         used = np.flatnonzero(np.bincount(rank, minlength=none))
@@ -246,10 +247,8 @@ def compress(ids: np.ndarray, lens: np.ndarray, least: int = LEAST_COUNT, rounds
         stay = np.ones(len(seq), dtype=bool)
         stay[take + 1] = False
         seq, last = seq[stay], last[stay]
-        if len(take) < 0.01 * len(seq):
-            break
     rules = np.stack([np.concatenate(left), np.concatenate(right)], axis=1) if left else np.empty((0, 2), np.int64)
-    return alphabet, rules, size[len(alphabet) :], seq
+    return alphabet, rules, size[len(alphabet) :], seq.astype(np.uint64 if wide else np.uint32, copy=False)
 
 
 def _flat(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:

@@ -72,6 +72,38 @@ def test_repetition_shrinks():
     assert len(symbols) < 5000 and len(rules) > 1
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=60), min_size=1, max_size=4), st.integers(2, 4))
+def test_no_pair_is_left_that_occurs_often(docs, least):
+    lens = [len(d) for d in docs]
+    rules, symbols = check([x for d in docs for x in d], lens, least=least)
+    alphabet, _, sizes, _ = T.compress(np.array([x for d in docs for x in d], dtype=np.uint32), np.array(lens), least=least)
+    ends = np.cumsum(np.concatenate((np.ones(len(alphabet), np.int64), sizes))[symbols])
+    left = {}
+    for k in range(len(symbols) - 1):
+        if ends[k] not in np.cumsum(lens):
+            pair = (int(symbols[k]), int(symbols[k + 1]))
+            left[pair] = left.get(pair, 0) + 1
+    assert not left or max(left.values()) < least
+
+
+def test_a_long_passage_becomes_one_symbol_and_long_runs_end():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 5_000, 60)
+    ids = np.concatenate([np.append(passage, rng.integers(5_000, 9_000, 3)) for _ in range(2_000)])
+    rules, symbols = check(ids.tolist(), [len(ids)])
+    assert len(symbols) < 4.5 * 2_000
+    rules, symbols = check([7] * 200_000, [200_000])
+    assert len(symbols) < 40
+
+
+def test_symbols_grow_wide_when_rules_need_it():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate((np.arange(60_000), np.tile(rng.integers(0, 60_000, 8_000), 8)))
+    rules, symbols = check(ids.tolist(), [60_000, 64_000])
+    assert symbols.dtype == np.uint64 and len(rules) > 5_536
+
+
 @pytest.mark.parametrize("n", [70_000, 65_000])
 def test_large_alphabets(n):
     ids = np.concatenate((np.arange(n), np.tile([5, 6], 500)))
