@@ -382,11 +382,11 @@ def a27c(t):
 
 
 # Orders as repetitions of a customer's workload: the status is the end state, the priority the trace.
-_REPEATS = """rp AS (SELECT o_custkey AS surface, md5(o_orderstatus) AS terminal_state_sha256, md5(o_orderpriority) AS logical_trace_sha256 FROM orders)"""
+_IDENTITIES = """rp AS (SELECT o_custkey AS surface, md5(o_orderstatus) AS terminal_state_sha256, md5(o_orderpriority) AS logical_trace_sha256 FROM orders)"""
 
 
 def _repeats(t):
-    return t.sql(f"WITH {_REPEATS} SELECT * FROM rp")
+    return t.sql(f"WITH {_IDENTITIES} SELECT * FROM rp")
 
 
 @query(
@@ -405,7 +405,7 @@ def a27d(t):
 
 @query(
     "A27_workload_identity",
-    f"""WITH {_REPEATS} SELECT surface, COUNT(*) AS games,
+    f"""WITH {_IDENTITIES} SELECT surface, COUNT(*) AS games,
     CASE WHEN COUNT(DISTINCT terminal_state_sha256) = 1 THEN MIN(terminal_state_sha256) END AS terminal_state_sha256,
     CASE WHEN COUNT(DISTINCT logical_trace_sha256) = 1 THEN MIN(logical_trace_sha256) END AS logical_trace_sha256 FROM rp GROUP BY 1""",
 )
@@ -415,7 +415,7 @@ def a27e(t):
 
 @query(
     "A27_workload_identity_violations",
-    f"""WITH {_REPEATS}, g AS (SELECT surface, COUNT(*) AS n, COUNT(DISTINCT terminal_state_sha256) AS t, COUNT(DISTINCT logical_trace_sha256) AS l,
+    f"""WITH {_IDENTITIES}, g AS (SELECT surface, COUNT(*) AS n, COUNT(DISTINCT terminal_state_sha256) AS t, COUNT(DISTINCT logical_trace_sha256) AS l,
       {ct("terminal_state_sha256 <> md5('O')")} AS drift FROM rp GROUP BY 1)
     SELECT 'nondeterministic_terminal_state_sha256' AS rule, CAST(surface AS VARCHAR) AS key, CAST(n AS VARCHAR) AS detail FROM g WHERE t > 1
     UNION ALL SELECT 'nondeterministic_logical_trace_sha256', CAST(surface AS VARCHAR), CAST(n AS VARCHAR) FROM g WHERE l > 1
