@@ -436,7 +436,8 @@ def _kept(t, stream, keys):
 
 
 def _file_stream(t, name):
-    return t.spark.readStream.schema(t.base(name).schema).parquet(t.sf_dir, pathGlobFilter=f"{name}.parquet")
+    # The table may be one file or a folder of files; a stream takes a file only by a pattern.
+    return t.spark.readStream.schema(t.base(name).schema).parquet(f"{t.sf_dir}/{name}[.]parquet")
 
 
 @query(

@@ -41,3 +41,10 @@ def equals_sql(spark, name, sf):
 
 def test_declared_repeats_of_root_stability(spark):
     equals_sql(spark, "A22_root_stability", SF)
+
+
+def test_streams_read_a_file_and_a_folder_of_files(spark, tmp_path):
+    chats = spark.read.parquet(f"{SF}/conversations.parquet").repartition(3, "conv_id")
+    sf = folder(tmp_path, conversations=chats)
+    equals_sql(spark, "Z02_ledger_stream", sf)
+    equals_sql(spark, "Z03_running_health", sf)
