@@ -787,7 +787,8 @@ def uncertainty(bootstrap: DataFrame, players: DataFrame, replicates: int) -> tu
     want = want_r.unionByName(
         players.limit(1).select(F.lit("seat").alias("kind"), F.lit("seat0_elo").alias("name"))
     )
-    missing = want.join(bootstrap.select("kind", "name"), ["kind", "name"], "left_anti").unionByName(pairs).select(
+    single = bootstrap.filter(F.col("kind").isin("rating", "seat")).select("kind", "name")
+    missing = want.join(single, ["kind", "name"], "left_anti").unionByName(pairs).select(
         F.lit("missing_interval").alias("rule"), F.concat_ws("/", "kind", "name").alias("key"), F.lit("").alias("detail")
     )
     failed = bootstrap.filter((F.col("kind") == "failure") | (F.col("fits") != replicates)).select(

@@ -382,6 +382,17 @@ _DECLARED = """p AS (SELECT s_suppkey, s_name AS name, s_nationkey FROM supplier
     UNION ALL SELECT 'failure', '', 2 FROM region WHERE r_regionkey = 0)"""
 
 
+def _declared_differences(t):
+    """The differences of ``iv``, equal ones once: whether two names have one depends on their keys modulo 7 only.
+
+    The pairs are dealt to tasks by number, because the roster is small in bytes and would be paired in one task.
+    """
+    names = t.supplier.select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).alias("k")).distinct()
+    left = names.select(F.col("name").alias("a"), F.col("k").alias("j")).repartition(16 * t.spark.sparkContext.defaultParallelism)
+    pairs = left.join(names, (F.col("a") < F.col("name")) & ((F.col("j") + F.col("k")) % 7 != 0))
+    return pairs.select(F.lit("difference").alias("kind"), F.concat_ws("__minus__", "a", "name").alias("name"), F.lit(50).alias("fits"))
+
+
 @query(
     "R17_declared_intervals",
     f"""WITH {_DECLARED}, want AS (SELECT 'rating' AS kind, name FROM p UNION ALL SELECT 'seat', 'seat0_elo'
@@ -391,5 +402,5 @@ _DECLARED = """p AS (SELECT s_suppkey, s_name AS name, s_nationkey FROM supplier
 )
 def r17_declared(t):
     """Intervals of all suppliers with gaps: a nation without ratings, some differences, no seat effect, short and failed replicates."""
-    intervals = t.sql(f"WITH {_DECLARED} SELECT * FROM iv")
+    intervals = t.sql(f"WITH {_DECLARED} SELECT * FROM iv WHERE kind <> 'difference'").unionByName(_declared_differences(t))
     return R.uncertainty(intervals, t.supplier.select(F.col("s_name").alias("player")), 50)[1]

@@ -53,3 +53,18 @@ def test_streams_read_a_file_and_a_folder_of_files(spark, tmp_path):
 def test_rss_violations_of_high_event_numbers(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") + 2_000_000)
     equals_sql(spark, "W18_rss_violations", folder(tmp_path, events=events))
+
+
+def test_declared_intervals_of_repeated_names(spark, tmp_path):
+    suppliers = spark.read.parquet(f"{SF}/supplier.parquet")
+    again = suppliers.withColumn("s_suppkey", F.col("s_suppkey") + 7 * 1000)
+    sf = folder(tmp_path, supplier=suppliers)
+    equals_sql(spark, "R17_declared_intervals", sf)
+    # Equal names are paired once, in more tasks than the table has files.
+    from scoreloom.plans.rating_queries import _declared_differences
+    from scoreloom.plans.roles import Tables
+
+    (tmp_path / "twice").mkdir()
+    both = _declared_differences(Tables(spark, folder(tmp_path / "twice", supplier=suppliers.unionByName(again))))
+    once = _declared_differences(Tables(spark, sf))
+    assert sorted(both.collect()) == sorted(once.collect())
