@@ -249,6 +249,8 @@ def null_non_finite(df: DataFrame) -> DataFrame:
     )
 
 
+# Partitions of each table of the store.
+STORE_BUCKETS = 256
 # Fixed: what identifies a row of each table of the store.
 STORE_KEYS = {
     "runs": ("run_id",), "run_configs": ("run_id",), "evaluations": ("run_id", "id"), "evaluation_choice_sets": ("run_id", "evaluation_id", "scope", "choice_set"),
@@ -257,25 +259,29 @@ STORE_KEYS = {
 
 
 def append_table(df: DataFrame, root: str, table: str) -> DataFrame:
-    """Add rows to one table of the store, partitioned by run, by their keys; returns the key clashes (rule, key, detail).
+    """Add rows to one table of the store, by their keys; returns the key clashes (rule, key, detail).
 
-    Only the partitions of the runs that are added to are read and, by dynamic partition overwrite, written. A row that is there already changes nothing, so
+    Rows lie in ``STORE_BUCKETS`` partitions by a hash of their run, in order of runs, so that files do not become as many as runs. Only the
+    partitions that are added to are read and, by dynamic partition overwrite, written. A row that is there already changes nothing, so
     a repeated append leaves one copy. A row whose key is there with other values clashes: the stored one stays.
     """
     spark, keys = df.sparkSession, list(STORE_KEYS[table])
     path = f"{root}/{table}"
-    fresh = cut_lineage(null_non_finite(df).withColumn("__new", F.lit(True)))
+    bucket = F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(STORE_BUCKETS)).cast("int")
+    fresh = cut_lineage(null_non_finite(df).withColumns({"__new": F.lit(True), "store_bucket": bucket}))
     rows = fresh
     if _has_files(spark, path):
         held = spark.read.parquet(path).withColumn("__new", F.lit(False))
-        rows = held.join(fresh.select("run_id").distinct(), "run_id", "left_semi").unionByName(fresh, allowMissingColumns=True)
-    rest = [c for c in rows.columns if c not in (*keys, "__new")]
+        rows = held.join(F.broadcast(fresh.select("store_bucket").distinct()), "store_bucket", "left_semi").unionByName(fresh, allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in (*keys, "__new", "store_bucket")]
     text = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")
     merged = cut_lineage(
-        rows.withColumn("__text", text).groupBy(*keys).agg(F.min(F.struct("__new", "__text", *rest)).alias("__r"), F.min("__text").alias("__lo"), F.max("__text").alias("__hi"))
+        rows.withColumn("__text", text).groupBy(*keys, "store_bucket").agg(F.min(F.struct("__new", "__text", *rest)).alias("__r"), F.min("__text").alias("__lo"), F.max("__text").alias("__hi"))
     )
-    merged.select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest)).repartition("run_id").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    stored = merged.select(*keys, "store_bucket", *(F.col(f"__r.{c}").alias(c) for c in rest))
+    # A rebalanced hot run is split, and one bucket is written by few tasks.
+    stored.hint("rebalance", "store_bucket").sortWithinPartitions("store_bucket", "run_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("store_bucket").parquet(path)
     return merged.filter("__lo <> __hi").select(
         F.lit("key_clash").alias("rule"), F.concat_ws("/", F.lit(table), *[F.col(k).cast("string") for k in keys]).alias("key"), F.lit("").alias("detail"))
 
@@ -310,7 +316,7 @@ def append_status(events: DataFrame, root: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}")
+    return spark.read.parquet(f"{root}/{table}").drop("store_bucket")
 
 
 def latest_run_status(events: DataFrame) -> DataFrame:

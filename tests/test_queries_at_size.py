@@ -68,3 +68,14 @@ def test_declared_intervals_of_repeated_names(spark, tmp_path):
     both = _declared_differences(Tables(spark, folder(tmp_path / "twice", supplier=suppliers.unionByName(again))))
     once = _declared_differences(Tables(spark, sf))
     assert sorted(both.collect()) == sorted(once.collect())
+
+
+def test_store_of_many_runs_has_few_folders(spark, tmp_path):
+    from scoreloom.sources import io as S
+
+    root = str(tmp_path / "store")
+    rows = spark.range(4000).select(F.col("id").alias("run_id"), F.col("id"), F.rand(1).alias("win_rate"))
+    assert S.append_table(rows, root, "evaluations").count() == 0
+    assert S.append_table(rows.filter("id % 2 = 0").withColumn("win_rate", F.lit(0.5)), root, "evaluations").count() == 2000
+    assert len([f for f in os.listdir(f"{root}/evaluations") if "=" in f]) <= S.STORE_BUCKETS
+    assert sorted(S.read_store(spark, root, "evaluations").collect()) == sorted(rows.collect())
