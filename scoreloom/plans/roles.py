@@ -156,11 +156,22 @@ def with_roles(sql: str, roles: tuple[str, ...] = ()) -> str:
     return f"WITH {head} {body}"
 
 
+# Sizes of a task's share of a file and of a shuffle, and of the smallest split. Rows of the role tables take up to thirty times their
+# stored size in an aggregation, so that a task of Spark's default sizes holds some gigabytes.
+TASK_SIZES = {
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "16m"), "spark.sql.files.openCostInBytes": ("4194304b", "1m"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "12m"),
+}
+
+
 class Tables:
     """Access to the base tables and role tables of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        for key, (default, size) in TASK_SIZES.items():
+            if spark.conf.get(key, default) == default:  # a size that the session sets itself stays
+                spark.conf.set(key, size)
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -79,3 +79,17 @@ def test_store_of_many_runs_has_few_folders(spark, tmp_path):
     assert S.append_table(rows.filter("id % 2 = 0").withColumn("win_rate", F.lit(0.5)), root, "evaluations").count() == 2000
     assert len([f for f in os.listdir(f"{root}/evaluations") if "=" in f]) <= S.STORE_BUCKETS
     assert sorted(S.read_store(spark, root, "evaluations").collect()) == sorted(rows.collect())
+
+
+def test_task_sizes_are_bounded_unless_the_session_sets_them(spark):
+    from scoreloom.plans.roles import TASK_SIZES, Tables
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for k in TASK_SIZES:
+        spark.conf.unset(k)
+    spark.conf.set(key, "50m")
+    Tables(spark, SF)
+    assert spark.conf.get(key) == "50m"
+    spark.conf.unset(key)
+    Tables(spark, SF)
+    assert {k: spark.conf.get(k) for k in TASK_SIZES} == {k: size for k, (_, size) in TASK_SIZES.items()}
