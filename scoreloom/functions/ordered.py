@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from scoreloom.functions.joins import join_back
@@ -38,6 +39,12 @@ def _chunked(df: DataFrame, seq: str, width: int) -> DataFrame:
     return df.withColumn("__chunk", F.floor(F.col(seq) / F.lit(width)))
 
 
+def _up_to_here(keys: Sequence[str], seq: str, peers: bool) -> WindowSpec:
+    """The rows of a chunk up to this one; with ``peers`` all rows of its place (equal places share a chunk)."""
+    inside = W.partitionBy(*keys, "__chunk").orderBy(seq)
+    return inside.rangeBetween(W.unboundedPreceding, 0) if peers else inside.rowsBetween(W.unboundedPreceding, 0)
+
+
 def _edge_join(df: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on (keys, chunk); the shuffle of ``df`` is the one of its window."""
     return df.join(edge, [*keys, "__chunk"], "left")
@@ -81,14 +88,16 @@ def running(
     seq: str,
     sums: Mapping[str, Column | str],
     width: int = CHUNK,
+    peers: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums {new name: summand} over ``keys`` ordered by ``seq``."""
+    """Inclusive running sums {new name: summand} over ``keys`` ordered by ``seq``.
+
+    With ``peers`` the sequence may repeat: rows of one place share the sum up to the last of them.
+    """
     named = {new: (F.col(c) if isinstance(c, str) else c) for new, c in sums.items()}
     base = df.select("*", *[F.coalesce(c, F.lit(0)).alias(f"__v_{n}") for n, c in named.items()])
     d = _chunked(base, seq, width)
-    inside = (
-        W.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    )
+    inside = _up_to_here(keys, seq, peers)
     for n in named:
         d = d.withColumn(f"__w_{n}", F.sum(f"__v_{n}").over(inside))
     edge = (
@@ -106,11 +115,11 @@ def running(
 
 
 def running_max(
-    df: DataFrame, keys: Sequence[str], seq: str, columns: Mapping[str, str], width: int = CHUNK
+    df: DataFrame, keys: Sequence[str], seq: str, columns: Mapping[str, str], width: int = CHUNK, peers: bool = False
 ) -> DataFrame:
-    """Inclusive running maximum; NULL inputs are skipped."""
+    """Inclusive running maximum; NULL inputs are skipped. ``peers`` as in ``running``."""
     d = _chunked(df, seq, width)
-    inside = W.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    inside = _up_to_here(keys, seq, peers)
     for n, c in columns.items():
         d = d.withColumn(f"__w_{n}", F.max(c).over(inside))
     edge = _chunked(df, seq, width).groupBy(*keys, "__chunk").agg(

@@ -256,9 +256,12 @@ def select_variant(cells: DataFrame, full: str, undo: str, page: str, flat: Sequ
 
 
 def resource_caps(ledger: DataFrame, key: Sequence[str], wall_limit: float, core_limit: float, bytes_limit: float, workers: int = 1) -> DataFrame:
-    """G-08: running resource totals per ledger event with cap checks (at most / below the limit)."""
-    run = O.running(ledger, key, "ordinal", {"wall_total": "wall_seconds", "core_total": F.col("wall_seconds") * workers})
-    run = O.running_max(run, key, "ordinal", {"bytes_peak": "artifact_bytes"})
+    """G-08: running resource totals per ledger event with cap checks (at most / below the limit).
+
+    Events of one ordinal count together: each has the totals after all of them.
+    """
+    run = O.running(ledger, key, "ordinal", {"wall_total": "wall_seconds", "core_total": F.col("wall_seconds") * workers}, peers=True)
+    run = O.running_max(run, key, "ordinal", {"bytes_peak": "artifact_bytes"}, peers=True)
     return run.withColumns(
         {
             "passed": (F.col("wall_total") <= wall_limit) & (F.col("core_total") <= core_limit) & (F.col("bytes_peak") <= bytes_limit),

@@ -95,6 +95,11 @@ def test_task_sizes_are_bounded_unless_the_session_sets_them(spark):
     assert {k: spark.conf.get(k) for k in TASK_SIZES} == {k: size for k, (_, size) in TASK_SIZES.items()}
 
 
+def test_resource_caps_of_repeated_events(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    equals_sql(spark, "G08_resource_caps", folder(tmp_path, events=events.unionByName(events)))
+
+
 @pytest.mark.parametrize("name", ["J08_project_objects", "J08_project_object_violations"])
 def test_objects_of_keys_below_zero_unknown_and_repeated(spark, tmp_path, name):
     part, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "lineitem"))
