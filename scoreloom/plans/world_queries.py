@@ -170,7 +170,7 @@ def b05(t):
     SELECT b.space_id, world_index, CASE WHEN w>0 THEN {r6('ln(w/t)')} ELSE CAST('-inf' AS DOUBLE) END AS log_p FROM b JOIN s ON s.space_id=b.space_id WHERE t>0""",
 )
 def b05b(t):
-    d = t.v_events.select(F.col("user_id").alias("space_id"), F.col("event_id").alias("world_index"), F.when(F.col("k") < 20, 0.0).otherwise(F.col("value")).alias("w"))
+    d = t.v_events.select(F.col("user_id").alias("space_id"), F.col("event_id").alias("world_index"), F.when(F.col("k") < 20, 0.0).otherwise(F.coalesce("value", F.lit(0.0))).alias("w"))
     out = B.from_weights(d)[0].drop("w")
     return out.withColumn("log_p", F.when(F.col("log_p") > B.NEG_INF, E.r6("log_p")).otherwise(F.col("log_p")))
 

@@ -108,3 +108,8 @@ def test_objects_of_keys_below_zero_unknown_and_repeated(spark, tmp_path, name):
     odd = lines.withColumns({"l_partkey": F.when(F.col("l_orderkey") % 7 != 3, third("l_partkey", 1)).otherwise(9_000_000), "l_suppkey": third("l_suppkey", 2)})
     odd = odd.unionByName(lines.withColumns({"l_partkey": -F.col("l_partkey"), "l_orderkey": F.col("l_orderkey") + 1_000_000}))
     equals_sql(spark, name, folder(tmp_path, part=part.unionByName(part).unionByName(below), lineitem=odd))
+
+
+def test_beliefs_from_unknown_weights(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("value", F.when(F.col("event_id") % 9 != 4, F.col("value")))
+    equals_sql(spark, "B05_from_weights", folder(tmp_path, events=events))
