@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ SMOOTHING = 20.0
 # Bytes of text in a piece.
 PIECE_BYTES = 8 << 20
 
+# Bytes of text scored at a time; scoring takes more memory a token than counting.
+_SCORED_BYTES = 1 << 19
+
 # Digests of the unknown word and of the start of a text.
 _UNKNOWN, _START = np.uint64(0), np.uint64(1)
 
@@ -127,10 +131,10 @@ class _Batch:
     def __init__(self, texts: list[bytes | None], target: np.ndarray, vocabulary: np.ndarray | None):
         words, ids, before, self.at = _tokens(texts, vocabulary)
         self.target, self.size = target, np.diff(self.at)
-        self.owner = np.repeat(np.arange(len(texts)), self.size)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)
         pairs, bigram = np.unique(before * len(words) + ids, return_inverse=True)
         first, second = np.divmod(pairs, len(words))
-        self.values = (bigram, ids, before)
+        self.values = tuple(v.astype(np.int32) for v in (bigram, ids, before))  # a batch has fewer than 2^31 tokens
         self.digests = (_digest(_BIGRAM, words[first], words[second]), _digest(_WORD, np.uint64(0), words), _digest(_CONTEXT, np.uint64(0), words))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,30 +148,41 @@ class _Batch:
 
     def own(self, k: int) -> np.ndarray:
         """How often each token's bigram, word or context occurs in the token's own text."""
-        _, which, count = np.unique(self.owner * len(self.digests[k]) + self.values[k], return_inverse=True, return_counts=True)
+        _, which, count = np.unique(self.owner.astype(np.int64) * len(self.digests[k]) + self.values[k], return_inverse=True, return_counts=True)
         return count[which]
 
 
 def _added(digests: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct digests in order, the place of each given one among them, and the sums of their counts."""
-    distinct, which = np.unique(digests, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    begin = np.searchsorted(which[order], np.arange(len(distinct)))
-    return distinct, which, *(np.add.reduceat(c[order], begin) if len(c) else c for c in counts)
+    """Distinct digests in order, and the sums of their counts."""
+    order = np.argsort(digests, kind="stable")
+    ranked = digests[order]
+    begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.empty(0, np.int64)
+    distinct = ranked[begin]
+    del ranked
+    return distinct, *(np.add.reduceat(c[order], begin) if len(c) else c for c in counts)
 
 
-def _piece(docs: pa.Table, good: np.ndarray, vocabulary: np.ndarray | None) -> tuple[list[_Batch], np.ndarray, np.ndarray, np.ndarray]:
-    """A piece's texts, and its distinct digests with their counts."""
-    batches = []
+def _batches(docs: pa.Table, good: np.ndarray, vocabulary: np.ndarray | None, limit: int = 1 << 21) -> Iterator[_Batch]:
     for batch in docs.to_batches():
         ids = batch.column("doc_id")
         target = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), good) & ids.is_valid().to_numpy(zero_copy_only=False)
-        batches += [_Batch(texts, target[low:high], vocabulary) for low, high, texts in text_batches(batch, "text")]
-    if not batches:
-        return [], *(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
+        for low, high, texts in text_batches(batch, "text", limit):
+            yield _Batch(texts, target[low:high], vocabulary)
+
+
+def _piece(batches: Iterator[_Batch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A piece's distinct digests with their counts."""
     parts = [b.counts() for b in batches]
-    digests, _, seen, wanted = _added(*(np.concatenate(p) for p in zip(*parts)))
-    return batches, digests, seen, wanted
+    if not parts:
+        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
+    joined = [np.concatenate(p) for p in zip(*parts)]
+    del parts
+    return _added(*joined)
+
+
+def _raw(table: pa.Table, name: str) -> Iterator[pa.Buffer]:
+    """Binary values of a column, one at a time and not copied."""
+    return (value.as_buffer() for value in table.column(name))
 
 
 def _good_of(other: pa.Table) -> np.ndarray:
@@ -181,7 +196,7 @@ def _requests(pieces: int, vocabulary: np.ndarray | None) -> Callable[[pa.Table,
     """A piece's digests and counts, a row for each range of digests that it meets."""
 
     def run(docs: pa.Table, good: pa.Table) -> pa.Table:
-        _, digests, *counts = _piece(docs, _good_of(good), vocabulary)
+        digests, *counts = _piece(_batches(docs, _good_of(good), vocabulary))
         bounds = np.array([(k << 64) // pieces for k in range(1, pieces)], dtype=np.uint64)
         edge = np.concatenate(([0], np.searchsorted(digests, bounds), [len(digests)]))
         met = np.flatnonzero(np.diff(edge))
@@ -201,18 +216,22 @@ _REPLY = "piece long, range long, seen binary, wanted binary, n_words long, n_al
 
 def _replies(requests: pa.Table) -> pa.Table:
     """For each request of a range the counts of all other pieces; the range's words and tokens are in the first row."""
-    rows = requests.to_pylist()
-    digests = [np.cumsum(_from_planes(r["digests"]), dtype=np.uint64) for r in rows]
-    own = [[_from_planes(r[name]).astype(np.int64) for r in rows] for name in ("seen", "wanted")]
-    distinct, which, *sums = _added(np.concatenate(digests), *(np.concatenate(c) for c in own))
+    digests = [np.cumsum(_from_planes(raw), dtype=np.uint64) for raw in _raw(requests, "digests")]
     ends = np.cumsum([len(d) for d in digests])[:-1]
-    others = [np.split(total[which] - np.concatenate(c), ends) for total, c in zip(sums, own)]
+    given = np.concatenate(digests)
+    del digests
+    own = [np.concatenate([_from_planes(raw).view(np.int64) for raw in _raw(requests, name)]) for name in ("seen", "wanted")]
+    distinct, *sums = _added(given, *own)
+    which = np.searchsorted(distinct, given).astype(np.int32)
+    del given
+    others = [np.split(total[which] - c, ends) for total, c in zip(sums, own)]
+    del own, which
     is_word = (distinct & np.uint64(3)) == _WORD
     totals = [int(is_word.sum()), *(int(total[is_word].sum()) for total in sums)]
     return pa.table({
         "piece": requests.column("piece"), "range": requests.column("range"),
         **{name: pa.array([_planes(c) for c in kind], pa.binary()) for name, kind in zip(("seen", "wanted"), others)},
-        **{name: pa.array([n] + [0] * (len(rows) - 1), pa.int64()) for name, n in zip(("n_words", "n_all", "n_target"), totals)},
+        **{name: pa.array([n] + [0] * (requests.num_rows - 1), pa.int64()) for name, n in zip(("n_words", "n_all", "n_target"), totals)},
     })
 
 
@@ -220,13 +239,19 @@ def _scores(vocabulary: np.ndarray | None, n_words: int, n_all: int, n_target: i
     """Losses of a piece's documents from its own counts and the replies."""
 
     def run(docs: pa.Table, other: pa.Table) -> pa.Table:
-        batches, digests, *counts = _piece(docs, _good_of(other), vocabulary)
-        replies = sorted((r for r in other.select(["range", "seen", "wanted"]).to_pylist() if r["range"] is not None), key=lambda r: r["range"])
-        if replies:
-            counts = [c + np.concatenate([_from_planes(r[name]) for r in replies]).astype(np.int64) for name, c in zip(("seen", "wanted"), counts)]
+        good = _good_of(other)
+        digests, *counts = _piece(_batches(docs, good, vocabulary))
+        replies = other.select(["range", "seen", "wanted"]).filter(pc.is_valid(other.column("range"))).sort_by("range")
+        if replies.num_rows:
+            for c, name in zip(counts, ("seen", "wanted")):
+                low = 0
+                for raw in _raw(replies, name):
+                    more = _from_planes(raw).view(np.int64)
+                    c[low:low + len(more)] += more
+                    low += len(more)
         seen, wanted = counts
         size, target_loss, background_loss = [], [], []
-        for b in batches:
+        for b in _batches(docs, good, vocabulary, _SCORED_BYTES):
             mine = b.target[b.owner]
             own, length = [b.own(k) for k in range(3)], b.size[b.owner]
             place = [np.searchsorted(digests, d) for d in b.digests]

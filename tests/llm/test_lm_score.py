@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scoreloom.llm import lm_score as L
@@ -113,3 +115,25 @@ def test_every_word_and_bigram_counts_of_its_own(spark):
             for a, b in zip(["<s>", *lists[i]], lists[i]):
                 loss -= math.log((pair[a, b] * scale + L.SMOOTHING * (single[b] * scale + 1) / n) / (context[a] * scale + L.SMOOTHING))
             assert got[i][name] == pytest.approx(loss / len(lists[i]))
+
+
+def test_memory_of_a_piece_and_of_a_range():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.2, 2000) % 40_000) for _ in range(400)]
+    docs = pa.table({"piece": pa.array([0] * len(texts), pa.int64()), "doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    good = pa.table({"id": pa.array(range(0, len(texts), 3), pa.int64())})
+
+    def peak(run, *tables):
+        tracemalloc.start()
+        out = run(*tables)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / sum(map(len, texts))
+
+    requests, asked = peak(L._requests(1, None), docs, good)
+    replies, answered = peak(L._replies, requests)
+    other = replies.select(["range", "seen", "wanted"]).append_column("id", pa.nulls(replies.num_rows, pa.int64()))
+    scores, scored = peak(L._scores(None, 40_000, 800_000, 270_000, 20.0), docs, other)
+    assert scores.num_rows == len(texts)
+    # Bytes held at once for each byte of text.
+    assert asked < 19 and answered < 12 and scored < 25, (asked, answered, scored)
