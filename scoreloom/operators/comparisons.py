@@ -202,11 +202,11 @@ def schedule_gaps(matches: DataFrame, players: DataFrame, blocks: int, legs: int
 def holdout_audit(records: DataFrame, atoms: DataFrame) -> DataFrame:
     """J-11: per held-out program the atoms unseen in training and training programs with its fingerprint.
 
-    ``records``: program, held_out, fingerprint; ``atoms``: program, atom. Gaps and duplicates are
+    ``records``: program, held_out, fingerprint; ``atoms``: program, atom, and held_out, if it is at hand (atoms then needn't
+    meet their records). Atoms may repeat. Gaps and duplicates are
     counted and listed; the lists are bounded by the size of one program and by equal fingerprints.
     """
-    split = records.select("program", "held_out")
-    tagged = atoms.join(split, "program")
+    tagged = atoms if "held_out" in atoms.columns else atoms.join(records.select("program", "held_out"), "program")
     train = tagged.filter(~F.col("held_out")).select("atom").distinct()
     gaps = (
         tagged.filter("held_out").select("program", "atom").distinct().join(train, "atom", "left_anti")

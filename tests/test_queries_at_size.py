@@ -113,3 +113,14 @@ def test_objects_of_keys_below_zero_unknown_and_repeated(spark, tmp_path, name):
 def test_beliefs_from_unknown_weights(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("value", F.when(F.col("event_id") % 9 != 4, F.col("value")))
     equals_sql(spark, "B05_from_weights", folder(tmp_path, events=events))
+
+
+def test_holdout_audit_shuffles_words_of_training_once_each(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    again = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    sf = folder(tmp_path, documents=again)
+    equals_sql(spark, "J11_holdout_audit", sf)
+    # No pair of a training document and a word is shuffled.
+    plan = entry.queries()["J11_holdout_audit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [line for line in plan.splitlines() if "Aggregate [program" in line and "atom" in line.split("], [")[0]]
+    assert not pairs
