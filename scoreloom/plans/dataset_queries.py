@@ -366,7 +366,7 @@ def f05(t):
 @query("S01_read_matches", "SELECT player_a, player_b, deal_block, leg, score_a FROM v_matches")
 def s01(t):
     path = S.scratch_folder(t.spark, "matches")
-    t.v_matches.write.json(path)
+    t.v_matches.write.json(path, compression="gzip")
     return S.read_matches(t.spark, path).select("player_a", "player_b", "deal_block", "leg", "score_a")
 
 

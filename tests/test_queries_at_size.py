@@ -124,3 +124,12 @@ def test_holdout_audit_shuffles_words_of_training_once_each(spark, tmp_path):
     plan = entry.queries()["J11_holdout_audit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     pairs = [line for line in plan.splitlines() if "Aggregate [program" in line and "atom" in line.split("], [")[0]]
     assert not pairs
+
+
+def test_match_rows_are_written_packed(spark, tmp_path, monkeypatch):
+    from scoreloom.sources import io as S
+
+    monkeypatch.setattr(S, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    equals_sql(spark, "S01_read_matches", SF)
+    rows = [f for f in os.listdir(tmp_path / "matches") if f.startswith("part-")]
+    assert rows and all(f.endswith(".json.gz") for f in rows)
