@@ -115,6 +115,18 @@ def filename_timestamp(ts: Column | str) -> Column:
 OPTIONAL_COLUMNS = ("scores", "visit_counts", "root_value")
 
 
+def _shard_name(path: str) -> Column:
+    """The shard of a file: its own name, or its folder's if it is a part file, without the ending ``.parquet``.
+
+    Cut at slashes from the end, as it is computed for every row and a pattern would try every start in the path.
+    """
+    last = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    name = F.when(last.startswith("part-") & (folder != ""), folder).otherwise(last)
+    ending = len(".parquet")
+    return F.when(name.endswith(".parquet") & (F.length(name) > ending), F.left(name, F.length(name) - ending)).otherwise(name)
+
+
 def load_shards(spark: SparkSession, paths: Sequence[str], rounds: Sequence[int] | None = None,
                 provenance: DataFrame | None = None) -> DataFrame:
     """S-04: union of Parquet shards; an optional column stays only if every shard has it.
@@ -139,13 +151,14 @@ def load_shards(spark: SparkSession, paths: Sequence[str], rounds: Sequence[int]
         out = part if out is None else out.unionByName(part)
     if "winner" in keep:
         out = out.withColumn("winner", F.when(F.col("winner") >= 0, F.col("winner")))
-    out = out.withColumn("shard", F.regexp_extract("__file", r"([^/]+?)(\.parquet)?(/part-[^/]*)?$", 1)).drop("__file")
+    out = out.withColumn("shard", _shard_name("__file")).drop("__file")
     if rounds is not None:
         names = [p.rstrip("/").split("/")[-1].removesuffix(".parquet") for p in paths]
         provenance = spark.createDataFrame(list(zip(names, map(int, rounds))), "shard string, round int")
     if provenance is None:
         return out.withColumn("round", F.lit(-1))
-    r = provenance.select("shard", F.col("round").alias("__round"))
+    # A row per shard, whose paths the driver lists anyway: the shards' own rows stay where they are read.
+    r = F.broadcast(provenance.select("shard", F.col("round").alias("__round")))
     return out.join(r, "shard", "left").withColumn("round", F.coalesce("__round", F.lit(-1))).drop("__round")
 
 

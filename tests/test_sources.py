@@ -53,6 +53,17 @@ def test_shards_keep_only_common_optional_columns_and_offset_games(spark, tmp_pa
     assert {r["round"] for r in S.load_shards(spark, [str(tmp_path / "b.parquet")]).collect()} == {-1}
 
 
+def test_shard_names_are_cut_without_a_pattern_and_rounds_do_not_shuffle_the_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1)], "game_index long, action int")
+    for path in ("a.b.parquet", "part-x/c", "part-d.parquet"):
+        rows.write.parquet(str(tmp_path / path))
+    paths = [str(tmp_path / p) for p in ("a.b.parquet", "part-x/c", "part-d.parquet")]
+    out = S.load_shards(spark, paths, [1, 2, 3])
+    assert {(r.shard, r["round"]) for r in out.collect()} == {("a.b", 1), ("c", 2), ("part-d", 3)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_npz_shards(spark, tmp_path):
     np.savez(tmp_path / "s0.npz", action=np.array([1, 0], np.int16), game_index=np.array([5, 6]), seat=np.array([0, 1]), num_valid=np.array([2, 1]),
              winner=np.array([-1, 1], np.int8), actions_valid=np.ones((2, 3), np.float32), visit_counts=np.eye(2, 3, dtype=np.float32), provenance=np.array('{"round": 3}'),
