@@ -52,40 +52,49 @@ class LiveBelief(StatefulProcessor):
 
     @staticmethod
     def _output(key, row, revision, status, worlds=(), weights=()):
-        share = np.asarray(weights, dtype=float)
-        return {
-            "game": key[0], "viewer": key[1], "sequence": int(row.sequence), "revision": revision, "status": status, "support_size": len(share),
-            "effective_size": float(1.0 / (share * share).sum()) if len(share) else None, "top_mass": float(share.max()) if len(share) else None,
-            "worlds": list(worlds), "weights": share.tolist(),
-        }
+        return (
+            *key, int(row.sequence), revision, status, len(weights), 1.0 / sum(x * x for x in weights) if weights else None,
+            max(weights) if weights else None, list(worlds), list(weights),
+        )
 
     @staticmethod
-    def _moved(row, worlds, weights):
-        """Worlds and normalised weights after a row, or None without mass."""
-        worlds, weights = np.asarray(worlds, dtype=np.int64), np.asarray(weights, dtype=float)
-        order = np.argsort(worlds)
-        worlds, weights = worlds[order], weights[order]
+    def _normalised(mass):
+        """Worlds in order and weights that add up to 1, or None without mass."""
+        total = sum(mass.values())
+        if not total > 0:
+            return None
+        worlds = sorted(mass)
+        return worlds, [mass[w] / total for w in worlds]
+
+    @staticmethod
+    def _list(values):
+        # Plain lists: most moves have few links, and for those array calls cost more than the fold itself.
+        return values if isinstance(values, list) else [] if values is None else np.asarray(values).tolist()
 
-        def at(wanted, values, known):
-            place = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
-            return np.where(known[place] == wanted, values[place], 0.0) if len(known) else np.zeros(len(wanted))
+    @classmethod
+    def _weights(cls, values):
+        found = cls._list(values)
+        return [float("nan") if x is None else x for x in found] if None in found else found
 
+    @classmethod
+    def _moved(cls, row, worlds, weights):
+        """Worlds and normalised weights after a row, or None without mass."""
         if row.evidence_worlds is not None:
-            known = np.asarray(row.evidence_worlds, dtype=np.int64)
-            order = np.argsort(known)
-            weights = weights * at(worlds, np.asarray(row.evidence, dtype=float)[order], known[order])
-        targets, which = np.unique(np.asarray(row.targets, dtype=np.int64), return_inverse=True)
-        mass = np.bincount(which, weights=at(np.asarray(row.sources, dtype=np.int64), weights, worlds) * np.asarray(row.factors, dtype=float), minlength=len(targets))
-        total = mass.sum()
-        return (targets, mass / total) if len(mass) and total > 0 else None
+            told = dict(zip(cls._list(row.evidence_worlds), cls._weights(row.evidence), strict=True))
+            weights = [x * told.get(w, 0.0) for w, x in zip(worlds, weights)]
+        before, mass = dict(zip(worlds, weights)), {}
+        for source, target, factor in zip(cls._list(row.sources), cls._list(row.targets), cls._weights(row.factors), strict=True):
+            mass[target] = mass.get(target, 0.0) + before.get(source, 0.0) * factor
+        return cls._normalised(mass)
 
     def _fold(self, key, row, state):
         _, revision, valid, worlds, weights = state or (None, None, False, [], [])
         sequence = int(row.sequence)
         if row.reset:
-            order = np.argsort(np.asarray(row.targets, dtype=np.int64))
-            worlds, weights = np.asarray(row.targets, dtype=np.int64)[order], np.asarray(row.factors, dtype=float)[order]
-            after, status = (worlds, weights / weights.sum()) if weights.sum() > 0 else None, "reset"
+            mass: dict[int, float] = {}
+            for world, weight in zip(self._list(row.targets), self._weights(row.factors), strict=True):
+                mass[world] = mass.get(world, 0.0) + weight
+            after, status = self._normalised(mass), "reset"
         elif not valid or int(row.before_revision) != revision:
             return self._output(key, row, revision, "invalid"), state and (sequence, revision, False, [], [])
         else:
@@ -93,27 +102,31 @@ class LiveBelief(StatefulProcessor):
         if after is None:
             return self._output(key, row, revision, "no_mass"), (sequence, revision, False, [], [])
         revision = int(row.after_revision)
-        return self._output(key, row, revision, status, *after), (sequence, revision, True, after[0].tolist(), after[1].tolist())
+        return self._output(key, row, revision, status, *after), (sequence, revision, True, *after)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.belief.get()) if self.belief.exists() else None
+        state = self.belief.get()
+        state = None if state is None else tuple(state)
         names = [f.split()[0] for f in LIVE_OUTPUT.split(", ")]
         early: dict[int, object] = {}
+        out: list[tuple] = []
         for frame in rows:
-            out = []
-            for row in frame.sort_values("sequence").itertuples():
+            # Rows go out frame by frame, so that a hot key's output is never held whole; most keys give one frame.
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+            for row in sorted(frame.itertuples(index=False), key=lambda r: r.sequence):
                 early[int(row.sequence)] = row
                 while state is not None and state[0] + 1 in early or state is None and 0 in early:
                     done, state = self._fold(key, early.pop(0 if state is None else state[0] + 1), state)
                     out.append(done)
                     if state is None:
                         break
-            yield pd.DataFrame(out, columns=names)
-        late = []
         for sequence in sorted(early):
             done, state = self._fold(key, early.pop(sequence), state)
-            late.append(done)
-        yield pd.DataFrame(late, columns=names)
+            out.append(done)
+        if out:
+            yield pd.DataFrame(out, columns=names)
         if state is not None:
             self.belief.update(state)
 

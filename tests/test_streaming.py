@@ -3,6 +3,7 @@ import math
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,38 @@ def test_restart_and_late_lookup(spark, tmp_path):
     assert [r.revision for r in Z.posterior_at(out, wanted).filter("not available").collect()] == [10]
 
 
+def test_a_key_of_few_rows_costs_two_state_calls_and_one_frame():
+    """The rest is lists: frames, empty ones too, and calls to the store are what most keys' time went to."""
+    calls, held = [], []
+
+    class Store:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def exists(self):
+            calls.append("exists")
+            return bool(held)
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    live = Z.LiveBelief()
+    live.belief = Store()
+    names = [f.split()[0] for f in LIVE.split(", ")]
+    rows = [move(0, 0, 1, [(0, 1, 1.0), (1, 0, 2.0), (1, 0, 1.0)], reset=True), move(1, 1, 2, [(0, 0, 1.0), (1, 1, 1.0)], evidence={1: 1.0, 0: 1.0}),
+            move(2, 2, 3, [(0, 0, 1.0)]), move(4, 4, 5, [(0, 0, 1.0)])]
+    # A missing weight of evidence leaves no mass, as it did on arrays.
+    rows[1] = (*rows[1][:-1], [1.0, None])
+    frames = list(live.handleInputRows(("g", 0), iter([pd.DataFrame(list(reversed(rows)), columns=names)]), None))
+    assert [len(f) for f in frames] == [4]
+    assert frames[0]["status"].tolist() == ["reset", "no_mass", "invalid", "invalid"]
+    assert (frames[0]["worlds"][0], frames[0]["weights"][0]) == ([0, 1], [0.75, 0.25])
+    assert calls == ["get", "update"]
+    assert held[-1] == (4, 1, False, [], [])
+
+
 def test_a_belief_expires(spark, tmp_path):
     source = Source(spark, tmp_path, LIVE)
     source.add([move(0, 0, 1, [(0, 0, 1.0)], reset=True)])
