@@ -374,12 +374,13 @@ def transport(beliefs: DataFrame, pools: DataFrame, facts: DataFrame, target_wor
         ).withColumn("log_p", E.log_sum_exp_array("__l")).drop("__l")
         merged = merged.withColumns({"hand_size": F.col("hand_size") + 1, "__todo": F.col("__todo") - 1})
         j = waiting.unionByName(merged.select(*waiting.columns))
-    moved = j.select(F.col("next_space_id").alias("space_id"), "hand_key", "log_p")
+    # Written once: the joins below and each pass of the normalisation would draw again.
+    moved = cut_lineage(j.select(F.col("next_space_id").alias("space_id"), "hand_key", "log_p"))
     target = target_worlds.join(f.select(F.col("next_space_id").alias("space_id")).distinct(), "space_id", "left_semi")
     target = target.select("space_id", "world_index", "hand", "hand_key")
     joined, lost = join_support(moved, target)
     ended = moved.join(target, ["space_id", "hand_key"], "left_anti").select("space_id").distinct()
-    out, empty = log_normalise(joined.join(ended, "space_id", "left_anti"), ["space_id"])
+    out, empty = log_normalise(cut_lineage(joined.join(ended, "space_id", "left_anti")), ["space_id"])
     return out, lost.unionByName(empty)
 
 

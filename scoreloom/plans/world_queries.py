@@ -19,9 +19,10 @@ def rounded(df, digits=6):
     return df.withColumns({c: E.r6(c, digits) for c, d in df.dtypes if d == "double"})
 
 
-def pools(t, hand_size=3):
+def pools(t):
+    """The pools, written once: they take a pass over all line items, and the queries below read them in several places."""
     p = t.role("v_pool").filter("n > 0")
-    return p.groupBy("space_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("pool")).withColumn("hand_size", F.lit(hand_size))
+    return cut_lineage(p.groupBy("space_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("pool")).withColumn("hand_size", F.lit(3)))
 
 
 def worlds(p):
@@ -236,9 +237,9 @@ def b08b(t):
     return rounded(out.select("space_id", "hand_key", F.exp("log_p").alias("p")))
 
 
-def _next(t):
-    """The spaces after one hidden draw, under ids of their own: -1 - id."""
-    return pools(t, 4).withColumn("space_id", -1 - F.col("space_id"))
+def _later(pl, hand_size):
+    """The spaces after hidden draws, under ids of their own: -1 - id."""
+    return pl.withColumns({"space_id": -1 - F.col("space_id"), "hand_size": F.lit(hand_size)})
 
 
 @query(
@@ -250,7 +251,7 @@ def b09(t):
     w = worlds(pl)
     none = F.array().cast("array<string>")
     facts = pl.select("space_id", (-1 - F.col("space_id")).alias("next_space_id"), none.alias("exits"), none.alias("returns"), F.lit(1).alias("hidden_draws"))
-    out, _ = B.transport(posterior(w), pl, facts, worlds(_next(t)))
+    out, _ = B.transport(posterior(w), pl, facts, worlds(_later(pl, 4)))
     return rounded(out.select("space_id", "hand_key", F.exp("log_p").alias("p")))
 
 
@@ -263,10 +264,9 @@ def b09(t):
 def b09_links(t):
     """Two hidden draws from every world of every space."""
     pl = pools(t)
-    after = pools(t, 5).withColumn("space_id", -1 - F.col("space_id"))
     none = F.array().cast("array<string>")
     facts = T.with_move_id(pl.select(F.col("space_id").alias("before_space"), (-1 - F.col("space_id")).alias("after_space"), none.alias("exits"), none.alias("returns"), F.lit(2).alias("hidden_draws")))
-    links = T.transition_links(T.moves(facts), pl, worlds(pl.unionByName(after)))
+    links = T.transition_links(T.moves(facts), pl, worlds(pl.unionByName(_later(pl, 5))))
     return rounded(links.join(facts.select("move_id", F.col("before_space").alias("space_id")), "move_id").select("space_id", "source", "target", "factor"))
 
 
@@ -342,8 +342,8 @@ def b14(t):
 
 def _tracking(t, spoil=lambda rows: rows):
     """Two transitions per game: an opponent commitment in the first space, then one hidden draw."""
-    pl = cut_lineage(pools(t))
-    spaces = cut_lineage(pl.unionByName(pl.withColumns({"space_id": -1 - F.col("space_id"), "hand_size": F.lit(4)})))
+    pl = pools(t)
+    spaces = cut_lineage(pl.unionByName(_later(pl, 4)))
     w = worlds(spaces)
     none = F.array().cast("array<string>")
     sid = F.col("space_id")
