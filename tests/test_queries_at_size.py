@@ -133,3 +133,10 @@ def test_match_rows_are_written_packed(spark, tmp_path, monkeypatch):
     equals_sql(spark, "S01_read_matches", SF)
     rows = [f for f in os.listdir(tmp_path / "matches") if f.startswith("part-")]
     assert rows and all(f.endswith(".json.gz") for f in rows)
+
+
+@pytest.mark.parametrize("name", ["B09_transport", "B09_transition_links"])
+def test_pools_are_read_once(spark, name):
+    # The draws, the worlds and the links each took their own pass over all line items.
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert "lineitem.parquet" not in plan and "FileScan" not in plan
