@@ -706,28 +706,44 @@ def expected_pairs(players: DataFrame, player: str = "player", blocks: int = 16)
     return first.join(second, ["__x", "__y"]).filter("a < b").select("a", "b")
 
 
+ROSTER_SHIPPED = 1_000_000
+
+
 def missing_pairs(spine: DataFrame, seen: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, a, b): the pairs a < b of a roster that ``seen`` (keys, a, b) lacks, without listing the roster's square.
 
-    ``spine``: the roster (player) for each value of ``keys``. Players are numbered in order. One whose number of later
-    partners is full costs a count; of the others, partners pass in order, and only the numbers between two of them are listed.
+    ``spine``: the roster (player) for each value of ``keys``. Players are numbered in order. A player's later partners become bits of
+    words, one for 64 numbers, before they are shuffled; words pass in order, and only the numbers of one that is not full, and
+    those between two words, are listed. A roster of up to ``ROSTER_SHIPPED`` players goes to the tasks, so that names of pairs are never
+    shuffled; a name is looked up by its hash and then compared whole, as Spark looks up a number in a tenth of a text's time.
     """
     keys = list(keys)
     placed = spine.select("player").distinct().filter("player IS NOT NULL").repartitionByRange("player").sortWithinPartitions("player")
     placed = cut_lineage(placed.withColumn("__pos", F.monotonically_increasing_id()))
     roster = cut_lineage(O.row_numbers(placed, [], "__pos", "__i").select("player", "__i"))
-    names = lambda name, number: roster.select(F.col("player").alias(name), F.col("__i").alias(number))
-    inside = seen.select(*keys, "a", "b").distinct().join(names("a", "__x"), "a").join(names("b", "__y"), "b").filter("__x < __y").select(*keys, "__x", "__y")
-    held = inside.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
-    size = roster.agg(F.count(F.lit(1)).alias("__size"))
-    every = attach_row(spine.select(*keys, F.col("player")).distinct().join(names("player", "__x"), "player").drop("player"), size)
-    short = every.join(held, [*keys, "__x"], "left").filter(F.coalesce("__n", F.lit(0)) < F.col("__size") - F.col("__x"))
-    ends = short.select(*keys, "__x", (F.col("__size") + 1).alias("__y"))
-    partners = inside.join(short.select(*keys, "__x"), [*keys, "__x"], "left_semi").unionByName(ends)
-    before = F.coalesce(F.lag("__y").over(Window.partitionBy(*keys, "__x").orderBy("__y")), F.col("__x"))
-    gaps = partners.withColumn("__before", before).filter("__y > __before + 1")
-    return gaps.select(*keys, "__x", F.explode(F.sequence(F.col("__before") + 1, F.col("__y") - 1)).alias("__y")).join(
-        names("a", "__x"), "__x").join(names("b", "__y"), "__y").select(*keys, "a", "b")
+    size = roster.count()
+    shipped = F.broadcast if size <= ROSTER_SHIPPED else lambda df: df
+    names = lambda name, number: shipped(roster.select(F.col("player").alias(name), F.col("__i").alias(number)))
+    hashed = lambda name: F.xxhash64(F.col(name).cast("string"))
+
+    def numbered(df: DataFrame, name: str, number: str) -> DataFrame:
+        by = shipped(roster.select(F.col("player").alias("__name"), F.col("__i").alias(number), hashed("player").alias("__hash")))
+        # Not an equality of names, which would make them a key of the lookup.
+        same = (F.col(name) <= F.col("__name")) & (F.col(name) >= F.col("__name"))
+        return df.join(by, (hashed(name) == F.col("__hash")) & same).drop("__name", "__hash")
+
+    firsts = spine.select(*keys, F.col("player").alias("a")).distinct().join(names("a", "__x"), "a") if keys else names("a", "__x")
+    x, y, word = F.col("__x"), F.col("__y"), F.col("__word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), y.bitwiseAND(63).cast("int"))
+    started = seen.join(firsts, [*keys, "a"]) if keys else numbered(seen, "a", "__x")
+    inside = numbered(started.select(*keys, "__x", "b"), "b", "__y").filter("__x < __y")
+    words = inside.groupBy(*keys, "__x", F.shiftright("__y", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    ends = firsts.select(*keys, "__x", F.lit((size >> 6) + 1).cast("bigint").alias("__word"), F.lit(0).cast("bigint").alias("__bits"))
+    before = F.coalesce(F.lag("__word").over(Window.partitionBy(*keys, "__x").orderBy("__word")), F.shiftright("__x", 6) - 1)
+    spans = words.unionByName(ends).withColumns({"__low": F.greatest((before + 1) * 64, x + 1), "__high": F.least(word * 64 + 63, F.lit(size).cast("bigint"))})
+    gaps = spans.filter(F.bit_count("__bits") < F.col("__high") - F.col("__low") + 1).select("*", F.explode(F.sequence("__low", "__high")).alias("__y"))
+    held = (y >= word * 64) & (F.col("__bits").bitwiseAND(bit) != 0)
+    return gaps.filter(~held).join(names("a", "__x"), "__x").join(names("b", "__y"), "__y").select(*keys, "a", "b")
 
 
 def connectivity(players: DataFrame, edges: DataFrame, anchor: str) -> tuple[DataFrame, DataFrame]:
@@ -778,10 +794,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def uncertainty(bootstrap: DataFrame, players: DataFrame, replicates: int) -> tuple[DataFrame, DataFrame]:
     """R-17: (intervals, violations): each player and each pairwise difference present, no failure."""
     want_r = players.select(F.lit("rating").alias("kind"), F.col("player").alias("name"))
-    # A difference is named by its two players; a name that doesn't fall apart into them matches none.
-    named = bootstrap.filter("kind = 'difference'").select(
-        F.substring_index("name", "__minus__", 1).alias("a"), F.substring_index("name", "__minus__", -1).alias("b"), "name")
-    pairs = missing_pairs(players, named.filter(F.concat_ws("__minus__", "a", "b") == F.col("name"))).select(
+    # A difference is named by its two players; a name that doesn't fall apart into them matches none. Names are cut apart in a
+    # generator, because Spark would repeat the cuts, and what makes the names, in a filter and in every join below it.
+    cut = F.struct(F.substring_index("name", "__minus__", 1).alias("a"), F.substring_index("name", "__minus__", -1).alias("b"))
+    named = bootstrap.filter("kind = 'difference'").select("name", F.inline(F.array(cut)))
+    whole = F.octet_length("a") + F.octet_length("b") + len("__minus__") == F.octet_length("name")
+    pairs = missing_pairs(players, named.filter(whole)).select(
         F.lit("difference").alias("kind"), F.concat_ws("__minus__", "a", "b").alias("name")
     )
     want = want_r.unionByName(

@@ -56,6 +56,27 @@ def test_missing_pairs(spark):
     assert keyed.filter("slot = 1").count() == len(gone) and keyed.filter("slot = 2").count() == len(every)
 
 
+@pytest.mark.parametrize("size", [1, 62, 63, 64, 65, 130])
+def test_missing_pairs_around_full_words(spark, size):
+    names = [f"p{k:03d}" for k in range(size)]
+    every = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    spine = spark.createDataFrame([(n,) for n in [*names, *names, None]], "player string")
+    whole = spark.createDataFrame([*every, ("p000", None), (None, "p001")], "a string, b string")
+    assert missing_pairs(spine, whole.unionByName(whole)).count() == 0
+    assert missing_pairs(spine, whole.limit(0)).count() == len(every)
+    gone = {p for k, p in enumerate(every) if k % 7 == 3 or p[1] in (names[-1], names[size // 2]) or p[0] == names[size // 3]}
+    got = [(r.a, r.b) for r in missing_pairs(spine, whole.filter(~F.concat("a", "b").isin([a + b for a, b in gone]))).collect()]
+    assert len(got) == len(set(got)) and set(got) == gone
+
+
+def test_missing_pairs_shuffles_no_names_of_pairs(spark):
+    spine = spark.createDataFrame([(f"p{k}",) for k in range(9)], "player string")
+    seen = spark.createDataFrame([("p1", "p2")], "a string, b string")
+    plan = missing_pairs(spine, seen)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not [line for line in exchanges if "hashpartitioning(a#" in line or "hashpartitioning(b#" in line]
+
+
 def test_receipts_by_chunks(spark, tmp_path):
     import hashlib
 
