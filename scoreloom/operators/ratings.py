@@ -732,7 +732,10 @@ def missing_pairs(spine: DataFrame, seen: DataFrame, keys: Sequence[str] = ()) -
         same = (F.col(name) <= F.col("__name")) & (F.col(name) >= F.col("__name"))
         return df.join(by, (hashed(name) == F.col("__hash")) & same).drop("__name", "__hash")
 
-    firsts = spine.select(*keys, F.col("player").alias("a")).distinct().join(names("a", "__x"), "a") if keys else names("a", "__x")
+    firsts = names("a", "__x")
+    if keys:
+        firsts = cut_lineage(spine.select(*keys, F.col("player").alias("a")).distinct().join(firsts, "a"))
+        firsts = F.broadcast(firsts) if firsts.count() <= ROSTER_SHIPPED else firsts
     x, y, word = F.col("__x"), F.col("__y"), F.col("__word")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), y.bitwiseAND(63).cast("int"))
     started = seen.join(firsts, [*keys, "a"]) if keys else numbered(seen, "a", "__x")

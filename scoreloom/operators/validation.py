@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
 from scoreloom.functions.canonical import canonical_sha256
-from scoreloom.functions.joins import attach_row
+from scoreloom.functions.joins import attach_row, join_back
 from scoreloom.operators.sequences import REASON_ORDER, violation
+from scoreloom.session import cut_lineage
 
 
 def check_rows(df: DataFrame, key: Column, rules: Mapping[str, Column]) -> DataFrame:
@@ -295,6 +296,34 @@ def violations_digests(kind: str, declared: DataFrame, actual: DataFrame, key: s
         F.concat(F.lit(f"{kind}_"), "__rule").alias("rule"), F.coalesce("__k", "__a").alias("key"), F.lit("").alias("detail"))
 
 
+SHIPPED_ROWS = 1_000_000
+
+
+def _shipped(few: DataFrame) -> DataFrame:
+    """A stored result, sent to the tasks if it is small; its size alone would be known too late to spare the other side a shuffle."""
+    return F.broadcast(few) if few.count() <= SHIPPED_ROWS else few
+
+
+def _bound_apart(matches: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(game_trace_sha256, match_id) of the rows and of the traces, without digests that one row and one trace have and bind to one match.
+
+    Those break no rule about traces and are most of a bundle. They are told by 128 bits of hashes of digest and match, so the texts
+    of the others alone are shuffled; if these are many too, nothing is left out.
+    """
+    cols = ["game_trace_sha256", "match_id"]
+    rows, held = matches.select(*cols), traces.select(*cols)
+    digest, match = F.xxhash64("game_trace_sha256"), F.xxhash64("match_id")
+    unknown = F.col("game_trace_sha256").isNull() | F.col("match_id").isNull()
+    tagged = rows.select(digest.alias("__h"), match.alias("__m"), F.lit(True).alias("__row"), unknown.alias("__trace")).unionByName(
+        held.select(digest.alias("__h"), match.alias("__m"), unknown.alias("__row"), F.lit(True).alias("__trace")))
+    met = tagged.groupBy("__h").agg(F.count_if("__row").alias("__rows"), F.count_if("__trace").alias("__traces"), F.bit_xor("__m").alias("__x"))
+    apart = cut_lineage(met.filter("NOT (__rows = 1 AND __traces = 1 AND __x = 0)").select("__h"))
+    if apart.count() > SHIPPED_ROWS:
+        return rows, held
+    some = lambda df: df.withColumn("__h", digest).join(F.broadcast(apart), "__h", "left_semi").drop("__h")
+    return some(rows), some(held)
+
+
 def violations_bundle(
     matches: DataFrame, registrations: DataFrame, traces: DataFrame, players: DataFrame, blocks: int, deal_seed_of_block: DataFrame,
     stored_payoff: DataFrame | None = None, artifacts: Mapping[str, tuple[DataFrame, DataFrame]] | None = None,
@@ -310,18 +339,19 @@ def violations_bundle(
     from scoreloom.operators.comparisons import schedule_gaps
     from scoreloom.operators.ratings import payoff_matrix
 
-    dup = matches.groupBy("game_trace_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+    bound, traced = _bound_apart(matches, traces)
+    dup = bound.groupBy("game_trace_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         *violation("trace_digest_repeated", F.col("game_trace_sha256"), F.col("n"))
     )
     gaps = schedule_gaps(matches, players, blocks).withColumn("rule", F.concat(F.lit("schedule_"), "rule"))
-    seed = matches.join(deal_seed_of_block.select("deal_block", F.col("deal_seed").alias("__s")), "deal_block", "left")
-    seeds = check_rows(seed, F.col("match_id"), {"deal_seed": F.col("deal_seed") == F.col("__s")})
-    lost = matches.join(traces.select("game_trace_sha256", "match_id"), ["game_trace_sha256", "match_id"], "left_anti").select(
-        *violation("row_without_trace", F.col("match_id"))
-    )
-    extra = traces.join(matches.select("game_trace_sha256", "match_id"), ["game_trace_sha256", "match_id"], "left_anti").select(
-        *violation("trace_without_row", F.col("match_id"))
-    )
+    # Blocks and seeds are compared before they meet the rows that have them: one row of the result for each seed that is not the row's.
+    keys = ["deal_block", "deal_seed"]
+    wrong = matches.select(*keys).distinct().join(deal_seed_of_block.select("deal_block", F.col("deal_seed").alias("__s")), "deal_block", "left").filter(
+        ~F.coalesce(F.col("deal_seed") == F.col("__s"), F.lit(False))).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    seeds = join_back(matches.select(*keys, "match_id"), _shipped(cut_lineage(wrong)), keys).select(
+        F.explode(F.array_repeat(F.lit("deal_seed"), F.col("__times"))).alias("rule"), F.col("match_id").cast("string").alias("key"), F.lit("").alias("detail"))
+    lost = bound.join(traced, ["game_trace_sha256", "match_id"], "left_anti").select(*violation("row_without_trace", F.col("match_id")))
+    extra = traced.join(bound, ["game_trace_sha256", "match_id"], "left_anti").select(*violation("trace_without_row", F.col("match_id")))
     seats = matches.select("match_id", F.explode(F.array("player_a", "player_b")).alias("player_id"))
     unknown = seats.join(registrations.select("player_id"), "player_id", "left_anti").select(*violation("unregistered_player", F.col("match_id"), F.col("player_id")))
     out = dup.unionByName(gaps).unionByName(seeds).unionByName(lost).unionByName(extra).unionByName(unknown)

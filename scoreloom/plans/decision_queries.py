@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as E
@@ -12,6 +14,7 @@ from scoreloom.operators import validation as V
 from scoreloom.operators.aggregates import evaluation_metrics
 from scoreloom.operators.ratings import payoff_matrix
 from scoreloom.plans.registry import ORACLES, query
+from scoreloom.plans.roles import ROLES
 from scoreloom.plans.sqltext import ct, r6
 from scoreloom.sources.io import REPORT_METRICS, scratch_folder
 from scoreloom.streaming import incremental as Z
@@ -361,8 +364,28 @@ def v12(t):
     return V.violations_probe_rows(p, "run", ["k"], ["n", "s"])
 
 
+def _kept_matches(t):
+    """The rows of ``v_matches``, written once in buckets by deal, so that groups that have a deal among their keys need no shuffle.
+
+    Customers are joined to orders, which are fewer than line items, and line items are cut to what a match needs before they are
+    shuffled. The table's name is given up at once; its files are scratch.
+    """
+    seats = "sn.n_name AS player_a, cn.n_name AS player_b,"
+    legs = t.sql(ROLES["v_matches"].split("FROM lineitem l")[0].replace(seats, "") + "FROM lineitem l").drop("game_seconds")
+    first = t.sql("SELECT s_suppkey, n_name AS player_a FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+    second = t.sql("SELECT o_orderkey, n_name AS player_b FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+    rows = legs.join(second, F.col("deal_block") == F.col("o_orderkey")).join(first, F.col("supp_key") == F.col("s_suppkey")).filter("player_a <> player_b")
+    size = int(str(t.lineitem._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(1, min(int(t.spark.conf.get("spark.sql.shuffle.partitions")), size >> 21))
+    name = f"kept_matches_{uuid.uuid4().hex}"
+    rows.drop("s_suppkey", "o_orderkey").write.bucketBy(buckets, "deal_block").sortBy("deal_block").option("path", scratch_folder(t.spark, "matches")).saveAsTable(name)
+    kept = t.spark.table(name)
+    t.spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 def _bundle(t):
-    m = t.v_matches.withColumns(
+    m = _kept_matches(t).withColumns(
         {"match_id": F.concat_ws("/", "deal_block", "part_key", "supp_key"), "game_trace_sha256": F.concat_ws("-", "deal_block", "part_key", "supp_key", "leg"),
          "deal_seed": F.when(F.col("part_key") == 5, -1).otherwise(F.col("deal_block"))}
     )

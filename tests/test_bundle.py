@@ -77,6 +77,35 @@ def test_missing_pairs_shuffles_no_names_of_pairs(spark):
     assert exchanges and not [line for line in exchanges if "hashpartitioning(a#" in line or "hashpartitioning(b#" in line]
 
 
+@pytest.mark.parametrize("shipped", [1_000_000, 0])
+def test_bundle_rules_of_repeated_unknown_and_lost_rows(spark, monkeypatch, shipped):
+    monkeypatch.setattr(V, "SHIPPED_ROWS", shipped)
+    rows = [(f"t{k}", f"m{k}", k % 4, (k % 4) + 10) for k in range(40)]
+    rows += [("t1", "m1", 1, 11), ("t2", "other", 2, 12), (None, "m50", 0, 10), (None, "m51", 3, None), ("t52", None, None, 13), ("t53", "m53", 9, 19), ("t54", "m54", 1, 12)]
+    held = [(f"t{k}", f"m{k}") for k in range(40) if k % 9 != 4] + [("t3", "m3"), ("t5", "m6"), ("t60", "m60"), ("t60", "m60"), (None, "m50"), ("t52", None)]
+    seeds = [(0, 10), (1, 11), (1, 12), (2, 12), (3, 13), (3, 13), (None, 13)]
+    cols = {"player_a": F.lit("a"), "player_b": F.lit("b"), "leg": F.lit(0), "player_a_seat": F.lit(0), "score_a": F.lit(1.0), "truncated": F.lit(False), "termination_reason": F.lit("terminal")}
+    matches = spark.createDataFrame(rows, "game_trace_sha256 string, match_id string, deal_block long, deal_seed long").withColumns(cols)
+    players = spark.createDataFrame([("a",), ("b",)], "player string")
+    got = V.violations_bundle(matches, players.withColumnRenamed("player", "player_id"), spark.createDataFrame(held, "game_trace_sha256 string, match_id string"),
+                              players, 4, spark.createDataFrame(seeds, "deal_block long, deal_seed long"))
+    want = [("row_without_trace", m) for t, m, *_ in rows if None in (t, m) or (t, m) not in held]
+    want += [("trace_without_row", m) for t, m in held if None in (t, m) or (t, m) not in [r[:2] for r in rows]]
+    digests = [t for t, *_ in rows]
+    want += [("trace_digest_repeated", t) for t in set(digests) if digests.count(t) > 1]
+    for _, m, block, seed in rows:
+        own = [s for b, s in seeds if b == block] if block is not None else []
+        want += [("deal_seed", m)] * (sum(s != seed for s in own) if own else 1)
+    found = [(r.rule, r.key) for r in got.collect() if not r.rule.startswith("schedule_")]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_digests_that_agree_are_not_shuffled_as_texts(spark):
+    rows = spark.createDataFrame([(f"t{k}", f"m{k}") for k in range(99)], "game_trace_sha256 string, match_id string")
+    bound, traced = V._bound_apart(rows, rows.filter("match_id <> 'm7'").unionByName(rows.limit(1)))
+    assert {r.match_id for r in bound.collect()} == {"m7", rows.first().match_id} and traced.count() == 2
+
+
 def test_receipts_by_chunks(spark, tmp_path):
     import hashlib
 
