@@ -367,18 +367,22 @@ def v12(t):
 def _kept_matches(t):
     """The rows of ``v_matches``, written once in buckets by deal, so that groups that have a deal among their keys need no shuffle.
 
-    Customers are joined to orders, which are fewer than line items, and line items are cut to what a match needs before they are
-    shuffled. The table's name is given up at once; its files are scratch.
+    Customers are joined to orders, which are fewer than line items; line items are cut to what a match needs before they are shuffled, meet
+    their deals after all else that may need a shuffle, so that a task writes few buckets, and get names at the end. The table's name is
+    given up at once; its files are scratch.
     """
     seats = "sn.n_name AS player_a, cn.n_name AS player_b,"
     legs = t.sql(ROLES["v_matches"].split("FROM lineitem l")[0].replace(seats, "") + "FROM lineitem l").drop("game_seconds")
-    first = t.sql("SELECT s_suppkey, n_name AS player_a FROM supplier JOIN nation ON n_nationkey = s_nationkey")
-    second = t.sql("SELECT o_orderkey, n_name AS player_b FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
-    rows = legs.join(second, F.col("deal_block") == F.col("o_orderkey")).join(first, F.col("supp_key") == F.col("s_suppkey")).filter("player_a <> player_b")
+    sellers = t.supplier.select("s_suppkey", "s_nationkey")
+    deals = t.sql("SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey")
+    home = lambda seat, key: t.nation.select(F.col("n_name").alias(seat), F.col("n_nationkey").alias(key))
+    rows = legs.join(sellers, F.col("supp_key") == F.col("s_suppkey")).join(deals, F.col("deal_block") == F.col("o_orderkey"))
+    rows = rows.join(home("player_a", "s_nationkey"), "s_nationkey").join(home("player_b", "c_nationkey"), "c_nationkey").filter("player_a <> player_b")
+    rows = rows.select("player_a", "player_b", *legs.columns)
     size = int(str(t.lineitem._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(1, min(int(t.spark.conf.get("spark.sql.shuffle.partitions")), size >> 21))
     name = f"kept_matches_{uuid.uuid4().hex}"
-    rows.drop("s_suppkey", "o_orderkey").write.bucketBy(buckets, "deal_block").sortBy("deal_block").option("path", scratch_folder(t.spark, "matches")).saveAsTable(name)
+    rows.write.bucketBy(buckets, "deal_block").sortBy("deal_block").option("path", scratch_folder(t.spark, "matches")).saveAsTable(name)
     kept = t.spark.table(name)
     t.spark.sql(f"DROP TABLE {name}")
     return kept
