@@ -385,11 +385,12 @@ _DECLARED = """p AS (SELECT s_suppkey, s_name AS name, s_nationkey FROM supplier
 def _declared_differences(t):
     """The differences of ``iv``, equal ones once: whether two names have one depends on their keys modulo 7 only.
 
-    The pairs are dealt to tasks by number, because the roster is small in bytes and would be paired in one task.
+    The pairs are dealt to tasks by number, because the roster is small in bytes and would be paired in one task; a roster whose pairs can be
+    listed is sent to all tasks, whatever the session's limit is, as a product of shuffled rows takes longer.
     """
     names = t.supplier.select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).alias("k")).distinct()
     left = names.select(F.col("name").alias("a"), F.col("k").alias("j")).repartition(16 * t.spark.sparkContext.defaultParallelism)
-    pairs = left.join(names, (F.col("a") < F.col("name")) & ((F.col("j") + F.col("k")) % 7 != 0))
+    pairs = left.join(F.broadcast(names), (F.col("a") < F.col("name")) & ((F.col("j") + F.col("k")) % 7 != 0))
     return pairs.select(F.lit("difference").alias("kind"), F.concat_ws("__minus__", "a", "name").alias("name"), F.lit(50).alias("fits"))
 
 

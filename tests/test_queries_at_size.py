@@ -154,3 +154,15 @@ def test_bundle_reads_line_items_once(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "lineitem.parquet" not in plan and "matches-" in plan
     assert not spark.catalog.listTables(pattern="kept_matches*")
+
+
+def test_declared_differences_are_no_product_of_shuffled_rows(spark):
+    from scoreloom.plans.rating_queries import _declared_differences
+    from scoreloom.plans.roles import Tables
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _declared_differences(Tables(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
